@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingoframe.llm import aliases, bpe, compression, fixity, shards
+from lingoframe.llm import aliases, bpe, compression, fixity, quality, shards, simhash, suffixes, tokenstore
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,28 @@ SELECT doc_id, group_key, n_bytes, size AS group_size, CAST(shard AS INTEGER) AS
 FROM rows_ JOIN ranked USING (group_key) JOIN step USING (i)
 """
 
+def op4_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's evidence, shares and posterior, and whether it stays."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judged(_documents(spark, sf_dir), labels, keep=["doc_id"])
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest match of each contaminated document with each benchmark text."""
+    return suffixes.matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the groups of near duplicates, and which one of each stays."""
+    return simhash.duplicate_groups(_documents(spark, sf_dir)).select("doc_id", "group_id", "is_kept")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's compressed token ids with their place in the store."""
+    docs = _documents(spark, sf_dir)
+    return tokenstore.packed(docs, tokenstore.train_dictionary(docs))
+
+
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's compression ratios and whether it stays."""
     return compression.compression_bands(_documents(spark, sf_dir), keep=["doc_id"])
@@ -114,6 +136,10 @@ QUERIES = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
+    "op4_quality_bayes": op4_quality_bayes,
+    "op5_decontamination": op5_decontamination,
+    "op6_simhash_groups": op6_simhash_groups,
+    "op7_token_store": op7_token_store,
     "op8_compression_bands": op8_compression_bands,
     "op9_url_aliases": op9_url_aliases,
 }
