@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingoframe.llm import aliases, bpe, compression, fixity, quality, shards, simhash, suffixes, tokenstore
+from lingoframe.llm import aliases, attention, bpe, compression, fixity, quality, shards, simhash, suffixes, tokenstore
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,11 @@ def op9_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.url_decisions(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's likelihood under a model trained on all of them."""
+    return attention.language_model_scores(_documents(spark, sf_dir))
+
+
 def _customary_sql(url: str) -> str:
     for pattern, new in aliases.CUSTOMARY:
         url = f"regexp_replace({url}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
@@ -142,5 +147,6 @@ QUERIES = {
     "op7_token_store": op7_token_store,
     "op8_compression_bands": op8_compression_bands,
     "op9_url_aliases": op9_url_aliases,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLES = {"op1_warc_fixity": OP1_SQL, "op3_sharding": OP3_SQL, "op9_url_aliases": OP9_SQL}
