@@ -10,19 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lingoframe.llm import bpe, compression, quality, simhash, suffixes
-from lingoframe.llm.shared import written
+from lingoframe.llm.shared import kept, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose posterior of being good is under the threshold. Null and blank texts go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judged(docs, labels).where("keep").select(*docs.columns)
+    return kept(docs, lambda d: quality.judged(d, labels), quality.MADE)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents outside the compression bands."""
-    judged = compression.compression_bands(docs)
-    return judged.where("keep").select(*docs.columns)
+    return kept(docs, compression.compression_bands, compression.MADE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

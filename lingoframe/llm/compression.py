@@ -23,6 +23,9 @@ BANDS = ((64, 0.40, 1.60), (128, 0.35, 1.10), (256, 0.30, 0.95), (1024, 0.24, 0.
 CHUNK_BAND = (0.20, 0.72)
 BAD_CHUNKS = 0.25
 
+#: Columns that the operator adds.
+MADE = ("n_bytes", "ratio", "chunks", "bad_chunks", "reason", "keep")
+
 
 def limits(n_bytes: int, bands=BANDS) -> tuple[float, float] | None:
     found = None

@@ -27,6 +27,9 @@ SALTS = 64
 WEIGHTS = (2.0, 10_000.0)
 N_FEATURES = 11
 
+#: Columns that the operator adds.
+MADE = ("evidence", "host_share", "path_share", "posterior", "keep")
+
 
 def features(text: Column) -> Column:
     """An array of numbers of about 0 to 1, all by built-in functions; zeros for a text without a character."""
@@ -86,13 +89,10 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> n
 
 
 def _score(x: Column, w: np.ndarray) -> Column:
-    part = [x[k] for k in range(N_FEATURES)]
-    z = F.lit(float(w[0]))
-    for k in range(N_FEATURES):
-        z = z + F.lit(float(w[1 + k])) * part[k]
-    for at, (i, j) in enumerate(zip(*np.triu_indices(N_FEATURES))):
-        z = z + F.lit(float(w[1 + N_FEATURES + at])) * part[i] * part[j]
-    return z
+    """The model's log-odds. Array functions keep the optimizer from copying the features into every product of them."""
+    products = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 1, N_FEATURES), lambda b: a * b)))
+    terms = F.zip_with(F.concat(F.array(F.lit(1.0)), x, products), F.lit([float(v) for v in w]), lambda a, b: a * b)
+    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
 
 class Model:
@@ -119,14 +119,14 @@ def _strength(sums: DataFrame, mean: Column, n: str, s: str) -> float:
     return min(max(row[3] / between - 1, WEIGHTS[0]), WEIGHTS[1])
 
 
-def _blank(text: str) -> Column:
-    return ~F.coalesce(F.regexp_like(F.col(text), F.lit(r"\S")), F.lit(False))
+def _blank(text: Column) -> Column:
+    return ~F.coalesce(F.regexp_like(text, F.lit(r"\S")), F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, label_id: str, label: str, sample: int = SAMPLE) -> Model:
-    """docs: (id, x). Labels that are null or of no document are left out; of several labels of an id the lowest holds."""
+def train(docs: DataFrame, labels: DataFrame, label_id: str, label: str, sample: int = SAMPLE) -> Model:
+    """docs: (lf_id, lf_x). Labels that are null or of no document are left out; of several labels of an id the lowest holds."""
     one = labels.where(F.col(label_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label_id).alias("lf_id")).agg(F.min(label).cast("double").alias("y"))
-    rows = docs.join(one, docs[id_col] == one["lf_id"]).select("x", "y", "lf_id").orderBy(F.xxhash64("lf_id"), "lf_id", "x").limit(sample).toPandas()
+    rows = docs.join(one, "lf_id").select(F.col("lf_x").alias("x"), "y", "lf_id").orderBy(F.xxhash64("lf_id"), "lf_id", "x").limit(sample).toPandas()
     y = rows["y"].to_numpy()
     return Model(fit(np.array(rows["x"].tolist()).reshape(-1, N_FEATURES), y), y)
 
@@ -139,46 +139,47 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels of both classes there is no evidence and everything is kept but blank texts; an empty table gives an empty table;
     other columns pass, and those named as the new ones are replaced. keep: the columns that stay (all by default).
     """
-    new = ["evidence", "host_share", "path_share", "posterior", "keep"]
-    stay = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
-    host, section = F.col(host_col), F.col(section_col)
-    narrow = docs.select(F.col(id_col).alias("lf_id0"), host.alias("host"), section.alias("section"), features(F.col(text_col)).alias("x"), _blank(text_col).alias("blank"), *[F.col(c).alias(f"lf_{k}") for k, c in enumerate(stay) if keep is not None])
+    stay = [c for c in docs.columns if c.lower() not in MADE and (keep is None or c in keep)]
+    text, host, section = F.col(text_col), F.col(host_col).alias("lf_host"), F.col(section_col).alias("lf_section")
+    made = [host, section, features(text).alias("lf_x"), _blank(text).alias("lf_blank")]
+    narrow = docs.select(F.col(id_col).alias("lf_id"), *made, *[F.col(c).alias(f"lf_{k}") for k, c in enumerate(stay) if keep is not None])
     narrow = written(narrow, "features")
-    model = train(narrow.where("not blank"), labels, "lf_id0", label_id, label, sample)
+    real = narrow.where("not lf_blank")
+    model = train(real, labels, label_id, label, sample)
     chance = lambda z: 1 / (1 + F.exp(-z))
-    sums = narrow.where("not blank").groupBy("host", "section").agg(F.count("*").alias("n"), F.sum(chance(model.logit(F.col("x")))).alias("s"))
+    sums = real.groupBy("lf_host", "lf_section").agg(F.count("*").alias("lf_n"), F.sum(chance(model.logit(F.col("lf_x")))).alias("lf_s"))
     sums = written(sums, "paths")
-    hosts = sums.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = hosts.agg(F.sum("hn"), F.sum("hs")).first()
+    hosts = sums.groupBy("lf_host").agg(F.sum("lf_n").alias("lf_hn"), F.sum("lf_s").alias("lf_hs"))
+    total = hosts.agg(F.sum("lf_hn"), F.sum("lf_hs")).first()
     overall = min(max(total[1] / total[0], 1e-4), 1 - 1e-4) if total[0] else 0.5
-    k_host = _strength(hosts, F.lit(overall), "hn", "hs")
-    paths = sums.join(hosts.withColumnRenamed("host", "h2"), F.col("host").eqNullSafe(F.col("h2"))).drop("h2")
-    k_path = _strength(paths, F.col("hs") / F.col("hn"), "n", "s")
-    paths = written(paths.select(F.col("host").alias("lf_host"), F.col("section").alias("lf_section"), "n", "s", "hn", "hs"), "shares")
+    k_host = _strength(hosts, F.lit(overall), "lf_hn", "lf_hs")
+    paths = sums.join(hosts.withColumnRenamed("lf_host", "lf_h2"), F.col("lf_host").eqNullSafe(F.col("lf_h2"))).drop("lf_h2")
+    k_path = _strength(paths, F.col("lf_hs") / F.col("lf_hn"), "lf_n", "lf_s")
+    paths = written(paths.withColumnsRenamed({"lf_host": "lf_host2", "lf_section": "lf_section2"}), "shares")
     if keep is None:  # the texts pass too: their features are computed anew rather than joined
-        rows = docs.select(*stay, host.alias("host"), section.alias("section"), features(F.col(text_col)).alias("x"), _blank(text_col).alias("blank"))
+        rows = docs.select(*docs.columns, *made)
     else:
-        rows = narrow.select(*[F.col(f"lf_{k}").alias(c) for k, c in enumerate(stay)], "host", "section", "x", "blank")
-    on = [F.col("host").eqNullSafe(F.col("lf_host")), F.col("section").eqNullSafe(F.col("lf_section"))]
+        rows = narrow.select(*[F.col(f"lf_{k}").alias(c) for k, c in enumerate(stay)], "lf_host", "lf_section", "lf_x", "lf_blank")
+    on = [F.col("lf_host").eqNullSafe(F.col("lf_host2")), F.col("lf_section").eqNullSafe(F.col("lf_section2"))]
     if paths.count() <= SENT_PATHS:
         rows = rows.join(F.broadcast(paths), on, "left")
     else:
-        rows = rows.withColumn("salt", F.floor(F.rand(3) * SALTS).cast("int"))
-        paths = paths.withColumn("lf_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.join(paths, [*on, F.col("salt") == F.col("lf_salt")], "left")
-    z = F.when(~F.col("blank"), model.logit(F.col("x")))
+        rows = rows.withColumn("lf_salt", F.floor(F.rand(3) * SALTS).cast("int"))
+        paths = paths.withColumn("lf_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(paths, [*on, F.col("lf_salt") == F.col("lf_salt2")], "left")
+    z = F.when(~F.col("lf_blank"), model.logit(F.col("lf_x")))
     rows = rows.withColumn("lf_z", z).withColumn("lf_p", chance(F.col("lf_z")))
-    host_share = (F.col("hs") - F.col("lf_p") + k_host * overall) / (F.col("hn") - 1 + k_host)
-    path_share = (F.col("s") - F.col("lf_p") + k_path * F.col("lf_hshare")) / (F.col("n") - 1 + k_path)
+    host_share = (F.col("lf_hs") - F.col("lf_p") + k_host * overall) / (F.col("lf_hn") - 1 + k_host)
+    path_share = (F.col("lf_s") - F.col("lf_p") + k_path * F.col("lf_hshare")) / (F.col("lf_n") - 1 + k_path)
     rows = rows.withColumn("lf_hshare", host_share).withColumn("lf_pshare", path_share)
     evidence = F.col("lf_z") - F.lit(model.odds)
     odds = F.log(F.col("lf_pshare")) - F.log1p(-F.col("lf_pshare")) if model.w.any() else F.lit(0.0)
-    posterior = chance(evidence + odds)
+    rows = rows.withColumn("lf_post", F.when(F.col("lf_z").isNotNull(), chance(evidence + odds)))
     return rows.select(
         *stay,
         evidence.alias("evidence"),
         F.col("lf_hshare").alias("host_share"),
         F.col("lf_pshare").alias("path_share"),
-        F.when(F.col("lf_z").isNotNull(), posterior).alias("posterior"),
-        F.coalesce(F.when(F.col("lf_z").isNotNull(), posterior) >= threshold, F.lit(False)).alias("keep"),
+        F.col("lf_post").alias("posterior"),
+        F.coalesce(F.col("lf_post") >= threshold, F.lit(False)).alias("keep"),
     )

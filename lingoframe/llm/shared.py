@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Code points that one numpy pass holds at a time (a longer text is a pass of its own).
@@ -51,7 +52,7 @@ def map_texts(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType,
     stay = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
     names = [f.name for f in stay]
     schema = T.StructType(stay + [T.StructField(name, kind) for name, kind, _ in fields])
-    source = df.select(*[df[n] for n in dict.fromkeys([*names, text_col])])
+    source = df.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, text_col])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
@@ -64,3 +65,10 @@ def map_texts(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType,
                 yield pa.RecordBatch.from_arrays(columns, names=names + [n for n, _, _ in fields])
 
     return source.mapInArrow(run, schema)
+
+
+def kept(df: DataFrame, judge: Callable[[DataFrame], DataFrame], made: tuple[str, ...]) -> DataFrame:
+    """The rows of df that judge() marks with keep, in df's own columns, of which those named like what judge() makes stand aside."""
+    aside = {c: f"lf_aside_{k}" for k, c in enumerate(df.columns) if c.lower() in made}
+    marked = judge(df.withColumnsRenamed(aside)).where("keep")
+    return marked.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in df.columns])
