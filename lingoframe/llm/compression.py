@@ -18,7 +18,7 @@ from lingoframe.llm.shared import map_texts
 LEVEL = 3
 CHUNK = 4096
 #: (bytes from, lowest ratio, highest ratio) for whole documents; below the first nothing is judged.
-BANDS = ((64, 0.40, 1.60), (128, 0.35, 1.10), (256, 0.30, 0.95), (1024, 0.24, 0.80), (4096, 0.20, 0.72), (16384, 0.18, 0.66))
+BANDS = ((64, 0.40, 1.60), (128, 0.35, 1.10), (256, 0.30, 0.90), (1024, 0.24, 0.72), (4096, 0.20, 0.68), (16384, 0.18, 0.62))
 #: Limits of a whole chunk, and the share of a document's chunks that may lie outside them.
 CHUNK_BAND = (0.20, 0.72)
 BAD_CHUNKS = 0.25

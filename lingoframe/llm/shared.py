@@ -52,13 +52,14 @@ def map_texts(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType,
     stay = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
     names = [f.name for f in stay]
     schema = T.StructType(stay + [T.StructField(name, kind) for name, kind, _ in fields])
-    source = df.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, text_col])])
+    # The Arrow functions take no names with dots, so columns go by number.
+    source = df.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate([*names, text_col])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            *kept, last = batch.columns
+            texts = last.to_pylist()
             for a, b in slabs([t or "" for t in texts]):
                 made = apply(texts[a:b])
                 columns = [c.slice(a, b - a) for c in kept] + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, (_, _, kind) in zip(made, fields)]

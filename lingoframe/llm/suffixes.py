@@ -258,10 +258,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         def run(batches, sent=sent):
             tests = Tests(sent.value, least)
-            for piece, found in _searched(batches, text_col, tests, shard_words):
+            for piece, found in _searched(batches, at, tests, shard_words):
                 good = np.ones(piece.num_rows, bool)
                 good[[f[0] for f in found]] = False
-                yield piece.filter(pa.array(good))
+                yield piece.filter(pa.array(good)).rename_columns(names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        names = docs.columns
+        at = f"c{names.index(text_col)}"
+        docs = docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, docs.schema)
     return docs
