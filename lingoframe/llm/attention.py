@@ -28,7 +28,7 @@ STRIDE, WIDTH = 32, 16
 #: Input units: the most frequent ids, then shared ones; and output classes, of which half are single ids.
 OWN_UNITS, SHARED_UNITS, CLASSES = 2048, 1024, 96
 #: One window of so many is trained on in each round, at least one of each document.
-EVERY, ROUNDS, BATCH, RATE = 16, 2, 64, 0.004
+EVERY, ROUNDS, BATCH, RATE = 16, 2, 16, 0.004
 #: Ids that one numpy pass scores, and numbers in a row of the exchange of weights.
 PASS_IDS, CHUNK = 1 << 13, 1024
 BOS, PAD = 0, 1
@@ -45,7 +45,7 @@ class Lexicon:
         self.unit = np.where(rank < own, rank, own + rank % shared) + 2
         self.units = own + shared + 2
         single = classes // 2
-        smooth = counts + 0.5
+        smooth = counts + 0.01
         rest = smooth[order[single:]]
         bins = np.minimum((np.cumsum(rest) - rest) / max(rest.sum(), 1e-9) * (classes - single), classes - single - 1).astype(np.int64) if len(rest) else rest.astype(np.int64)
         self.kind = np.empty(len(counts), np.int64)
