@@ -121,7 +121,8 @@ def class_logits(w: dict[str, np.ndarray], x: np.ndarray, keys: np.ndarray, valu
     a /= (a @ np.ones((2 * stride, 1), a.dtype))
     mixed = a @ values
     h = x + mixed @ w["O"]
-    return (h.reshape(-1, h.shape[2]) @ w["U"] + w["b"]).reshape(*h.shape[:2], -1), q, a, mixed, h
+    # A product for each block, as all others here: one over all rows would round a row by where in the batch it stands.
+    return h @ w["U"] + w["b"], q, a, mixed, h
 
 
 def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts: int) -> np.ndarray:
@@ -131,13 +132,13 @@ def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts:
     x = w["E"][blocks.inputs]
     k, v = x @ w["K"], x @ w["V"]
     windows = [np.concatenate([np.concatenate([z[:1], z[:-1]]), z], axis=1) for z in (k, v)]
-    logits = class_logits(w, x, *windows, blocks.first)[0].reshape(-1, lexicon.classes)
+    logits = class_logits(w, x, *windows, blocks.first)[0]
     real = np.flatnonzero(blocks.targets.ravel() >= 0)
     target = blocks.targets.ravel()[real]
     np.minimum(logits, 60, out=logits)
-    hit = logits[real, lexicon.kind[target]]
+    hit = logits.reshape(-1, lexicon.classes)[real, lexicon.kind[target]]
     np.exp(logits, out=logits)
-    mass = (logits @ np.ones(lexicon.classes, logits.dtype))[real]
+    mass = (logits @ np.ones((lexicon.classes, 1), logits.dtype)).ravel()[real]
     loss = np.log(mass).astype(np.float64) - hit - lexicon.within[target]
     return np.bincount(np.repeat(blocks.owner, blocks.inputs.shape[1])[real], loss, n_texts)
 
