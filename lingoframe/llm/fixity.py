@@ -87,7 +87,7 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     for depth in reversed(range(len(trees[0]))):
         a, b = (tree[depth].select("file", "node", F.col("digest").alias(name)) for tree, name in zip(trees, ("mine", "theirs")))
         if suspects is not None:
-            across = depth >= 1 + _height(ranges, fanout)
+            across = depth >= _height(ranges, fanout)
             a, b = (_under(x, suspects, fanout, across) for x in (a, b))
         both = a.join(b, ["file", "node"], "full_outer")
         suspects = both.where(~F.col("mine").eqNullSafe(F.col("theirs"))).select("file", "node")
