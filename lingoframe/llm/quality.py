@@ -26,6 +26,9 @@ SALTS = 64
 #: Bounds of the prior's weight, in documents.
 WEIGHTS = (2.0, 10_000.0)
 N_FEATURES = 11
+#: Letters a word counts as having at most, and bounds of the model's log-odds: a text unlike any labelled one isn't far
+#: beyond all of them.
+LONGEST, FARTHEST = 20.0, 30.0
 
 #: Columns that the operator adds.
 MADE = ("evidence", "host_share", "path_share", "posterior", "keep")
@@ -50,7 +53,7 @@ def features(text: Column) -> Column:
         share(calls, n) * 5,
         share(bars, n) * 5,
         share(n - letters - digits - blanks - stops - calls - bars, n) * 5,
-        share(letters, n_words) / 10,
+        F.least(share(letters, n_words) / 10, F.lit(LONGEST / 10)),
         F.when(n_words > 1, F.log(types.cast("double")) / F.log(n_words.cast("double"))).otherwise(1.0),
         share(F.size(F.array_distinct(lines)), F.size(lines)),
     )
@@ -103,7 +106,7 @@ class Model:
         self.w, self.odds = w, math.log(share / (1 - share)) if w.any() else 0.0
 
     def logit(self, x: Column) -> Column:
-        return _score(x, self.w)
+        return F.greatest(F.least(_score(x, self.w), F.lit(FARTHEST)), F.lit(-FARTHEST))
 
 
 def _strength(sums: DataFrame, mean: Column, n: str, s: str) -> float:
@@ -156,10 +159,12 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     paths = sums.join(hosts.withColumnRenamed("lf_host", "lf_h2"), F.col("lf_host").eqNullSafe(F.col("lf_h2"))).drop("lf_h2")
     k_path = _strength(paths, F.col("lf_hs") / F.col("lf_hn"), "lf_n", "lf_s")
     paths = written(paths.withColumnsRenamed({"lf_host": "lf_host2", "lf_section": "lf_section2"}), "shares")
+    # What passes is one column, so that no name of its columns meets one used here.
+    row = lambda columns: F.struct(*[c.alias(n) for c, n in zip(columns, stay)] or [F.lit(0)]).alias("lf_row")
     if keep is None:  # the texts pass too: their features are computed anew rather than joined
-        rows = docs.select(*docs.columns, *made)
+        rows = docs.select(row([F.col(f"`{c}`") for c in stay]), *made)
     else:
-        rows = narrow.select(*[F.col(f"lf_{k}").alias(c) for k, c in enumerate(stay)], "lf_host", "lf_section", "lf_x", "lf_blank")
+        rows = narrow.select(row([F.col(f"lf_{k}") for k in range(len(stay))]), "lf_host", "lf_section", "lf_x", "lf_blank")
     on = [F.col("lf_host").eqNullSafe(F.col("lf_host2")), F.col("lf_section").eqNullSafe(F.col("lf_section2"))]
     if paths.count() <= SENT_PATHS:
         rows = rows.join(F.broadcast(paths), on, "left")
@@ -176,7 +181,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = F.log(F.col("lf_pshare")) - F.log1p(-F.col("lf_pshare")) if model.w.any() else F.lit(0.0)
     rows = rows.withColumn("lf_post", F.when(F.col("lf_z").isNotNull(), chance(evidence + odds)))
     return rows.select(
-        *stay,
+        *[F.col("lf_row")[c].alias(c) for c in stay],
         evidence.alias("evidence"),
         F.col("lf_hshare").alias("host_share"),
         F.col("lf_pshare").alias("path_share"),
