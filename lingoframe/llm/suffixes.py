@@ -162,7 +162,8 @@ class Shard:
         self.size += len(words) + 1
 
     def matches(self, tests: Tests) -> list[tuple[int, int, int, int, int, int]]:
-        """(row, item, words, start, end, test word) of the longest match of each row and item; the first one if several are."""
+        """(row, test, words, start, end, test word) of the longest match of each row and test text (by its place in tests);
+        the first one if several are."""
         if not self.size:
             return []
         words, rows = np.concatenate(self.words), np.concatenate(self.rows)
@@ -173,7 +174,7 @@ class Shard:
         for r, i, n, a, b, w in zip(rows[place].tolist(), item.tolist(), length.tolist(), starts[place].tolist(), ends[place + length - 1].tolist(), (q - tests.first[item]).tolist()):
             if (r, i) not in best or (-n, a, w) < best[r, i][:3]:
                 best[r, i] = (-n, a, w, b)
-        return [(r, tests.ids[i], -n, a, b, w) for (r, i), (n, a, w, b) in sorted(best.items())]
+        return [(r, i, -n, a, b, w) for (r, i), (n, a, w, b) in sorted(best.items())]
 
 
 def _searched(batches: Iterator[pa.RecordBatch], text_col: str, tests: Tests, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
@@ -244,6 +245,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 if found:
                     row, item, *rest = (list(x) for x in zip(*found))
                     ids = piece.column(piece.schema.get_field_index("doc_id")).take(pa.array(row))
+                    item = [tests.ids[i] for i in item]
                     yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), *[pa.array(x, pa.int32()) for x in rest]], names=schema.names)
 
         part = source.mapInArrow(run, schema)
