@@ -10,9 +10,8 @@ from lingoframe.functions.strings import unescaped
 from lingoframe.operators.common import neighbours, numbered
 from lingoframe.operators.findings import finding, together
 
-POOLS = ("eval", "reference", "untranslated")
-VERDICTS = ("ok", "source_only", "target_only", "mismatch", "not_applicable")
-FLAGS = ("pango", "docbook", "po4a", "entity", "metasyntax", "newline")
+VERDICTS = ("mismatch", "not_applicable", "ok", "source_only", "target_only")
+FLAGS = ("docbook", "entity", "metasyntax", "newline", "pango", "po4a")
 CLASSES = ["unknown", *[f"{g}/{f}" for g in G.GROUPS for f in [*G.SLUGS.values(), "plain"]]]
 
 

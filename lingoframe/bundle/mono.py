@@ -9,7 +9,7 @@ from lingoframe.functions import fluent as L
 from lingoframe.functions import scanners
 from lingoframe.operators.common import numbered
 
-KINDS = ("var", "selector", "term-ref", "msg-ref", "literal", "function", "other")
+KINDS = "function literal msg-ref other selector term-ref var".split()
 TOKEN = "struct<start:int,end:int,token:string,kind:string,origin:string,detail:string>"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+_TYPES = dict(array=list, boolean=bool, integer=int, null=type(None), number=(int, float), object=dict, string=str)
 
 
 def _is(value: object, kind: str) -> bool:

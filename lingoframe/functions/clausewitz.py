@@ -18,7 +18,7 @@ INLINE = (
     ("newline", r"\\n"),
 )
 #: Syntax of another dialect: any of these is drift.
-PROBES = (("other-escape", r'\\(?![nt\\"])[A-Za-z]'), ("newstyle-fmt", r"(?U)#\w+\b[^#]*#!"), ("newstyle-icon", r"(?U)@\w+!"), ("curly-brace", r"\{[^}]*\}"))
+PROBES = (("other-escape", r"\\[A-Za-z&&[^nt]]"), ("newstyle-fmt", r"(?U)#\w+\b[^#]*[#]!"), ("newstyle-icon", r"(?U)@\w+!"), ("curly-brace", r"\{[^}]*\}"))
 CLEANED = (r"\[[^\]]*\]", r"\$[^$]*\$", r"(?U)£\w+", r"@[A-Z]{3}", r"§[A-Za-z]", r"§!", r"\\n", r"\\t")
 CORE_PARTS = {"title": ("t", "title"), "body": ("d", "desc", "warning"), "tooltip": ("tt",), "option": ("do", "opt")}
 REFERENCE = r"\$([^$|]+)(\|[^$]*)?\$"
@@ -61,7 +61,7 @@ def country_tag(key: Column) -> Column:
 
 
 def suffix(key: Column) -> Column:
-    return F.regexp_extract(key, r"_([A-Za-z][A-Za-z0-9]*)\z", 1)
+    return F.regexp_extract(key, r"_([a-zA-Z][a-zA-Z0-9]*)\z", 1)
 
 
 def part_kind(part_: Column) -> Column:
@@ -116,4 +116,4 @@ def references(value: Column) -> Column:
 
 
 def is_engine_value(name: Column) -> Column:
-    return F.regexp_like(name, F.lit(r"^[A-Z][A-Z0-9_]*\z"))
+    return F.regexp_like(name, F.lit(r"^[A-Z][_A-Z0-9]*\z"))

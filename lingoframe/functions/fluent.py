@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lingoframe.functions.strings import found, stripped
 
-IDENT = r"[A-Za-z][A-Za-z0-9_-]*"
-EMPTY = ("", '{""}', '{ "" }')
+IDENT = r"[a-zA-Z][-_a-zA-Z0-9]*"
+EMPTY = tuple('|{""}|{ "" }'.split("|"))
 GENDER = ("fem", "masc", "neut")
 ENUMS = {"buff-kind": "burning bleeding curse crippled frozen mysterious", "weapon-kind": "sword axe hammer bow staff sceptre", "hire-period": "day week unknown", "time-unit": "days hours minutes seconds"}
-CLDR = ("zero", "one", "two", "few", "many", "other")
-ENGINE = ("victim_gender", "attacker_gender", "user_gender", "player_gender", "gender")
+CLDR = tuple("few many one other two zero".split())
+ENGINE = ("gender", *[f"{who}_gender" for who in ("attacker", "player", "user", "victim")])
 
 
 def is_empty(text: Column) -> Column:
@@ -48,7 +48,7 @@ def is_engine(name: Column) -> Column:
 
 def variant_keys(text: Column) -> Column:
     """(key, starred) of every bracketed key, wherever it stands."""
-    pattern = r"(\*?)\[\s*([A-Za-z0-9_ .-]+?)\s*\]"
+    pattern = r"(\*)?\[\s*([- ._a-zA-Z0-9]+?)\s*\]"
     return F.transform(found(text, pattern), lambda t: F.struct(F.regexp_extract(t, pattern, 2).alias("key"), t.startswith("*").alias("starred")))
 
 
@@ -60,7 +60,7 @@ def classify(inner: Column) -> Column:
     """(kind, detail) of a stripped placeable: var, selector, term-ref, literal, function, msg-ref or other."""
     pick = lambda p, g=1: F.regexp_extract(inner, p, g)
     arrow = inner.contains("->")
-    call, ref = r"^([A-Z][A-Z0-9_]+)(?U)\s*\(", rf"^({IDENT}(\.{IDENT})?)\z"
+    call, ref = r"^([A-Z][_A-Z0-9]+)(?U)\s*\(", rf"^({IDENT}(\.{IDENT})?)\z"
     kind = (
         F.when(arrow, "selector").when(inner.startswith("$"), "var").when(inner.startswith("-"), "term-ref").when(inner.startswith('"'), "literal")
         .when(F.regexp_like(inner, F.lit(call)), "function").when(F.regexp_like(inner, F.lit(ref)), "msg-ref").otherwise("other")

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from lingoframe.functions.strings import found, hex_id, sorted_set
 
 UNIT = "\u001f"
+_NAMES = "amp|apos|gt|lt|quot|#[0-9]+|#0?x[0-9a-fA-F]+"
 TOKENS = (
-    ("wml_var", r"(?U)\$[A-Za-z_]\w*(\.[A-Za-z_]\w*)*(\[\d+\])?\|?"),
-    ("markup_tag", r"(?U)</?[A-Za-z]\w*(\s[^>]*?)?/?>"),
+    ("wml_var", r"(?U)\$[_a-zA-Z]\w*(\.[_a-zA-Z]\w*)*(\[\d+\])?[|]?"),
+    ("markup_tag", r"(?U)</?[a-zA-Z]\w*(\s[^>]*|/)?>"),
     ("text_attr", r"text='[^']*'"),
-    ("entity", r"&(quot|lt|gt|amp|apos|#(0x[0-9A-Fa-f]+|x[0-9A-Fa-f]+|[0-9]+));"),
+    ("entity", f"&({_NAMES});"),
     ("escape", r'\\[ntr"\\]'),
-    ("printf", r"%[-#0-9.]*[0-9]*\$?[sdiouxXeEfFgGcp%]"),
-    ("brace_var", r"\{[A-Za-z_][A-Za-z0-9_]*\}"),
+    ("printf", r"%[-#0-9.]*\$?[cdefgiopsuxEFGX%]"),
+    ("brace_var", r"\{[_a-zA-Z][_a-zA-Z0-9]*\}"),
 )
 PATTERN = dict(TOKENS)
-ANGLE = r"(?U)<\s*(/?)\s*([A-Za-z]\w*)[^>]*?(/?)\s*>"
-PANGO = "b i u s tt big small sub sup span bold italic underline header h format ref img jump character".split()
-DOCBOOK = "emphasis imageobject imagedata link ulink literal placeholder phrase quote citetitle superscript subscript keycap keycombo guimenu guimenuitem guibutton guilabel guiicon menuchoice varlistentry listitem simpara inlinemediaobject mediaobject screenshot".split()
+ANGLE = r"(?U)<\s*(/)?\s*([a-zA-Z]\w*)[^>]*?(/)?\s*>"
+PANGO = "b big bold character format h header i img italic jump ref s small span sub sup tt u underline".split()
+DOCBOOK = "citetitle emphasis guibutton guiicon guilabel guimenu guimenuitem imagedata imageobject inlinemediaobject keycap keycombo link listitem literal mediaobject menuchoice phrase placeholder quote screenshot simpara subscript superscript ulink varlistentry".split()
 #: Elements without a closing tag.
 ALONE = "imagedata xref anchor inlinegraphic colspec".split()
 KNOWN = PANGO + DOCBOOK
@@ -29,7 +30,7 @@ GROUPS = {
     "tutorial": ["wesnoth-tutorial"], "mp_editor": ["wesnoth-multiplayer", "wesnoth-editor"], "tools": ["wesnoth-tools"],
     "campaign": ["wesnoth-" + x for x in "anl did dod dw ei h2tt httt l low nr pap sof sota sotbe tb tdg thot trow tsg utbs wc wof".split()],
 }
-SLUGS = {"gender/agreement": "gender_agreement", "add-ons": "addons", "SI number units": "si_units", "list grammar": "list_grammar", "hotkeys": "hotkeys", "files/storage": "files_storage", "system/env": "system_env", "other/UI": "other_ui"}
+SLUGS = dict(reversed(x.split("=")) for x in "addons=add-ons|files_storage=files/storage|gender_agreement=gender/agreement|hotkeys=hotkeys|list_grammar=list grammar|other_ui=other/UI|si_units=SI number units|system_env=system/env".split("|"))
 
 
 def prefix(msgid: Column, mark: str = "^") -> Column:
@@ -53,8 +54,8 @@ def family(prefix_: Column) -> Column:
         .when(starts(prefix_, "prefix_", "infix_"), "SI number units")
         .when(starts(prefix_, "conjunct", "disjunct"), "list grammar")
         .when(prefix_.contains("hotkey"), "hotkeys")
-        .when(starts(prefix_, "filesystem", "save_compression", "cache", "dir_size"), "files/storage")
-        .when(starts(prefix_, "log_level", "cpu_architecture", "operating_system", "pixel_scale", "game_version"), "system/env")
+        .when(starts(prefix_, "cache", "dir_size", "filesystem", "save_compression"), "files/storage")
+        .when(starts(prefix_, "cpu_architecture", "game_version", "log_level", "operating_system", "pixel_scale"), "system/env")
         .otherwise("other/UI")
     )
 
@@ -75,7 +76,7 @@ def state(flags: Column, msgstr: Column) -> Column:
 
 def markup_family(text: Column) -> Column:
     """po4a if a capital opens an angle and no closing tag stands there, else tag."""
-    return F.when(F.regexp_like(text, F.lit("[A-Z]<")) & ~F.regexp_like(text, F.lit(r"(?U)</[A-Za-z]\w*\s*>")), "po4a").otherwise("tag")
+    return F.when(F.regexp_like(text, F.lit("[A-Z]<")) & ~F.regexp_like(text, F.lit(r"(?U)</[a-zA-Z]\w*\s*>")), "po4a").otherwise("tag")
 
 
 def angles(text: Column) -> Column:
@@ -139,7 +140,7 @@ def stray_backslashes(text: Column) -> Column:
 def bare_ampersands(text: Column) -> Column:
     """How many & begin no entity, in a text that has markup; else 0."""
     markup = F.regexp_like(text, F.lit(PATTERN["entity"])) | F.exists(angles(text), lambda t: t["name"].isin(KNOWN))
-    return F.when(markup, F.regexp_count(text, F.lit("&(?!(quot|lt|gt|amp|apos|#(0x[0-9A-Fa-f]+|x[0-9A-Fa-f]+|[0-9]+));)"))).otherwise(0)
+    return F.when(markup, F.regexp_count(text, F.lit(f"&(?!({_NAMES});)"))).otherwise(0)
 
 
 def po4a_balance(text: Column) -> tuple[Column, Column, Column]:

@@ -14,8 +14,8 @@ from lingoframe.functions.fluent import IDENT
 from lingoframe.functions.gettext import ALONE, KNOWN
 
 _VARIABLE = re.compile(rf"\$({IDENT})")
-_ANGLE = re.compile(r"<\s*(/?)\s*([A-Za-z]\w*)[^>]*?(/?)\s*>")
-_KEY = re.compile(r"(\*?)\[\s*([A-Za-z0-9_ .-]+?)\s*\]")
+_ANGLE = re.compile(r"<\s*(/)?\s*([a-zA-Z]\w*)[^>]*?(/)?\s*>")
+_KEY = re.compile(r"(\*)?\[\s*([- ._a-zA-Z0-9]+?)\s*\]")
 CLDR = frozenset("zero one two few many other".split())
 
 
@@ -77,7 +77,7 @@ def kind_of(inner: str) -> tuple[str, str]:
         return "term-ref", term[0] if term else inner
     if inner.startswith('"'):
         return "literal", inner[1:-1]
-    if call := re.match(r"([A-Z][A-Z0-9_]+)\s*\(", inner):
+    if call := re.match(r"([A-Z][_A-Z0-9]+)\s*\(", inner):
         return "function", call[1]
     return ("msg-ref", inner) if re.fullmatch(rf"{IDENT}(\.{IDENT})?", inner) else ("other", inner)
 

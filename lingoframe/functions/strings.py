@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a backslash and this letter stand for; any other letter stands for itself.
-ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+ESCAPES = dict(zip("abfnrtv", "\a\b\f\n\r\t\v"))
 
 
 def stripped(text: Column) -> Column:

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from lingoframe.functions.strings import found, stripped, strict_json
 
-SCALAR, ARRAY, EMPTY = "scalar", "array", "empty"
+EMPTY, ARRAY, SCALAR = "empty array scalar".split()
 TOKENS = (("format-slot", r"\{[0-9]+\}"), ("newline", r"\\n"))
 #: Signs of a syntax that such files don't have; not looked for in arrays.
 PROBES = (
     ("angle-tag", r"<[^>]+>"),
-    ("html-entity", r"&[#a-zA-Z0-9]+;"),
-    ("bbcode", r"\[/?[a-zA-Z][a-zA-Z0-9 =._-]*\]"),
-    ("curly-nonnum", r"\{[^}0-9][^}]*\}"),
-    ("dollar-var", r"\$\{?[a-zA-Z_]"),
-    ("percent-spec", r"%[0-9]*[a-zA-Z]"),
+    ("html-entity", r"&[#0-9A-Za-z]+;"),
+    ("bbcode", r"\[/?[A-Za-z][-=. _0-9A-Za-z]*\]"),
+    ("curly-nonnum", r"\{[^0-9}][^}]*\}"),
+    ("dollar-var", r"\$\{?[_A-Za-z]"),
+    ("percent-spec", r"%[0-9]*[A-Za-z]"),
     ("at-var", r"@[a-zA-Z_]"),
     ("other-escape", r"\\[a-mo-zA-Z]"),
 )
@@ -34,7 +34,7 @@ def name(key: Column) -> Column:
 
 def tags(description: Column) -> Column:
     """Bracketed words of a description, in order."""
-    return found(description, r"\[([^\]]+)\]", 1)
+    return found(description, r"\[([^\x5d]+)\]", 1)
 
 
 def shape(value: Column) -> Column:

@@ -30,7 +30,7 @@ def unknown_attributes(units: DataFrame) -> DataFrame:
 
 
 def key_outliers(units: DataFrame) -> DataFrame:
-    return units.where(F.col("attr").isNull() & ~F.regexp_like("id", F.lit(r"^-?[a-z][a-z0-9_-]*\z")))
+    return units.where(F.col("attr").isNull() & ~F.regexp_like("id", F.lit(r"\A-?[a-z][-_a-z0-9]*\z")))
 
 
 def prefixes(units: DataFrame) -> DataFrame:

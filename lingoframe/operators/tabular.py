@@ -159,7 +159,7 @@ def parity_summary(cells: DataFrame, source: str = "en") -> DataFrame:
     return slots.unionByName(arrays).groupBy("locale", "rule").agg(F.count("*").alias("n"))
 
 
-def columns_audit(header: DataFrame, known: tuple[str, ...] = ("key", "description", "en", "zh", "fr", "pt", "pl", "ua", "th", "es")) -> DataFrame:
+def columns_audit(header: DataFrame, known: tuple[str, ...] = ("description", "key", "en", "es", "fr", "pl", "pt", "th", "ua", "zh")) -> DataFrame:
     """Header columns that the registry doesn't know."""
     return header.where(~F.col("column").isin(*known))
 

@@ -54,7 +54,7 @@ _W = f"WITH {with_('cwz_en', 'cwz_other')}"
 _KEYED = """, pieces AS (SELECT *, string_split(key, '.') AS p FROM cwz_en), at_ AS (SELECT *, coalesce(list_position(list_transform(p, lambda s: regexp_full_match(s, '[0-9]+')), true), 0) AS a FROM pieces),
 keyed0 AS (SELECT *, contains(key, '.') AND a > 0 AS dotted, CASE WHEN NOT contains(key, '.') THEN '' WHEN a > 0 THEN array_to_string(list_slice(p, 1, a - 1), '.') ELSE key END AS namespace,
   CASE WHEN a > 0 THEN p[a] ELSE '' END AS event_id, CASE WHEN a > 0 THEN array_to_string(list_slice(p, a + 1, len(p)), '.') ELSE '' END AS part,
-  regexp_extract(key, '^([A-Z]{3})(_|$)', 1) AS tag, regexp_extract(key, '_([A-Za-z][A-Za-z0-9]*)$', 1) AS suffix FROM at_),
+  regexp_extract(key, '^([A-Z]{3})(_|$)', 1) AS tag, regexp_extract(key, '_([a-zA-Z][a-zA-Z0-9]*)$', 1) AS suffix FROM at_),
 keyed1 AS (SELECT *, split_part(part, '.', 1) AS head, regexp_replace(split_part(part, '.', 1), '[0-9]+$', '') AS base FROM keyed0),
 keyed AS (SELECT *, CASE WHEN part = '' THEN 'none' WHEN contains(part, '.tt') OR base = 'tt' THEN 'tooltip' WHEN base IN ('t', 'title') THEN 'title' WHEN base IN ('d', 'desc', 'warning') THEN 'body'
   WHEN base IN ('do', 'opt') THEN 'option' WHEN regexp_full_match(base, '[a-z]') OR regexp_full_match(head, '[0-9]+') THEN 'option' ELSE 'named-variant' END AS part_kind FROM keyed1)

@@ -58,22 +58,22 @@ QUERIES = {
 _W = f"WITH {with_('ftl_src', 'ftl_tr')}"
 _EMPTY = "trim({0}) IN ('', '{{\"\"}}', '{{ \"\" }}')"
 _ROLE = "CASE WHEN attr IS NULL THEN 'value' WHEN attr IN ('desc', 'stat') THEN 'metadata' WHEN attr IN ('fem', 'masc', 'neut') THEN 'gender' WHEN regexp_full_match(attr, 'a[0-9]+') THEN 'variant' WHEN attr IN ('burning') THEN 'enum' ELSE 'other' END"
-_VARS = "regexp_extract_all({0}, '\\$([A-Za-z][A-Za-z0-9_-]*)', 1)"
+_VARS = "regexp_extract_all({0}, '\\$([a-zA-Z][-_a-zA-Z0-9]*)', 1)"
 _SET = f"list_sort(list_distinct({_VARS}))"
 _BARE = "regexp_replace({0}, '\"[^\"]*\"', '', 'g')"
 _BALANCED = f"length(replace({_BARE}, '{{{{', '')) = length(replace({_BARE}, '}}}}', ''))"
 _PAIRS = f""", s AS (SELECT id, attr, max_by(text, ord) AS source FROM ftl_src GROUP BY ALL), t AS (SELECT locale, id, attr, max_by(text, ord) AS target FROM ftl_tr GROUP BY ALL),
 both_ AS (SELECT t.*, source, s.id IS NULL AS orphan, {_ROLE.replace("attr", "t.attr")} AS role FROM t LEFT JOIN s ON t.id = s.id AND t.attr IS NOT DISTINCT FROM s.attr),
-live AS (SELECT *, {_BALANCED.format("target")} AS ok, array_to_string(list_filter({_SET.format("target")}, lambda v: NOT list_contains({_SET.format("source")}, v) AND NOT (v IN ('victim_gender', 'attacker_gender', 'user_gender', 'player_gender', 'gender') OR ends_with(v, '_gender'))), ',') AS invented,
+live AS (SELECT *, {_BALANCED.format("target")} AS ok, array_to_string(list_filter({_SET.format("target")}, lambda v: NOT list_contains({_SET.format("source")}, v) AND NOT (v IN ('gender', 'attacker_gender', 'player_gender', 'user_gender', 'victim_gender') OR ends_with(v, '_gender'))), ',') AS invented,
   array_to_string(list_filter({_SET.format("source")}, lambda v: NOT list_contains({_SET.format("target")}, v)), ',') AS dropped FROM both_ WHERE NOT orphan AND NOT ({_EMPTY.format("target")}) AND NOT ({_EMPTY.format("source")}))
 """
 _MARKS = """, marks AS (SELECT id, trim(m[2:-2]) AS p FROM (SELECT id, unnest(regexp_extract_all(text, '\\{(?:[^{}"]|"[^"]*"|\\{[^{}]*\\})*\\}')) AS m FROM ftl_src)),
 kinds AS (SELECT id, p, CASE WHEN contains(p, '->') THEN 'selector' WHEN starts_with(p, '$') THEN 'var' WHEN starts_with(p, '-') THEN 'term-ref' WHEN starts_with(p, '"') THEN 'literal'
-  WHEN regexp_matches(p, '^[A-Z][A-Z0-9_]+\\s*\\(') THEN 'function' WHEN regexp_full_match(p, '[A-Za-z][A-Za-z0-9_-]*(\\.[A-Za-z][A-Za-z0-9_-]*)?') THEN 'msg-ref' ELSE 'other' END AS kind FROM marks),
-detailed AS (SELECT id, p, kind, CASE kind WHEN 'selector' THEN regexp_extract(p, '\\$([A-Za-z][A-Za-z0-9_-]*)', 1) WHEN 'var' THEN regexp_extract(p, '^\\$([A-Za-z][A-Za-z0-9_-]*)', 1) WHEN 'term-ref' THEN regexp_extract(p, '^-[A-Za-z][A-Za-z0-9_-]*')
-  WHEN 'literal' THEN p[2:-2] WHEN 'function' THEN regexp_extract(p, '^[A-Z][A-Z0-9_]+') ELSE p END AS detail FROM kinds)
+  WHEN regexp_matches(p, '^[A-Z][_A-Z0-9]+\\s*\\(') THEN 'function' WHEN regexp_full_match(p, '[a-zA-Z][-_a-zA-Z0-9]*(\\.[a-zA-Z][-_a-zA-Z0-9]*)?') THEN 'msg-ref' ELSE 'other' END AS kind FROM marks),
+detailed AS (SELECT id, p, kind, CASE kind WHEN 'selector' THEN regexp_extract(p, '\\$([a-zA-Z][-_a-zA-Z0-9]*)', 1) WHEN 'var' THEN regexp_extract(p, '^\\$([a-zA-Z][-_a-zA-Z0-9]*)', 1) WHEN 'term-ref' THEN regexp_extract(p, '^-[a-zA-Z][-_a-zA-Z0-9]*')
+  WHEN 'literal' THEN p[2:-2] WHEN 'function' THEN regexp_extract(p, '^[A-Z][_A-Z0-9]+') ELSE p END AS detail FROM kinds)
 """
-_VARIANTS = "regexp_extract_all({0}, '\\*?\\[\\s*[A-Za-z0-9_ .-]+?\\s*\\]')"
+_VARIANTS = "regexp_extract_all({0}, '\\*?\\[\\s*[- ._a-zA-Z0-9]+?\\s*\\]')"
 
 ORACLES = {
     "ftl_census": _W + f"""SELECT CAST(count_if(attr IS NULL AND NOT starts_with(id, '-')) AS BIGINT) AS messages, CAST(count_if(attr IS NULL AND starts_with(id, '-')) AS BIGINT) AS terms, CAST(count_if(attr IS NOT NULL) AS BIGINT) AS attributes,
@@ -84,7 +84,7 @@ ORACLES = {
     "ftl_select": _W + f"SELECT ord, id, attr, text FROM ftl_src WHERE NOT ({_EMPTY.format('text')}) AND contains(file, 'f1') AND starts_with(id, 'msg-') AND {_ROLE} IN ('value', 'metadata') AND len({_VARS.format('text')}) > 0",
     "ftl_variables_charset": _W + f"""SELECT variable, CASE WHEN regexp_matches(variable, '[A-Z]') AND NOT regexp_matches(variable, '[a-z]') THEN 'UPPER' WHEN contains(variable, '-') THEN 'has-hyphen' WHEN regexp_matches(variable, '[0-9]') THEN 'has-digit' ELSE 'lower_snake' END AS charset,
       count(*) AS occurrences, count(DISTINCT id) AS ids, CAST(count_if(attr IS NULL) AS BIGINT) AS in_values, CAST(count_if(attr IS NOT NULL) AS BIGINT) AS in_attributes FROM (SELECT id, attr, unnest({_VARS.format("text")}) AS variable FROM ftl_src) GROUP BY ALL""",
-    "ftl_variant_keys": _W + f"""SELECT key, starred, CASE WHEN key IN ('zero', 'one', 'two', 'few', 'many', 'other') OR regexp_full_match(key, '-*[0-9]+') THEN 'fluent' ELSE 'unknown' END AS origin, count(*) AS n
+    "ftl_variant_keys": _W + f"""SELECT key, starred, CASE WHEN key IN ('few', 'many', 'one', 'other', 'two', 'zero') OR regexp_full_match(key, '-*[0-9]+') THEN 'fluent' ELSE 'unknown' END AS origin, count(*) AS n
       FROM (SELECT trim(ltrim(m, '*')[2:-2]) AS key, starts_with(m, '*') AS starred FROM (SELECT unnest({_VARIANTS.format("text")}) AS m FROM ftl_src WHERE contains(text, '->'))) GROUP BY ALL""",
     "ftl_gender_pairs": _W + """SELECT id, coalesce(max_by(text, ord) FILTER (attr = 'masc'), '') AS masc, coalesce(max_by(text, ord) FILTER (attr = 'fem'), '') AS fem, coalesce(max_by(text, ord) FILTER (attr = 'neut'), '') AS neut,
       count_if(attr = 'masc') > 0 AND count_if(attr = 'fem') > 0 AS complete FROM ftl_src WHERE attr IN ('masc', 'fem', 'neut') GROUP BY id""",
@@ -92,7 +92,7 @@ ORACLES = {
     "ftl_placeable_kinds": _W + _MARKS + "SELECT kind, detail, count(*) AS n FROM detailed GROUP BY ALL",
     "ftl_drift": _W + _MARKS + f"""SELECT 'attribute' AS category, attr AS name, count(*) AS n FROM ftl_src WHERE {_ROLE} = 'other' GROUP BY ALL UNION ALL SELECT 'function', detail, count(*) FROM detailed WHERE kind = 'function' AND detail NOT IN ('NUMBER', 'DATETIME', 'TAIL') GROUP BY ALL
       UNION ALL SELECT 'placeable', p[1:40], count(*) FROM detailed WHERE kind = 'other' GROUP BY ALL UNION ALL SELECT 'variant-key', key, count(*) FROM (SELECT trim(ltrim(m, '*')[2:-2]) AS key FROM (SELECT unnest({_VARIANTS.format("p")}) AS m FROM detailed WHERE kind = 'selector'))
-      WHERE key NOT IN ('zero', 'one', 'two', 'few', 'many', 'other') AND NOT regexp_full_match(key, '-*[0-9]+') GROUP BY ALL""",
+      WHERE key NOT IN ('few', 'many', 'one', 'other', 'two', 'zero') AND NOT regexp_full_match(key, '-*[0-9]+') GROUP BY ALL""",
     "ftl_crosslocale": _W + _PAIRS + """SELECT locale, id, coalesce(attr, '') AS attr, rule, detail FROM (SELECT *, 'ftl.pair.orphan' AS rule, '' AS detail FROM (SELECT locale, id, attr FROM both_ WHERE orphan) UNION ALL
       SELECT locale, id, attr, 'ftl.pair.unbalanced', '' FROM live WHERE NOT ok UNION ALL SELECT locale, id, attr, 'ftl.pair.invented_var', invented FROM live WHERE ok AND role <> 'variant' AND invented <> ''
       UNION ALL SELECT locale, id, attr, 'ftl.pair.dropped_var', dropped FROM live WHERE ok AND role <> 'variant' AND NOT contains(source, '->') AND dropped <> ''

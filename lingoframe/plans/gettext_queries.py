@@ -34,7 +34,7 @@ def _tr(s, d):
 def _flat_bundle(s, d):
     rows = bilingual.rows(_src(s, d))
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return rows.select("segment_id", "seq", "textdomain", "file", "msgctxt", "source_en", "source_en_display", "target_pl", "target_pl_display", "fuzzy", joined("placeholders"), joined("markup_flags"), "string_class", F.col("neighbours.prev").alias("prev"), F.col("neighbours.next").alias("next"), "pool", "placeholder_check", F.array_join(F.coalesce("source_ref", F.array().cast("array<string>")), ",").alias("source_ref"), F.size("plural_forms.target_forms").alias("forms"))
+    return rows.select("seq", "segment_id", "file", "textdomain", "source_en", "target_pl", "msgctxt", "source_en_display", "target_pl_display", "fuzzy", joined("placeholders"), joined("markup_flags"), "string_class", F.col("neighbours.prev").alias("prev"), F.col("neighbours.next").alias("next"), "pool", "placeholder_check", F.array_join(F.coalesce("source_ref", F.array().cast("array<string>")), ",").alias("source_ref"), F.size("plural_forms.target_forms").alias("forms"))
 
 
 def _pairs(s, d):
@@ -77,10 +77,10 @@ QUERIES = {
     "pages_angle_tokens": _angles,
 }
 
-_ANGLE = "<\\s*(/?)\\s*([A-Za-z]\\w*)[^>]*?(/?)\\s*>"
+_ANGLE = "<\\s*(/)?\\s*([a-zA-Z]\\w*)[^>]*?(/)?\\s*>"
 _PREFIX = "nullif(regexp_extract(msgid, '^([^\\^]{1,40})\\^', 1), '')"
-_NAMED = "list_distinct(list_concat(list_transform(regexp_extract_all({0}, '\\$[A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)*(?:\\[\\d+\\])?\\|?'), lambda x: rtrim(x, '|')), regexp_extract_all({0}, '\\{{[A-Za-z_][A-Za-z0-9_]*\\}}')))"
-_PRINTF = "regexp_extract_all({0}, '%[-#0-9.]*\\d*\\$?[sdiouxXeEfFgGcp%]')"
+_NAMED = "list_distinct(list_concat(list_transform(regexp_extract_all({0}, '\\$[_a-zA-Z]\\w*(?:\\.[_a-zA-Z]\\w*)*(?:\\[\\d+\\])?[|]?'), lambda x: rtrim(x, '|')), regexp_extract_all({0}, '\\{{[_a-zA-Z][_a-zA-Z0-9]*\\}}')))"
+_PRINTF = "regexp_extract_all({0}, '%[-#0-9.]*\\$?[cdefgiopsuxEFGX%]')"
 _HOLD = f"list_sort(list_distinct(list_concat({_NAMED}, {_PRINTF})))"
 _UNESCAPE = "replace(replace(replace(replace({0}, chr(92) || chr(92), chr(1)), chr(92) || 'n', chr(10)), chr(92), ''), chr(1), chr(92))"
 _FAM = """CASE WHEN prefix = 'gender' OR contains(lower(prefix), 'female') OR starts_with(lower(prefix), 'male') OR contains(lower(prefix), '_male') OR contains(lower(prefix), 'plural') OR contains(lower(prefix), 'addressed') OR regexp_matches(lower(prefix), '^(self_|friend_is_|race\\+)') THEN 'gender/agreement'
@@ -101,7 +101,7 @@ _KNOWN = "(" + ", ".join(f"'{t}'" for t in G.KNOWN) + ")"
 _PANGO = "(" + ", ".join(f"'{t}'" for t in G.PANGO) + ")"
 _DOCBOOK = "(" + ", ".join(f"'{t}'" for t in G.DOCBOOK) + ")"
 _TAGS = f"list_transform(regexp_extract_all(msgid, '{_ANGLE}'), lambda t: lower(regexp_extract(t, '{_ANGLE}', 2)))"
-_ENTITY = "&(?:quot|lt|gt|amp|apos|#(?:0x[0-9A-Fa-f]+|x[0-9A-Fa-f]+|\\d+));"
+_ENTITY = "&(?:amp|apos|gt|lt|quot|#[0-9]+|#0?x[0-9a-fA-F]+);"
 _BUNDLE = f""", derived AS (SELECT *, nullif(forms[1], '') AS target, coalesce(flag = 'fuzzy', false) AS fuzzy, {_HOLD.format("msgid")} AS hold, list_filter(forms, lambda f: f <> '') AS live FROM x),
 held AS (SELECT *, list_distinct(flatten(list_transform(live, lambda f: {_HOLD.format("f")}))) AS thold FROM derived),
 made AS (SELECT *, CASE WHEN target IS NULL OR fuzzy THEN 'untranslated' ELSE 'eval' END AS pool,

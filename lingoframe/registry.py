@@ -20,7 +20,7 @@ def rows() -> list[tuple[str, str, str, str, str]]:
     out += [("cwz", "part", w, kind, "project") for kind, words in clausewitz.CORE_PARTS.items() for w in words]
     out += [("ftl", "attribute", n, r, "project") for n, r in [("desc", "metadata"), ("stat", "metadata"), *[(g, "gender") for g in fluent.GENDER]]]
     out += [("ftl", "attribute", w, "enum", "project") for words in fluent.ENUMS.values() for w in words.split()]
-    out += [("ftl", "placeable", n, n, "fluent") for n in ("var", "selector", "term-ref", "msg-ref", "literal")]
+    out += [("ftl", "placeable", n, n, "fluent") for n in "literal msg-ref selector term-ref var".split()]
     out += [("ftl", "function", n, "formatter", o) for n, o in (("NUMBER", "fluent"), ("DATETIME", "fluent"), ("TAIL", "project"))]
     out += [("ftl", "variant-key", n, "plural", "fluent") for n in fluent.CLDR] + [("ftl", "piece", n, "selector", "fluent") for n in ("selector-head", "selector-key", "selector-close")]
     out += [("ftl", "engine-variable", n, "agreement", "project") for n in fluent.ENGINE]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lingoframe.sources import files
 
-ENTRY = r'^(?s)\s*([A-Za-z0-9_.\-]+):\s*(\d+)?\s*"(.*)"\s*(#.*)?\z'
-HEADER = r"^\s*l_([a-z_]+):\s*(#.*)?\z"
+ENTRY = r'^(?s)\s*([\w.\-]+):\s*(\d*)\s*"(.*)"\s*(#.*)?\z'
+HEADER = r"\A\s*l_([_a-z]+):\s*(#.*)?\z"
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    return rows.where("is_entry").select("key", "version", "value", "lang", "file", "line")
+    return rows.where("is_entry").select("file", "line", "lang", "key", "version", "value")
 
 
 def warnings(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The readers as data sources: spark.read.format("po" | "ftl" | "clausewitz" | "lockit_csv").load(path)."""
+"""The readers as data sources: spark.read.format("po" | "ftl" | "clausewitz" | "locale_csv").load(path)."""
 
 from __future__ import annotations
 
@@ -66,7 +66,7 @@ class CsvSource(DataSource):
 
     @classmethod
     def name(cls):
-        return "lockit_csv"
+        return "locale_csv"
 
     def schema(self):
         from lingoframe.sources import table

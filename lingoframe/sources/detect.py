@@ -10,7 +10,7 @@ from lingoframe.sources import files
 SIGNS = (
     ("po", r"(?m)^msgid \"", r"(?m)^msgstr(\[\d+\])? \""),
     ("clausewitz", r"(?m)^\s*l_[a-z_]+:\s*(#.*)?$", r'(?m)^\s*[A-Za-z0-9_.\-]+:\s*\d*\s*".*"'),
-    ("ftl", r"(?m)^-?[A-Za-z][A-Za-z0-9_-]*[ \t]*=", r"\{\s*[$\"-]|(?m)^[ \t]+\.[A-Za-z]"),
+    ("ftl", r"(?m)^-?[a-zA-Z][-_a-zA-Z0-9]*[ \t]*=", r"\{\s*[$\"-]|(?m)^[ \t]+\.[A-Za-z]"),
     ("csv", r"^[^\r\n]*\bkey\b[^\r\n]*,", r"^([^\r\n,]*,)+[^\r\n]*\R([^\r\n]*,)"),
 )
 SUFFIXES = (("po", r"\.pot?\z"), ("clausewitz", r"\.ya?ml\z"), ("ftl", r"\.ftl\z"), ("csv", r"\.[ct]sv\z"))

@@ -79,7 +79,7 @@ def read(spark: SparkSession, path: str, sections: bool = True) -> DataFrame:
         for batch in batches:
             for name, text in zip(batch["file"], batch["text"]):
                 rows = parse(text, sections)
-                made = {c: [r[c] for r in rows] for c in ("line", "kind", "id", "value", "attributes", "comment", "section")}
+                made = {c: [r[c] for r in rows] for c in "line kind id value attributes comment section".split()}
                 yield type(batch)({"file": [name] * len(rows), "ord": list(range(len(rows))), **made})
 
     return files.whole(spark, path, "*.ftl", True).mapInPandas(run, SCHEMA)

@@ -107,8 +107,8 @@ def header_facts(entries: DataFrame) -> DataFrame:
     """(domain, nplurals, revision_date) from the first header of each domain that has a msgstr; nplurals null and the date
     '' where the header lacks them."""
     heads = entries.where(F.col("is_header") & (F.size("msgstr") > 0)).groupBy("domain").agg(F.min_by(F.get("msgstr", F.lit(0)), "lineno").alias("h"))
-    number = F.nullif(F.regexp_extract("h", r"nplurals\s*=\s*(\d+)", 1), F.lit("")).cast("int")
-    return heads.select("domain", number.alias("nplurals"), F.trim(F.regexp_extract("h", r"PO-Revision-Date:\s*([^\\]*)", 1)).alias("revision_date"))
+    number = F.nullif(F.regexp_extract("h", r"nplurals *= *(\d+)", 1), F.lit("")).cast("int")
+    return heads.select("domain", number.alias("nplurals"), F.trim(F.regexp_extract("h", r"PO-Revision-Date: *([^\\]*)", 1)).alias("revision_date"))
 
 
 def inventory(spark: SparkSession, root: str, locale: str) -> DataFrame:

@@ -112,7 +112,8 @@ def test_provenance(tmp_path):
 
 
 def test_schema_checker():
-    s = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"$ref": "#/$defs/w"}, "c": {"type": ["string", "null"]}}, "$defs": {"w": {"type": "array", "items": {"enum": ["x"]}}}}
+    fields = {"a": dict(type="integer", minimum=1), "b": {"$ref": "#/$defs/w"}, "c": dict(type=["string", "null"])}
+    s = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": fields, "$defs": {"w": dict(type="array", items={"enum": ["x"]})}}
     assert schema.problems({"a": 1, "b": ["x"], "c": None}, s) == []
     assert len(schema.problems({"a": True, "b": ["y"], "z": 1}, s)) == 3 and schema.problems({}, s) and schema.problems([], s)
 

@@ -21,7 +21,7 @@ def values(spark, texts, make):
 
 
 def slow_unescape(raw):
-    return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}.get(m[1], m[1]), raw, flags=re.S)
+    return re.sub(r"\\(.)", lambda m: dict(zip("abfnrtv", "\a\b\f\n\r\t\v")).get(m[1], m[1]), raw, flags=re.S)
 
 
 @settings(max_examples=3, deadline=None)
@@ -102,7 +102,7 @@ def test_families(spark):
 
 def test_verdicts(spark):
     rows = spark.createDataFrame([("$a", ["$a"]), ("$a", ["x"]), ("x", ["$a"]), ("$a", ["$b"]), ("x", ["y"]), ("$a", [""]), ("$a $b", ["$a", "$b|"]), ("100%percent", ["x"])], "s string, t array<string>")
-    assert [r.v for r in rows.select(G.verdict(F.col("s"), F.col("t")).alias("v")).collect()] == ["ok", "source_only", "target_only", "mismatch", "not_applicable", "not_applicable", "ok", "source_only"]
+    assert [r.v for r in rows.select(G.verdict(F.col("s"), F.col("t")).alias("v")).collect()] == "ok source_only target_only mismatch not_applicable not_applicable ok source_only".split()
 
 
 def test_variable_ends_before_a_full_stop(spark):
@@ -119,7 +119,7 @@ def test_ampersands(spark):
 
 
 def test_fluent_expressions(spark):
-    assert values(spark, ["", ' {""} ', '{ "" }', "x", None], L.is_empty) == [True, True, True, False, True]
+    assert values(spark, ['{ "" }', "", ' {""} ', "x", None], L.is_empty) == [True, True, True, False, True]
     assert values(spark, [None, "desc", "fem", "a12", "axe", "other"], L.attribute_role) == ["value", "metadata", "gender", "variant", "enum", "other"]
     assert values(spark, ["XP", "a-b", "a1", "name", "aB"], L.charset) == ["UPPER", "has-hyphen", "has-digit", "lower_snake", "lower_snake"]
     got = values(spark, ["*[other] x [one] y"], L.variant_keys)[0]
