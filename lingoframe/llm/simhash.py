@@ -35,6 +35,8 @@ LIST, LEAF = 8192, 2048
 #: Recursions inside a list; a list that is still large then is full of near duplicates.
 DEEPEST = 3
 PARTS = ["f0", "f1", "f2", "f3"]
+#: Bits of the filter of keys that deduplicated() sends to all tasks: 8 MB whatever the number of keys.
+FILTER_BITS = 1 << 26
 
 
 def _weights(n_docs: int, owner: np.ndarray, feature: np.ndarray) -> np.ndarray:
@@ -226,19 +228,38 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits at the hashes of some keys, in words of 64; the driver gets a row a word at most."""
+    rows = keys.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit")
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return words
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:
     """The rows of df, all columns, with one document of each group; of repeated rows of one document one stays.
 
-    Rows whose text is null or has no word all stay. Only (id, hash) pairs of what goes are joined to the rows; a broadcast
-    is left to the optimizer, which knows the size of that written table.
+    Rows whose text is null or has no word all stay. A filter of a fixed size, sent to all tasks, tells which rows may be
+    concerned; the texts of those alone are shuffled, to be joined exactly to the (id, hash) pairs of what goes. The fuller
+    the filter, the more rows take the join; the outcome is the same.
     """
+    key = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"))
     groups = written(duplicate_groups(df, id_col, text_col, distance, recall), "groups")
     gone = written(groups.where(~F.col("is_kept")).select(F.struct("doc_id", F.col("text_hash").alias("h")).alias("lf_key")), "gone")
-    keyed = df.withColumn("lf_key", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h")))
-    stay = keyed.join(gone, "lf_key", "left_anti")
-    again = df.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h")).alias("lf_key"), F.regexp_like(text_col, F.lit(r"[\p{L}\p{N}]")).alias("w")).where("w")
+    again = df.where(F.regexp_like(text_col, F.lit(r"[\p{L}\p{N}]"))).select(key.alias("lf_key"))
     again = written(again.groupBy("lf_key").count().where("count > 1").select("lf_key"), "again")
+    sent = df.sparkSession.sparkContext.broadcast(key_filter(gone.unionAll(again), "lf_key"))
+
+    @F.arrow_udf(T.BooleanType())
+    def concerned(at: pa.Array) -> pa.Array:
+        at = at.to_numpy()
+        return pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("lf_row"), key.alias("lf_key"))
+    keyed = keyed.withColumn("lf_maybe", concerned(F.pmod(F.xxhash64("lf_key"), F.lit(FILTER_BITS))))
+    stay = keyed.where("lf_maybe").join(gone.hint("merge"), "lf_key", "left_anti")
     if not again.isEmpty():
-        single, many = stay.join(again, "lf_key", "left_anti"), stay.join(again, "lf_key", "left_semi")
+        single, many = stay.join(again.hint("merge"), "lf_key", "left_anti"), stay.join(again.hint("merge"), "lf_key", "left_semi")
         stay = single.unionByName(many.dropDuplicates(["lf_key"]))
-    return stay.select(*[stay[c] for c in df.columns])
+    return keyed.where("not lf_maybe").unionByName(stay).select("lf_row.*")
