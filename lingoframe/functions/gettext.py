@@ -103,9 +103,8 @@ def string_class(domain: Column, prefix_: Column) -> Column:
     group = F.lit(None).cast("string")
     for name, members in GROUPS.items():
         group = F.when(domain.isin(members), name).otherwise(group)
-    fam = F.lit(None).cast("string")
-    for label, slug in SLUGS.items():
-        fam = F.when(family(prefix_) == label, slug).otherwise(fam)
+    # A map, so that the cases of family() stand in the plan once.
+    fam = F.try_element_at(F.create_map(*[F.lit(x) for pair in SLUGS.items() for x in pair]), family(prefix_))
     return F.coalesce(F.concat(group, F.lit("/"), F.when(F.coalesce(prefix_, F.lit("")) == "", "plain").otherwise(F.coalesce(fam, F.lit("other_ui")))), F.lit("unknown"))
 
 
