@@ -30,7 +30,7 @@ OWN_UNITS, SHARED_UNITS, CLASSES = 2048, 1024, 96
 #: One window of so many is trained on in each round, at least one of each document.
 EVERY, ROUNDS, BATCH, RATE = 16, 2, 16, 0.004
 #: Ids that one numpy pass scores, and numbers in a row of the exchange of weights.
-PASS_IDS, CHUNK = 1 << 13, 1024
+PASS_IDS, CHUNK = 1 << 12, 1024
 BOS, PAD = 0, 1
 EXCHANGE = "chunk int, task long, tokens double, numbers array<float>"
 
