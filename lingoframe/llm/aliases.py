@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from lingoframe.llm.graph import connected_components
 from lingoframe.llm.shared import written
 
-#: Regular expressions (of the kind that Java and RE2 share) over the URL as it stands.
-BLOCK = (r"^https?://m\.[^/]*\.example\.org/", r"[?&]utm_source=feed(&|$)")
-ALLOW = (r"\.html$", r"^https://blog\.")
+#: Regular expressions (of the kind that Java and RE2 share) over the URL as it stands. BLOCK names the junk sites, whatever the scheme,
+#: user, host prefix or port. ALLOW has the blogs of sites whose names are one word: they stay even where a blocked site
+#: redirects to them or names them as canonical. Since every name on the block list has a hyphen, no blog of a junk site is allowed.
+BLOCK = (r"(?i)^([a-z][a-z0-9+.-]*:)?//([^/?#]*[.@])?(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)\.?(:[0-9]*)?([/?#]|$)",)
+ALLOW = (r"(?i)^https?://blog\.[a-z]+\.example\.(com|net|org)(:[0-9]*)?([/?#]|$)",)
 CANONICAL = (r"(?is)<link[^>]*rel=.?canonical[^>]*href=[\"']([^\"'>]+)", r"(?is)<link[^>]*href=[\"']([^\"'>]+)[\"'][^>]*rel=.?canonical")
 REFRESH = r"(?is)<meta[^>]*http-equiv=.?refresh[^>]*url=([^\"'>\s]+)"
 #: (pattern, replacement), in order; the first four take scheme, host prefix, fragment and tracking parameters.

@@ -69,6 +69,18 @@ def test_blocks_reach_aliases_and_allows_win(spark):
     assert by["http://bad.example/alone"].decision == "blocked" and by[None].component is None
 
 
+def test_rules_of_the_query_name_the_junk_sites(spark):
+    names = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    bad = [f"{scheme}://{prefix}{name}.example.{end}/en/7{rest}" for name in names for scheme, prefix, end, rest in (("http", "", "com", ".html"), ("https", "m.", "net", "#top"), ("https", "blog.", "org", "/"), ("http", "www.", "net", "?utm_source=feed"), ("ftp", "a.b.", "com", ""))]
+    bad += ["HTTPS://WWW.Spam-Farm.example.com:8080", "http://me@free-bets.example.org?x"]
+    clear = ["https://m.river.example.org/en/1", "https://river.example.net/en/2?utm_source=feed", "https://river.example.com/en/3.html", "https://notspam-farm.example.com/", "https://spam-farm.example.com.river.net/", "https://river.example.com/spam-farm.example.com/", "http://spam-farm.example.com@river.net/"]
+    allowed = ["https://blog.river.example.com/en/4.html", "http://blog.stone.example.org"]
+    hop = '<meta http-equiv="refresh" content="0; url=http://blog.stone.example.org">'
+    rows = [(i, url, hop if url == bad[0] else "") for i, url in enumerate(bad + clear + allowed)]
+    got = {r.url: r.decision for r in aliases.url_decisions(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == dict.fromkeys(bad, "blocked") | dict.fromkeys(clear, "clear") | dict.fromkeys(allowed, "allowed")
+
+
 def test_log_of_redirects(spark):
     df = spark.createDataFrame([(1, "https://a.example/x", ""), (2, "https://b.example/y", "")], PAGES)
     log = spark.createDataFrame([("https://a.example/x", "https://b.example/y")], "src string, dst string")
