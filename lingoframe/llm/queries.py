@@ -81,9 +81,8 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's compressed token ids with their place in the store."""
-    docs = _documents(spark, sf_dir)
-    return tokenstore.packed(docs, tokenstore.train_dictionary(docs))
+    """A store of every document's compressed token ids, written to the shared folder: its index and where it lies."""
+    return tokenstore.stored(_documents(spark, sf_dir))
 
 
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

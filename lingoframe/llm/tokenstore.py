@@ -9,6 +9,7 @@ arrays of a bounded sample gives short documents the context they lack. A store
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingoframe.llm import bpe
-from lingoframe.llm.shared import map_texts
+from lingoframe.llm.shared import map_texts, shared_folder
 
 LEVEL = 3
 #: Documents (about) that the dictionary is trained on, the longest text among them in bytes, and the dictionary's bytes.
@@ -94,10 +95,18 @@ def packed(docs: DataFrame, dictionary: bytes, id_col: str = "doc_id", text_col:
     return map_texts(source, "text", fields, make, ["doc_id"])
 
 
+def _folder(path: str) -> Path:
+    """The local name of a folder that all executors see."""
+    local = re.sub(r"^file:/+", "/", path)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", local):
+        raise ValueError(f"a store needs a folder that is mounted everywhere, not {path}")
+    return Path(local)
+
+
 def write_store(frames: DataFrame, dictionary: bytes, path: str) -> None:
     """Files of frames and an index in a folder that all executors see. A task writes a file of a name of its own, and
     only the index rows of tasks that were committed count, so that repeated or lost tasks do no harm."""
-    folder = Path(path.removeprefix("file://"))
+    folder = _folder(path)
     folder.mkdir(parents=True)
     (folder / f"{dictionary_hash(dictionary)}.dict").write_bytes(dictionary)
     schema = T.StructType([frames.schema["doc_id"], T.StructField("file", T.StringType()), *[frames.schema[c] for c in ("offset", "length", "n_tokens", "dictionary")]])
@@ -116,9 +125,19 @@ def write_store(frames: DataFrame, dictionary: bytes, path: str) -> None:
     frames.select("doc_id", "n_tokens", "dictionary", "frame").mapInArrow(run, schema).write.parquet(f"{path}/index")
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = bpe.VOCABULARY) -> DataFrame:
+    """Write a store of all rows under the shared folder and return its index: doc_id, file, offset, length, n_tokens,
+    dictionary and path (the store's folder, which read_store takes). Nulls, empty texts and repeated rows are as packed()
+    says; an empty table makes a store without rows."""
+    dictionary = train_dictionary(docs, text_col, vocabulary_path)
+    path = f"{shared_folder(docs.sparkSession)}/lingoframe-store-{uuid.uuid4().hex}"
+    write_store(packed(docs, dictionary, id_col, text_col, vocabulary_path), dictionary, path)
+    return docs.sparkSession.read.parquet(f"{path}/index").withColumn("path", F.lit(path))
+
+
 def read_store(spark: SparkSession, path: str, ids: list[int] | None = None, vocabulary_size: int = 1 << 16) -> DataFrame:
     """doc_id and token_ids (null where the text was) of the documents of a store, or of some, reading only their frames."""
-    folder, kind = Path(path.removeprefix("file://")), id_type(vocabulary_size)
+    folder, kind = _folder(path), id_type(vocabulary_size)
     index = spark.read.parquet(f"{path}/index")
     if ids is not None:
         index = index.where(F.col("doc_id").isin(list(ids)))

@@ -1,11 +1,13 @@
 import uuid
+from pathlib import Path
 
 import numpy as np
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from helpers import awkward, documents, empty, prose
-from lingoframe.llm import bpe, tokenstore
+from lingoframe.llm import bpe, queries, tokenstore
 
 VOCAB = bpe.vocabulary(bpe.vocabulary_lines(bpe.VOCABULARY))
 
@@ -53,6 +55,35 @@ def test_offsets_dictionary_and_gain(spark):
     assert sum(r.length for r in rows) < 0.8 * sum(r.length for r in plain)
 
 
+def test_query_leaves_a_store_that_reads_back(spark, tmp_path):
+    docs = shop(spark).unionByName(awkward(spark).where("doc_id > 1 or doc_id is null").withColumn("doc_id", F.col("doc_id") + 1000))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    index = queries.op7_token_store(spark, str(tmp_path)).collect()
+    assert len(index) == docs.count() and len({r.path for r in index}) == 1
+    folder = Path(index[0].path.removeprefix("file://"))
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).append(None if r.text is None else ids_of(r.text))
+    for r in index:  # from the files alone
+        if r.n_tokens is None:
+            assert r.length == 0 and None in texts[r.doc_id]
+            continue
+        dictionary = (folder / f"{r.dictionary}.dict").read_bytes()
+        assert dictionary and tokenstore.dictionary_hash(dictionary) == r.dictionary
+        frame = (folder / r.file).read_bytes()[r.offset : r.offset + r.length]
+        ids = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress(frame)
+        assert np.frombuffer(ids, "<u2").tolist() in texts[r.doc_id]
+    assert tokenstore.read_store(spark, index[0].path).count() == len(index)
+    empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op7_token_store(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_folders_of_a_store():
+    assert {str(tokenstore._folder(p)) for p in ("/a/b", "file:/a/b", "file:///a/b")} == {"/a/b"}
+    with pytest.raises(ValueError):
+        tokenstore._folder("hdfs://host/a")
+
+
 def test_too_little_to_train_on(spark):
     assert tokenstore.train_dictionary(empty(spark)) == b"" and tokenstore.train_dictionary(awkward(spark)) == b""
     assert tokenstore.packed(empty(spark), b"").collect() == []
