@@ -1,7 +1,8 @@
 """Scores of a causal self-attention language model over subword ids, trained and applied in numpy.
 
-The model predicts the class of the next id from at most two blocks of ids before it, by one attention head with a learned
-bias for each distance; an id's chance within its class is its share of the corpus. Texts are cut into blocks of a
+The model predicts the class of the next id and the id within its class, both by a softmax over the same state, from at
+most two blocks of ids before it, by one attention head with a learned bias for each distance. Ids that the corpus doesn't
+hold share what is left of their class by their smoothed counts. Texts are cut into blocks of a
 stride; a window is a block with the one before it, so windows overlap by half and each id is scored once, with a full
 block of context at least (but at a text's start).
 
@@ -31,6 +32,8 @@ OWN_UNITS, SHARED_UNITS, CLASSES = 2048, 1024, 96
 EVERY, ROUNDS, BATCH, RATE = 16, 2, 16, 0.004
 #: Ids that one numpy pass scores, and numbers in a row of the exchange of weights.
 PASS_IDS, CHUNK = 1 << 12, 1024
+#: Logits within a class that one numpy pass holds.
+PASS_LOGITS = 1 << 19
 BOS, PAD = 0, 1
 EXCHANGE = "chunk int, task long, tokens double, numbers array<float>"
 
@@ -54,17 +57,38 @@ class Lexicon:
         self.within = np.log(smooth / mass[self.kind])
         self.prior = np.log((mass + 1e-6) / (mass.sum() + 1e-6 * classes)).astype(np.float32)
         self.classes = classes
+        # Outputs within classes go by rank: a class is a run of ranks, of which those that the corpus holds come first.
+        self.rank, self.outputs = rank, int((counts > 0).sum())
+        upto = np.minimum(np.searchsorted(self.kind[order], np.arange(classes + 1)), self.outputs)
+        self.begin, self.end = upto[:-1], upto[1:]
+        rare = order[self.outputs :]
+        self.unseen = np.bincount(self.kind[rare], np.exp(self.within[rare]), classes)
+        self.first_inner = self.within[order[: self.outputs]].astype(np.float32)
+
+    def choices(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The classes of these ids that hold more than one id, each with the places of its ids, in bounded pieces."""
+        kind = self.kind[ids]
+        places = np.argsort(kind, kind="stable")
+        edge = np.flatnonzero(np.diff(kind[places], prepend=-1)).tolist()
+        for a, b in zip(edge, [*edge[1:], len(ids)]):
+            c = int(kind[places[a]])
+            size = int(self.end[c] - self.begin[c])
+            if size > 1 or self.unseen[c]:
+                step = max(1, PASS_LOGITS // max(1, size))
+                for at in range(a, b, step):
+                    yield c, places[at : min(b, at + step)]
 
 
 def shapes(lexicon: Lexicon, width: int = WIDTH, stride: int = STRIDE) -> dict[str, tuple[int, ...]]:
-    return {"E": (lexicon.units, width), "Q": (width, width), "K": (width, width), "V": (width, width), "O": (width, width), "D": (2 * stride,), "U": (width, lexicon.classes), "b": (lexicon.classes,)}
+    return {"E": (lexicon.units, width), "Q": (width, width), "K": (width, width), "V": (width, width), "O": (width, width), "D": (2 * stride,), "U": (width, lexicon.classes), "b": (lexicon.classes,), "W": (lexicon.outputs, width), "c": (lexicon.outputs,)}
 
 
 def first_weights(lexicon: Lexicon, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) * (0.3 if k == "E" else 0.1 if k == "U" else s[0] ** -0.5)).astype(np.float32) for k, s in shapes(lexicon).items()}
+    w = {k: (rng.standard_normal(s) * (0.3 if k == "E" else 0.1 if k == "U" else max(1, s[0]) ** -0.5)).astype(np.float32) for k, s in shapes(lexicon).items()}
     w["D"][:] = 0
     w["b"] = lexicon.prior.copy()
+    w["W"][:], w["c"] = 0, lexicon.first_inner.copy()
     return w
 
 
@@ -125,6 +149,21 @@ def class_logits(w: dict[str, np.ndarray], x: np.ndarray, keys: np.ndarray, valu
     return h @ w["U"] + w["b"], q, a, mixed, h
 
 
+def inner_loss(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """Negative log-likelihood of each id within its class, by the states h."""
+    loss = np.zeros(len(ids))
+    for c, at in lexicon.choices(ids):
+        own = slice(lexicon.begin[c], lexicon.end[c])
+        # A product for each row, so that none is rounded by where it stands.
+        z = (h[at][:, None, :] @ w["W"][own].T)[:, 0] + w["c"][own]
+        np.minimum(z, 60, out=z)
+        hit, place = lexicon.within[ids[at]].copy(), lexicon.rank[ids[at]] - own.start
+        there = np.flatnonzero(place < z.shape[1])
+        hit[there] = z[there, place[there]]
+        loss[at] = np.log(np.exp(z, out=z).sum(axis=1) + lexicon.unseen[c]) - hit
+    return loss
+
+
 def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts: int) -> np.ndarray:
     """Negative log-likelihood of each text, in nats."""
     if not len(blocks.inputs):
@@ -132,19 +171,20 @@ def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts:
     x = w["E"][blocks.inputs]
     k, v = x @ w["K"], x @ w["V"]
     windows = [np.concatenate([np.concatenate([z[:1], z[:-1]]), z], axis=1) for z in (k, v)]
-    logits = class_logits(w, x, *windows, blocks.first)[0]
+    logits, *_, h = class_logits(w, x, *windows, blocks.first)
     real = np.flatnonzero(blocks.targets.ravel() >= 0)
     target = blocks.targets.ravel()[real]
     np.minimum(logits, 60, out=logits)
     hit = logits.reshape(-1, lexicon.classes)[real, lexicon.kind[target]]
     np.exp(logits, out=logits)
     mass = (logits @ np.ones((lexicon.classes, 1), logits.dtype)).ravel()[real]
-    loss = np.log(mass).astype(np.float64) - hit - lexicon.within[target]
+    loss = np.log(mass).astype(np.float64) - hit + inner_loss(w, h.reshape(-1, h.shape[-1])[real], target, lexicon)
     return np.bincount(np.repeat(blocks.owner, blocks.inputs.shape[1])[real], loss, n_texts)
 
 
-def gradients(w: dict[str, np.ndarray], window: np.ndarray, target: np.ndarray, first: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss (by classes) and its gradients. window: units (n, 2 strides); target: classes (n, stride), -1 where there is none."""
+def gradients(w: dict[str, np.ndarray], window: np.ndarray, target: np.ndarray, first: np.ndarray, ids: np.ndarray | None = None, lexicon: Lexicon | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss and its gradients, by classes and, with the targets' ids, also within them. window: units (n, 2 strides);
+    target: classes (n, stride), -1 where there is none; ids: like target."""
     stride, width = target.shape[1], w["Q"].shape[0]
     far, _ = _distance(stride)
     x = w["E"][window]
@@ -163,6 +203,22 @@ def gradients(w: dict[str, np.ndarray], window: np.ndarray, target: np.ndarray,
     two = lambda z: z.reshape(-1, z.shape[-1])
     g = {"U": two(h).T @ two(p), "b": two(p).sum(axis=0)}
     dh = p @ w["U"].T
+    g["W"], g["c"] = np.zeros_like(w["W"]), np.zeros_like(w["c"])
+    if ids is not None:
+        states, wanted = h[i, j], ids[i, j]
+        for c, at in lexicon.choices(wanted):
+            own = slice(lexicon.begin[c], lexicon.end[c])
+            state = states[at]
+            e = np.exp(np.minimum(state @ w["W"][own].T + w["c"][own], 60))
+            e /= e.sum(axis=1, keepdims=True) + e.dtype.type(lexicon.unseen[c])
+            place = lexicon.rank[wanted[at]] - own.start
+            there = np.flatnonzero(place < e.shape[1])
+            loss -= float(np.log(e[there, place[there]] + 1e-30).sum()) / n
+            e[there, place[there]] -= 1
+            e /= n
+            g["W"][own] += e.T @ state
+            g["c"][own] += e.sum(axis=0)
+            dh[i[at], j[at]] += e @ w["W"][own]
     g["O"] = two(mixed).T @ two(dh)
     dm = dh @ w["O"].T
     da = dm @ v.transpose(0, 2, 1)
@@ -235,9 +291,9 @@ def train_on(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], lexico
     def spend(least: int) -> None:
         nonlocal seen
         while sum(len(h[0]) for h in held) >= max(1, least):
-            window, target, first = (np.concatenate([h[k] for h in held]) for k in range(3))
-            held[:] = [(window[BATCH:], target[BATCH:], first[BATCH:])]
-            adam.step(gradients(w, window[:BATCH], target[:BATCH], first[:BATCH])[1])
+            window, target, first, wanted = (np.concatenate([h[k] for h in held]) for k in range(4))
+            held[:] = [(window[BATCH:], target[BATCH:], first[BATCH:], wanted[BATCH:])]
+            adam.step(gradients(w, window[:BATCH], target[:BATCH], first[:BATCH], wanted[:BATCH], lexicon)[1])
             seen += int((target[:BATCH] >= 0).sum())
 
     for batch in batches:
@@ -253,7 +309,7 @@ def train_on(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], lexico
             window = np.concatenate([blocks.inputs[np.maximum(chosen - 1, 0)], blocks.inputs[chosen]], axis=1)
             window[first, :STRIDE] = PAD
             target = blocks.targets[chosen]
-            held.append((window, np.where(target >= 0, lexicon.kind[target], -1), first))
+            held.append((window, np.where(target >= 0, lexicon.kind[target], -1), first, target))
             spend(BATCH)
     spend(1)
     return seen

@@ -74,6 +74,53 @@ def test_gradients():
             assert abs((both[0] - both[1]) / 2e-5 - g[k][i]) < 1e-6 + 1e-2 * abs(g[k][i]), k
 
 
+def test_gradients_within_classes():
+    lex = lexicon()
+    rng = np.random.default_rng(0)
+    w = {k: v.astype(np.float64) for k, v in weights(lex).items()}
+    w["W"] = rng.standard_normal(w["W"].shape)
+    held = np.flatnonzero(lex.rank < lex.outputs)
+    window, ids, first = rng.integers(0, lex.units, (5, 2 * lm.STRIDE)), rng.choice(held, (5, lm.STRIDE)), np.array([1, 0, 0, 1, 0], bool)
+    ids[rng.random(ids.shape) < 0.2] = -1
+    args = (window, np.where(ids >= 0, lex.kind[ids], -1), first, ids, lex)
+    _, g = lm.gradients(w, *args)
+    for k in w:
+        for _ in range(8):
+            i = (window[rng.integers(5), rng.integers(64)], rng.integers(lm.WIDTH)) if k == "E" else tuple(rng.integers(0, s) for s in w[k].shape)
+            was, both = w[k][i], []
+            for e in (1e-5, -1e-5):
+                w[k][i] = was + e
+                both.append(lm.gradients(w, *args)[0])
+            w[k][i] = was
+            assert abs((both[0] - both[1]) / 2e-5 - g[k][i]) < 1e-6 + 1e-2 * abs(g[k][i]), k
+
+
+def test_chances_of_all_ids_add_up_to_one_in_any_state():
+    counts = np.random.default_rng(3).integers(0, 4, 500)
+    lex = lm.Lexicon(counts, 16, 8, 12)
+    w = weights(lex)
+    w["W"] = np.random.default_rng(5).standard_normal(w["W"].shape).astype(np.float32)
+    for seed in range(3):
+        h = np.repeat(np.random.default_rng(seed).standard_normal((1, lm.WIDTH)).astype(np.float32), 500, axis=0)
+        loss = lm.inner_loss(w, h, np.arange(500), lex)
+        assert np.allclose(np.bincount(lex.kind, np.exp(-loss), lex.classes), 1, rtol=1e-4)
+
+
+def test_context_decides_between_ids_of_like_frequency(spark):
+    """3,000 ids of like frequency, of which each text uses those of one topic; parameters as in production."""
+    rng = np.random.default_rng(7)
+    topics = rng.permutation(3000).reshape(20, 150)
+    texts = [rng.choice(topics[k % 20], 300).tolist() for k in range(2000)]
+    ids = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, token_ids array<int>").repartition(2).cache()
+    lex = lm.Lexicon(lm.id_counts(ids, 50_000))
+    rows = lm.score_ids(ids, lm.trained(ids, lex), lex).collect()
+    share = np.bincount(np.concatenate(texts)) / (300 * len(texts))
+    unigram = -np.log(share[np.concatenate(texts)]).mean()
+    got = sum(r.nll for r in rows) / sum(r.n_tokens for r in rows)
+    print("nats an id:", got, "unigram", unigram)
+    assert got < unigram - 0.5
+
+
 def test_chances_of_all_ids_add_up_to_one():
     lex = lexicon(3, 500)
     assert np.allclose([np.exp(lex.within[lex.kind == c]).sum() for c in np.unique(lex.kind)], 1)
