@@ -6,8 +6,8 @@ hold share what is left of their class by their smoothed counts. Texts are cut i
 stride; a window is a block with the one before it, so windows overlap by half and each id is scored once, with a full
 block of context at least (but at a text's start).
 
-Id counts and the size of the training set follow the corpus: every id of every document is counted, and every document
-gives a share of its windows. Tasks train on their own windows from common weights, and the averages of their weights,
+Id counts and the training set follow the corpus: every id of every document is counted, and every window of every
+document is trained on at least once over the rounds. Tasks train on their own windows from common weights, and the averages of their weights,
 by tokens, start the next round, so no text leaves its task.
 """
 
@@ -28,8 +28,8 @@ from lingoframe.llm.shared import written
 STRIDE, WIDTH = 32, 16
 #: Input units: the most frequent ids, then shared ones; and output classes, of which half are single ids.
 OWN_UNITS, SHARED_UNITS, CLASSES = 2048, 1024, 96
-#: One window of so many is trained on in each round, at least one of each document.
-EVERY, ROUNDS, BATCH, RATE = 16, 2, 16, 0.004
+#: One window of so many is trained on in each round, at least one of each document; in as many rounds, every window.
+EVERY, ROUNDS, BATCH, RATE = 2, 2, 16, 0.004
 #: Ids that one numpy pass scores, and numbers in a row of the exchange of weights.
 PASS_IDS, CHUNK = 1 << 12, 1024
 #: Logits within a class that one numpy pass holds.
@@ -283,7 +283,7 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
 
 
 def train_on(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], lexicon: Lexicon, turn: int, every: int, rate: float) -> int:
-    """Train on one of `every` windows of each text, another one each turn; returns the ids trained on."""
+    """Train on one of `every` windows of each text, the next one each turn, so that `every` turns take all; returns the ids trained on."""
     adam, seen = Adam(w, rate), 0
     rng = np.random.default_rng([5, turn])
     held: list[tuple[np.ndarray, ...]] = []
@@ -302,7 +302,7 @@ def train_on(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], lexico
             starts = np.flatnonzero(blocks.first)
             rows = np.diff(np.append(starts, len(blocks.first)))
             taken = -(-rows // every)
-            which = bpe.spread(np.zeros(len(rows), np.int64), taken) * every + np.repeat(rng.integers(0, every, len(rows)), taken)
+            which = bpe.spread(np.zeros(len(rows), np.int64), taken) * every + turn % every
             chosen = np.repeat(starts, taken) + which % np.repeat(rows, taken)
             chosen = rng.permutation(chosen)
             first = blocks.first[chosen]

@@ -136,6 +136,22 @@ def test_every_text_gives_windows():
     assert seen >= 10 + 2 * 32
 
 
+def test_every_window_is_trained_on(monkeypatch):
+    lex = lexicon()
+    counts = np.array([0, 5, 40, 97, 700])
+    ids = np.random.default_rng(2).integers(0, 60, counts.sum())
+    column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
+    taken = []
+    plain = lm.gradients
+    monkeypatch.setattr(lm, "gradients", lambda w, window, *rest: taken.extend(x.tobytes() for x in window) or plain(w, window, *rest))
+    for turn in range(lm.ROUNDS):
+        lm.train_on(iter([pa.RecordBatch.from_arrays([column], names=["token_ids"])]), weights(lex), lex, turn, lm.EVERY, 0.01)
+    blocks = lm.Blocks(ids, counts, lex)
+    windows = np.concatenate([np.roll(blocks.inputs, 1, axis=0), blocks.inputs], axis=1)
+    windows[blocks.first, : lm.STRIDE] = lm.PAD
+    assert {x.tobytes() for x in windows} == set(taken)
+
+
 def test_learns_more_than_the_shares_of_ids(spark):
     docs = documents(spark, [(i, " ".join(["a cat sat", "the dog ran", "one bird sang"][(i + k) % 3] for k in range(40)), "en", "a") for i in range(150)])
     rows = lm.language_model_scores(docs, rounds=6, every=1).collect()
