@@ -26,7 +26,7 @@ from lingoframe.llm import bpe
 from lingoframe.llm.shared import map_texts, shared_folder
 
 LEVEL = 3
-#: Documents (about) that the dictionary is trained on, the longest text among them in bytes, and the dictionary's bytes.
+#: Distinct documents (about) that the dictionary is trained on, the bytes from which a passage stands for a text, and the dictionary's bytes.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 1 << 16, 1 << 16
 
 
@@ -37,15 +37,19 @@ def id_type(vocabulary_size: int) -> str:
 def train_dictionary(docs: DataFrame, text_col: str = "text", vocabulary_path: str = bpe.VOCABULARY, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary for the id arrays of these texts, or b'' if there is too little to train on.
 
-    The sample is spread over all texts by their hashes, with an expected size that does not grow with the table.
+    The sample is spread over all distinct texts by their hashes, with an expected size that does not grow with the table;
+    of a text over SAMPLE_BYTES it has a passage from a place that its hash chooses.
     """
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    total = texts.count()
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    total = texts.select("h").distinct().count()
     if not total:
         return b""
     below = int(min(1.0, sample / total) * (1 << 30))
-    some = texts.where((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < below) & (F.octet_length("text") <= SAMPLE_BYTES)).dropDuplicates(["text"])
-    some = some.limit(2 * sample)  # a bound against a hash that falls unluckily
+    room = F.greatest(F.char_length("text") - SAMPLE_BYTES // 4, F.lit(0)) + 1  # so many code points have no more bytes than that
+    passage = F.substring("text", (F.pmod(F.xxhash64("h"), room) + 1).cast("int"), F.lit(SAMPLE_BYTES // 4))
+    some = texts.where(F.pmod("h", F.lit(1 << 30)) < below).select("h", F.when(F.octet_length("text") > SAMPLE_BYTES, passage).otherwise(F.col("text")).alias("text"))
+    some = some.dropDuplicates(["h"]).orderBy("h").limit(2 * sample).select("text")  # a bound against hashes that fall unluckily
     ids = bpe.encode(some, keep=[], vocabulary_path=vocabulary_path, check=False).select("token_ids").collect()
     size_of = len(bpe.vocabulary(bpe.vocabulary_lines(vocabulary_path)).tokens)
     parts = sorted(np.array(r.token_ids, id_type(size_of)).tobytes() for r in ids if r.token_ids)

@@ -84,6 +84,15 @@ def test_folders_of_a_store():
         tokenstore._folder("hdfs://host/a")
 
 
+def test_sample_of_long_and_of_repeated_texts(spark):
+    long = documents(spark, [(i, prose(i, 12_000), "en", "a") for i in range(20)])
+    assert long.where("octet_length(text) > 65536").count() == 20
+    assert tokenstore.train_dictionary(long)
+    same = documents(spark, [(i, prose(i if i < 40 else 0, 60), "en", "a") for i in range(4000)])
+    dictionary = tokenstore.train_dictionary(same, sample=40)
+    assert dictionary and dictionary == tokenstore.train_dictionary(same.repartition(7), sample=40)
+
+
 def test_too_little_to_train_on(spark):
     assert tokenstore.train_dictionary(empty(spark)) == b"" and tokenstore.train_dictionary(awkward(spark)) == b""
     assert tokenstore.packed(empty(spark), b"").collect() == []
