@@ -19,7 +19,7 @@ LEVEL = 3
 CHUNK = 4096
 #: (bytes from, lowest ratio, highest ratio) for whole documents; below the first nothing is judged.
 BANDS = ((64, 0.40, 1.60), (128, 0.35, 1.10), (256, 0.30, 0.90), (1024, 0.24, 0.72), (4096, 0.20, 0.68), (16384, 0.18, 0.62))
-#: Limits of a whole chunk, and the share of a document's chunks that may lie outside them.
+#: Limits of a chunk, and the share of a document's chunks that may lie outside them.
 CHUNK_BAND = (0.20, 0.72)
 BAD_CHUNKS = 0.25
 
@@ -36,16 +36,22 @@ def limits(n_bytes: int, bands=BANDS) -> tuple[float, float] | None:
 
 
 def judged(text: str, compressor: zstandard.ZstdCompressor, chunk: int = CHUNK, bands=BANDS, chunk_band=CHUNK_BAND, bad_share: float = BAD_CHUNKS) -> tuple[int, float | None, int, int, str]:
-    """Bytes, ratio, whole chunks, those outside the limits, and why the text goes ('' if it stays)."""
+    """Bytes, ratio, whole chunks (of texts of two at least), those outside the limits, and why the text goes ('' if it stays).
+
+    The verdict also takes the chunk of a shorter text, and what is left over at the end: as a last chunk of full length
+    that overlaps the one before it, so that the same limits hold."""
     data = text.encode("utf-8", "replace")
     if not data:
         return 0, None, 0, 0, "empty"
     ratio = len(compressor.compress(data)) / len(data)
     n = bad_low = bad_high = 0
-    if len(data) >= 2 * chunk:
-        for at in range(0, len(data) - chunk + 1, chunk):
+    whole, bad_whole = len(data) // chunk if len(data) >= 2 * chunk else 0, 0
+    if len(data) >= chunk:
+        for at in [*range(0, len(data) - chunk + 1, chunk), *([len(data) - chunk] if len(data) % chunk else [])]:
             r = len(compressor.compress(data[at : at + chunk])) / chunk
             n, bad_low, bad_high = n + 1, bad_low + (r < chunk_band[0]), bad_high + (r > chunk_band[1])
+            if n == whole:
+                bad_whole = bad_low + bad_high
     band = limits(len(data), bands)
     why = ""
     if band and ratio < band[0]:
@@ -56,15 +62,15 @@ def judged(text: str, compressor: zstandard.ZstdCompressor, chunk: int = CHUNK,
         why = "repetitive chunks"
     elif bad_low + bad_high > bad_share * n:
         why = "incompressible chunks"
-    return len(data), ratio, n, bad_low + bad_high, why
+    return len(data), ratio, whole, bad_whole, why
 
 
 def compression_bands(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, **parameters) -> DataFrame:
     """Add n_bytes, ratio, chunks, bad_chunks, reason and keep (boolean) to every row.
 
     Null and empty texts are not kept (reason 'empty', null ratio). Texts under the first band are kept unless empty. A
-    text of two chunks or more is also judged by its whole chunks; what is left over counts only in the whole. Texts of
-    any length are compressed whole. Repeated rows are judged alike; an empty table gives an empty table; other columns
+    text of one chunk or more is also judged by its chunks and by its last CHUNK bytes; the columns chunks and bad_chunks
+    count the whole chunks of texts of two or more. Texts of any length are compressed whole. Repeated rows are judged alike; an empty table gives an empty table; other columns
     pass, and those named as the new ones are replaced. Nothing is shuffled.
     """
 

@@ -37,5 +37,17 @@ def test_as_by_plain_compression(spark):
         assert r.keep == ((not band or band[0] <= r.ratio <= band[1]) and bad <= 0.25 * len(chunks))
 
 
+def test_ends_and_single_chunks_are_judged():
+    rnd = random.Random(3)
+    noise = "".join(rnd.choice(string.ascii_letters + string.digits + "+/") for _ in range(5000))
+    wide = [f"{a}{b}" for a in "river stone garden winter quiet morning letter window".split() for b in ("s", "ly", "ed", "er", "ing", "ful", "ish", "ward", "less", "en")]
+    text = prose(4, 4000, wide)
+    z = zstandard.ZstdCompressor(level=3)
+    why = lambda t: compression.judged(t, z)[4]
+    assert why(text[:8192] + noise[:4095]) == "incompressible chunks"
+    assert why(text[:3000] + noise[:4096]) == "incompressible chunks"
+    assert [why(text[:n]) for n in (4095, 4096, 4097, 6000, 8191, 8192, 12287, 20000)] == [""] * 8
+
+
 def test_empty_table(spark):
     assert compression.compression_bands(empty(spark)).collect() == []
