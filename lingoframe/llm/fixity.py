@@ -121,10 +121,13 @@ def _under(nodes: DataFrame, parents: DataFrame, fanout: int, across: bool) -> D
 
 def damaged(records: DataFrame, pages: DataFrame) -> DataFrame:
     """A replica of records for a drill, with about 1 of 128 page ids lost and 1 of 128 with other bytes, chosen by the ids' hashes.
-    Its bytes are hashed anew from the pages; offsets are those of the index, as in a file whose blocks went bad in place."""
+    The bytes of all its records are hashed anew from the pages, and nothing of the primary's digests is taken over; offsets
+    are those of the index, as in a file whose blocks went bad in place. Records of one id pair off with its pages by digest."""
     mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
     html = F.when(mark.isin("07", "70"), F.concat(F.coalesce("html", F.lit("")), F.lit("?"))).otherwise(F.col("html"))
-    fresh = pages.select("page_id", F.sha2(warc_block(F.col("url"), F.col("page_id"), html), 256).alias("digest"), mark.isin("07", "70").alias("hit"), mark.isin("0d", "d0").alias("lost"))
-    fresh = fresh.where("hit").select("page_id", F.col("digest").alias("now"))
-    kept = records.where(~F.coalesce(mark.isin("0d", "d0"), F.lit(False)))
-    return kept.join(fresh.groupBy("page_id").agg(F.min("now").alias("now")), "page_id", "left").select("file", "page_id", "start", "length", F.coalesce("now", "digest").alias("digest"))
+    there = ~F.coalesce(mark.isin("0d", "d0"), F.lit(False))
+    fresh = pages.where(there).select(F.col("page_id").alias("id"), F.sha2(warc_block(F.col("url"), F.col("page_id"), html), 256).alias("now"))
+    fresh = fresh.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("now")))
+    kept = records.where(there).withColumn("turn", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "start")))
+    both = kept.join(fresh, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("turn") == F.col("at")))
+    return both.select("file", "page_id", "start", "length", F.col("now").alias("digest"))

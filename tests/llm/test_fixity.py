@@ -71,3 +71,14 @@ def test_drill(spark):
     bad = fixity.damaged(good, p)
     got = found(fixity.audit(good, bad))
     assert got == slow(good, bad) and {s for *_, s in got} == {"corrupt", "missing"}
+
+
+def test_replica_takes_no_digest_of_the_primary(spark):
+    p = pages(spark)
+    good = fixity.warc_records(p, 50)
+    blind = fixity.damaged(good.withColumn("digest", F.lit("none")), p)
+    assert sorted(blind.collect()) == sorted(fixity.damaged(good, p).collect()) and blind.count() > 300
+    twice = p.unionByName(p.limit(30)).unionByName(p.limit(3).withColumn("page_id", F.lit(None).cast("long")))
+    records = fixity.warc_records(twice, 50)
+    same = fixity.damaged(records, twice).where("page_id is null or substr(md5(cast(page_id as string)), 1, 2) not in ('07', '70')")
+    assert same.exceptAll(records).count() == 0 and same.where("page_id is null").count() == 3
