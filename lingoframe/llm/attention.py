@@ -1,401 +1,541 @@
 """Scores of a causal self-attention language model over subword ids, trained and applied in numpy.
 
-The model predicts the class of the next id and the id within its class, both by a softmax over the same state, from at
-most two blocks of ids before it, by one attention head with a learned bias for each distance. Ids that the corpus doesn't
-hold share what is left of their class by their smoothed counts. Texts are cut into blocks of a
-stride; a window is a block with the one before it, so windows overlap by half and each id is scored once, with a full
-block of context at least (but at a text's start).
+Every id has an input vector of its own. One attention head, with a learned bias for each distance, sees at most two blocks
+of ids before the next one: texts are cut into blocks of a stride, a window is a block with the one before it, so windows
+overlap by half and each id is scored once, with a full block of context at least (but at a text's start). With one head
+the products of query and key matrices, and of value and output matrices, are one matrix each (Q and V below), so inputs
+stand for keys and values. The next id is the leaf of a tree of FAN branches a node, Huffman's over the ids' counts in the
+corpus, and each node on the way chooses its branch by a softmax over the same state: chances of all ids of the vocabulary
+add up to one, and none shares a vector with another.
 
 Id counts and the training set follow the corpus: every id of every document is counted, and every window of every
-document is trained on at least once over the rounds. Tasks train on their own windows from common weights, and the averages of their weights,
-by tokens, start the next round, so no text leaves its task.
+document is trained on once in ROUNDS rounds. Tasks train on their own windows from common weights, and the averages of
+their weights, each row of them by how often the task met it, start the next round, so no text leaves its task.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingoframe.llm import bpe
-from lingoframe.llm.shared import written
-
-STRIDE, WIDTH = 32, 16
-#: Input units: the most frequent ids, then shared ones; and output classes, of which half are single ids.
-OWN_UNITS, SHARED_UNITS, CLASSES = 2048, 1024, 96
-#: One window of so many is trained on in each round, at least one of each document; in as many rounds, every window.
-EVERY, ROUNDS, BATCH, RATE = 2, 2, 16, 0.004
-#: Ids that one numpy pass scores, and numbers in a row of the exchange of weights.
-PASS_IDS, CHUNK = 1 << 12, 1024
-#: Logits within a class that one numpy pass holds.
-PASS_LOGITS = 1 << 19
+from lingoframe.llm.shared import map_texts, written
+from lingoframe.llm.tokenstore import id_type
+
+#: Ids of a block; numbers of a vector, which are those of a row of the exchange too; branches of a node of the tree.
+STRIDE, WIDTH, FAN = 32, 16, 32
+#: Rounds of training, each over its share of all windows, and the rate of its steps.
+ROUNDS, RATE = 2, 0.2
+#: Ids that a step of training takes and that one numpy pass scores. Longer texts are cut, with a block of context.
+STEP_IDS, PASS_IDS = 1 << 12, 1 << 12
+#: Blocks of a task's first step; those that follow take more, so that small tables have enough steps too.
+FIRST_ROWS = 8
+#: Blocks whose attention is held in the cache at once.
+PART = 16
+#: States of one node that are multiplied at once. In larger products the rounding of a row depends on where it stands.
+TILE = 8
+#: What every id counts besides its occurrences, and the bias of a branch without an id.
+SMOOTH, NEVER = 0.01, -1e4
 BOS, PAD = 0, 1
-EXCHANGE = "chunk int, task long, tokens double, numbers array<float>"
+ROW = ["at int", "n double", *[f"x{k} float" for k in range(WIDTH)]]
 
 
 class Lexicon:
-    """Input units, output classes and chances within classes of all ids, from their counts in the corpus."""
-
-    def __init__(self, counts: np.ndarray, own: int = OWN_UNITS, shared: int = SHARED_UNITS, classes: int = CLASSES):
-        order = np.lexsort((np.arange(len(counts)), -counts))
-        rank = np.empty(len(counts), np.int64)
-        rank[order] = np.arange(len(counts))
-        self.unit = np.where(rank < own, rank, own + rank % shared) + 2
-        self.units = own + shared + 2
-        single = classes // 2
-        smooth = counts + 0.01
-        rest = smooth[order[single:]]
-        bins = np.minimum((np.cumsum(rest) - rest) / max(rest.sum(), 1e-9) * (classes - single), classes - single - 1).astype(np.int64) if len(rest) else rest.astype(np.int64)
-        self.kind = np.empty(len(counts), np.int64)
-        self.kind[order] = np.concatenate([np.arange(min(single, len(counts))), single + bins])
-        mass = np.bincount(self.kind, smooth, classes)
-        self.within = np.log(smooth / mass[self.kind])
-        self.prior = np.log((mass + 1e-6) / (mass.sum() + 1e-6 * classes)).astype(np.float32)
-        self.classes = classes
-        # Outputs within classes go by rank: a class is a run of ranks, of which those that the corpus holds come first.
-        self.rank, self.outputs = rank, int((counts > 0).sum())
-        upto = np.minimum(np.searchsorted(self.kind[order], np.arange(classes + 1)), self.outputs)
-        self.begin, self.end = upto[:-1], upto[1:]
-        rare = order[self.outputs :]
-        self.unseen = np.bincount(self.kind[rare], np.exp(self.within[rare]), classes)
-        self.first_inner = self.within[order[: self.outputs]].astype(np.float32)
-
-    def choices(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The classes of these ids that hold more than one id, each with the places of its ids, in bounded pieces."""
-        kind = self.kind[ids]
-        places = np.argsort(kind, kind="stable")
-        edge = np.flatnonzero(np.diff(kind[places], prepend=-1)).tolist()
-        for a, b in zip(edge, [*edge[1:], len(ids)]):
-            c = int(kind[places[a]])
-            size = int(self.end[c] - self.begin[c])
-            if size > 1 or self.unseen[c]:
-                step = max(1, PASS_LOGITS // max(1, size))
-                for at in range(a, b, step):
-                    yield c, places[at : min(b, at + step)]
-
-
-def shapes(lexicon: Lexicon, width: int = WIDTH, stride: int = STRIDE) -> dict[str, tuple[int, ...]]:
-    return {"E": (lexicon.units, width), "Q": (width, width), "K": (width, width), "V": (width, width), "O": (width, width), "D": (2 * stride,), "U": (width, lexicon.classes), "b": (lexicon.classes,), "W": (lexicon.outputs, width), "c": (lexicon.outputs,)}
+    """The way from the root to each id: node and branch by level. Nodes go by falling counts, the root is 0."""
+
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
+        weight = counts + SMOOTH
+        order = np.argsort(weight, kind="stable")
+        empty = (1 - n) % (FAN - 1) if n > 1 else FAN - 1
+        queues = [[0.0] * empty + weight[order].tolist(), []]
+        leaves, heads = len(queues[0]), [0, 0]
+        self.nodes = (leaves - 1) // (FAN - 1)
+        parent, branch, bias = np.zeros(leaves + self.nodes, np.int64), np.zeros(leaves + self.nodes, np.int64), np.full((self.nodes, FAN), NEVER, np.float32)
+        for made in range(self.nodes):
+            taken = []
+            for b in range(FAN):
+                first = 0 if heads[0] < leaves and (heads[1] == made or queues[0][heads[0]] <= queues[1][heads[1]]) else 1
+                item = heads[first] + first * leaves
+                taken.append(queues[first][heads[first]])
+                heads[first] += 1
+                parent[item], branch[item] = made, b
+            queues[1].append(sum(taken))
+            for b, mass in enumerate(taken):
+                if mass:
+                    bias[made, b] = np.log(mass / queues[1][made])
+        self.bias = bias[::-1].copy()
+        self.size, self.units = n, n + 2
+        at = np.empty(n, np.int64)
+        at[order] = np.arange(empty, leaves)
+        steps = []
+        while len(up := np.flatnonzero(at != leaves + self.nodes - 1)):
+            node, by = np.full(n, -1, np.int32), np.zeros(n, np.int16)
+            node[up], by[up] = self.nodes - 1 - parent[at[up]], branch[at[up]]
+            at[up] = leaves + parent[at[up]]
+            steps.append((node, by))
+        self.depth = sum((node >= 0).astype(np.int16) for node, _ in steps)
+        self.node, self.branch = np.full((len(steps), n), -1, np.int32), np.zeros((len(steps), n), np.int16)
+        for k, (node, by) in enumerate(steps):
+            there = np.flatnonzero(node >= 0)
+            self.node[self.depth[there] - 1 - k, there], self.branch[self.depth[there] - 1 - k, there] = node[there], by[there]
+
+
+def shapes(lexicon: Lexicon) -> dict[str, tuple[int, ...]]:
+    """E: inputs, Q: queries by keys, V: values, D: bias by distance; W and c: states and bias by node, with a column a branch."""
+    return {"E": (lexicon.units, WIDTH), "Q": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "D": (2 * STRIDE,), "W": (lexicon.nodes, WIDTH, FAN), "c": (lexicon.nodes, FAN)}
 
 
 def first_weights(lexicon: Lexicon, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) * (0.3 if k == "E" else 0.1 if k == "U" else max(1, s[0]) ** -0.5)).astype(np.float32) for k, s in shapes(lexicon).items()}
-    w["D"][:] = 0
-    w["b"] = lexicon.prior.copy()
-    w["W"][:], w["c"] = 0, lexicon.first_inner.copy()
+    w = {k: (rng.standard_normal(s) * {"E": 0.3, "Q": 0.1, "V": 0.25}.get(k, 0)).astype(np.float32) for k, s in shapes(lexicon).items()}
+    w["c"] = lexicon.bias.copy()
     return w
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([x.ravel() for x in w.values()]).astype(np.float32)
+    """All weights as rows of WIDTH numbers."""
+    return np.concatenate([x.reshape(-1, WIDTH) for x in w.values()]).astype(np.float32)
 
 
-def unflat(numbers: np.ndarray, lexicon: Lexicon) -> dict[str, np.ndarray]:
+def unflat(rows: np.ndarray, lexicon: Lexicon) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in shapes(lexicon).items():
-        n = int(np.prod(shape))
-        out[name], at = np.array(numbers[at : at + n], np.float32).reshape(shape), at + n
+        n = int(np.prod(shape)) // WIDTH
+        out[name], at = np.array(rows[at : at + n], np.float32).reshape(shape), at + n
     return out
 
 
 class Blocks:
-    """Inputs and targets of some texts in rows of a stride. first: which rows begin a text."""
+    """Inputs and targets of some pieces of texts in rows of a stride. first: which rows begin a piece.
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, lexicon: Lexicon, stride: int = STRIDE):
-        rows = -(-counts // stride)
+    before: the input at each piece's start; lead: whether its first block is context only."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, before: np.ndarray | int = BOS, lead: np.ndarray | bool = False):
+        rows = -(-counts // STRIDE)
         at = np.cumsum(rows) - rows
-        place = bpe.spread(at * stride, counts)
-        self.inputs = np.full(int(rows.sum()) * stride, PAD, np.int64)
-        self.targets = np.full(len(self.inputs), -1, np.int64)
+        place = bpe.spread(at * STRIDE, counts)
+        self.inputs = np.full(int(rows.sum()) * STRIDE, PAD, np.int32)
+        self.targets = np.full(len(self.inputs), -1, np.int32)
         self.targets[place] = ids
-        before = np.empty(len(ids), np.int64)
-        before[1:] = lexicon.unit[ids[:-1]]
-        before[(np.cumsum(counts) - counts)[counts > 0]] = BOS
-        self.inputs[place] = before
-        self.inputs, self.targets = self.inputs.reshape(-1, stride), self.targets.reshape(-1, stride)
+        ahead = np.empty(len(ids), np.int32)
+        ahead[1:] = ids[:-1]
+        ahead += 2
+        real = counts > 0
+        ahead[(np.cumsum(counts) - counts)[real]] = np.broadcast_to(before, counts.shape)[real]
+        self.inputs[place] = ahead
+        self.inputs, self.targets = self.inputs.reshape(-1, STRIDE), self.targets.reshape(-1, STRIDE)
         self.first = np.zeros(len(self.inputs), bool)
-        self.first[at[rows > 0]] = True
+        self.first[at[real]] = True
+        self.targets[at[real & np.broadcast_to(lead, counts.shape)]] = -1
         self.owner = np.repeat(np.arange(len(counts)), rows)
 
+    def part(self, a: int, b: int) -> Blocks:
+        """Some rows alone, with the one before them as context."""
+        out, at = object.__new__(Blocks), max(0, a - 1) if not self.first[a] else a
+        out.inputs, out.targets, out.first, out.owner = self.inputs[at:b], self.targets[at:b].copy(), self.first[at:b].copy(), self.owner[at:b]
+        out.targets[: a - at] = -1
+        out.first[0] = True
+        return out
+
+
+def _distances() -> tuple[np.ndarray, np.ndarray]:
+    """How far back each of the window's places lies from each of the block's, and which of them mustn't be seen."""
+    far = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
+    return np.maximum(far, 0), far < 0
+
+
+FAR, AHEAD = _distances()
+
+
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """z, at most 60, so that no power overflows."""
+    return np.minimum(z, 60, out=z) if z.size and z.max() > 60 else z
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    """Each block with the one before it, without a copy; x has one block more, at its start."""
+    s = x.strides
+    return np.lib.stride_tricks.as_strided(x, (len(x) - 1, 2 * STRIDE, WIDTH), (s[0], s[1], s[2]))
+
+
+def _bias(w: dict[str, np.ndarray]) -> np.ndarray:
+    bias = w["D"][FAR]
+    bias[AHEAD] = NEVER
+    return bias
+
+
+def attended(w: dict[str, np.ndarray], x: np.ndarray, window: np.ndarray, q: np.ndarray, first: np.ndarray, bias: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States of all places of the blocks x, by their windows and queries. Fills a with the weights before they are divided by
+    their sums; also gives those sums' inverses and the mixed inputs."""
+    np.matmul(q, window.transpose(0, 2, 1), out=a)
+    a += bias
+    np.exp(_bounded(a), out=a)
+    a[first, :, :STRIDE] = 0
+    share = 1 / (a @ np.ones((2 * STRIDE, 1), a.dtype))
+    mixed = a @ window
+    mixed *= share
+    h = mixed @ w["V"]
+    h += x
+    return h, mixed, share
+
 
-def _distance(stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far back each of the window's places lies from each of the block's, and which of them may be seen."""
-    far = stride + np.arange(stride)[:, None] - np.arange(2 * stride)[None, :]
-    return np.maximum(far, 0), (far >= 0).astype(np.float32)
-
-
-def class_logits(w: dict[str, np.ndarray], x: np.ndarray, keys: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Logits of the blocks x, whose windows have these keys and values, and what the gradients need."""
-    stride = x.shape[1]
-    far, seen = _distance(stride)
-    q = x @ w["Q"]
-    a = q @ keys.transpose(0, 2, 1)
-    a *= np.float32(w["Q"].shape[0] ** -0.5)
-    a += w["D"][far]
-    np.minimum(a, 30, out=a)
-    np.exp(a, out=a)
-    a *= seen
-    a[first, :, :stride] = 0
-    a /= (a @ np.ones((2 * stride, 1), a.dtype))
-    mixed = a @ values
-    h = x + mixed @ w["O"]
-    # A product for each block, as all others here: one over all rows would round a row by where in the batch it stands.
-    return h @ w["U"] + w["b"], q, a, mixed, h
-
-
-def inner_loss(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """Negative log-likelihood of each id within its class, by the states h."""
-    loss = np.zeros(len(ids))
-    for c, at in lexicon.choices(ids):
-        own = slice(lexicon.begin[c], lexicon.end[c])
-        # A product for each row, so that none is rounded by where it stands.
-        z = (h[at][:, None, :] @ w["W"][own].T)[:, 0] + w["c"][own]
-        np.minimum(z, 60, out=z)
-        hit, place = lexicon.within[ids[at]].copy(), lexicon.rank[ids[at]] - own.start
-        there = np.flatnonzero(place < z.shape[1])
-        hit[there] = z[there, place[there]]
-        loss[at] = np.log(np.exp(z, out=z).sum(axis=1) + lexicon.unseen[c]) - hit
-    return loss
-
-
-def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts: int) -> np.ndarray:
+def _summed(parts: np.ndarray, first: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Sums of runs of parts, by a pass over the second ones, the third ones, and so on."""
+    out = parts.take(first, axis=0)
+    for k in range(1, int(number.max(initial=0))):
+        more = np.flatnonzero(number > k)
+        out[more] += parts.take(first[more] + k, axis=0)
+    return out
+
+
+def _grouped(w: dict[str, np.ndarray], node: np.ndarray, branch: np.ndarray, rows: np.ndarray, h: np.ndarray, share: float):
+    """What choices() gives for items of any nodes but the root, in tiles of items of one node: losses, and with a
+    share what comes back for each state, and the gradients by nodes."""
+    order = np.argsort(node.astype(np.uint16) if len(w["W"]) < 1 << 16 else node, kind="stable")
+    run = node.take(order)
+    edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    items = np.diff(edge, append=len(run))
+    tiles = -(-items // TILE)
+    first, nodes = np.cumsum(tiles) - tiles, run.take(edge)
+    place = bpe.spread(first * TILE, items)
+    where = np.repeat(nodes, tiles)
+    whose = np.zeros(len(where) * TILE, np.int64)
+    whose[place] = rows.take(order)
+    state = h.take(whose, axis=0).reshape(-1, TILE, WIDTH)
+    own = w["W"].take(where, axis=0)
+    z = state @ own
+    z += w["c"].take(where, axis=0)[:, None, :]
+    lost, e = _lost(z, place, branch.take(order), share)
+    loss = np.empty_like(lost)
+    loss[order] = lost
+    if not share:
+        return loss, None, None
+    by_w, by_c = state.transpose(0, 2, 1) @ e, (np.ones((1, TILE), e.dtype) @ e)[:, 0]
+    back = np.empty((len(node), WIDTH), h.dtype)
+    back[order] = (e @ own.transpose(0, 2, 1)).reshape(-1, WIDTH).take(place, axis=0)
+    return loss, back, (nodes, items, _summed(by_w, first, tiles), _summed(by_c, first, tiles))
+
+
+def _lost(z: np.ndarray, place: np.ndarray, branch: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log-likelihood of the branches taken in some places of the logits z (tiles, height, FAN), which become, with
+    a share, what has to go back: the chance of each branch, less one for the one taken; nothing in places without an item."""
+    flat_z = _bounded(z).reshape(-1)
+    taken = place * FAN
+    taken += branch
+    hit = flat_z.take(taken)
+    np.exp(z, out=z)
+    mass = (z @ np.ones((FAN, 1), z.dtype)).ravel()
+    had = mass.take(place)
+    lost = np.log(had)
+    lost -= hit
+    if share:
+        scale = np.zeros(len(mass), z.dtype)
+        scale[place] = share / had
+        z *= scale.reshape(len(z), -1, 1)
+        flat_z[taken] -= share
+    return lost, z
+
+
+def choices(w: dict[str, np.ndarray], lexicon: Lexicon, h: np.ndarray, at: np.ndarray, ids: np.ndarray, share: float = 0.0) -> tuple[np.ndarray, np.ndarray | None, list[tuple[np.ndarray, ...]]]:
+    """Negative log-likelihood of each of the ids, by the states h[at] (h is (n, WIDTH)); with a share, that a single loss
+    has of what is to be lowered, also the gradients by h, and by nodes (node, items, by W, by c)."""
+    z = h.reshape(-1, STRIDE, WIDTH) @ w["W"][0]
+    z += w["c"][0]
+    loss, e = _lost(z, at, lexicon.branch[0].take(ids), share)
+    dh, found = None, []
+    if share:
+        e = e.reshape(-1, FAN)
+        found.append((np.zeros(1, np.int64), np.array([len(ids)]), (h.T @ e)[None], np.ones((1, len(e)), e.dtype) @ e))
+        dh = e @ w["W"][0].T
+    depth = lexicon.depth.take(ids)
+    if len(on := np.flatnonzero(depth > 1)):
+        some, rows = ids.take(on), at.take(on)
+        lost, back, by = _grouped(w, lexicon.node[1].take(some), lexicon.branch[1].take(some), rows, h, share)
+        loss[on] += lost
+        if share:
+            dh[rows] += back
+            found.append(by)
+    # On the lower levels, taken together, few items meet in a node.
+    levels = [np.flatnonzero(depth > k) for k in range(2, len(lexicon.node))]
+    if levels and len(levels[0]):
+        on = np.concatenate(levels)
+        node, branch = (np.concatenate([part[k].take(ids.take(some)) for k, some in enumerate(levels, 2)]) for part in (lexicon.node, lexicon.branch))
+        lost, back, by = _grouped(w, node, branch, at.take(on), h, share)
+        np.add.at(loss, on, lost)
+        if share:
+            np.add.at(dh, at.take(on), back)
+            found.append(by)
+    return loss, dh, found
+
+
+def tabled(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Each input with its query."""
+    return np.concatenate([w["E"], w["E"] @ w["Q"]], axis=1)
+
+
+def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts: int, table: np.ndarray | None = None) -> np.ndarray:
     """Negative log-likelihood of each text, in nats."""
-    if not len(blocks.inputs):
+    n = len(blocks.inputs)
+    if not n:
         return np.zeros(n_texts)
-    x = w["E"][blocks.inputs]
-    k, v = x @ w["K"], x @ w["V"]
-    windows = [np.concatenate([np.concatenate([z[:1], z[:-1]]), z], axis=1) for z in (k, v)]
-    logits, *_, h = class_logits(w, x, *windows, blocks.first)
-    real = np.flatnonzero(blocks.targets.ravel() >= 0)
-    target = blocks.targets.ravel()[real]
-    np.minimum(logits, 60, out=logits)
-    hit = logits.reshape(-1, lexicon.classes)[real, lexicon.kind[target]]
-    np.exp(logits, out=logits)
-    mass = (logits @ np.ones((lexicon.classes, 1), logits.dtype)).ravel()[real]
-    loss = np.log(mass).astype(np.float64) - hit + inner_loss(w, h.reshape(-1, h.shape[-1])[real], target, lexicon)
-    return np.bincount(np.repeat(blocks.owner, blocks.inputs.shape[1])[real], loss, n_texts)
-
-
-def gradients(w: dict[str, np.ndarray], window: np.ndarray, target: np.ndarray, first: np.ndarray, ids: np.ndarray | None = None, lexicon: Lexicon | None = None) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and its gradients, by classes and, with the targets' ids, also within them. window: units (n, 2 strides);
-    target: classes (n, stride), -1 where there is none; ids: like target."""
-    stride, width = target.shape[1], w["Q"].shape[0]
-    far, _ = _distance(stride)
-    x = w["E"][window]
-    cur = x[:, stride:]
-    k, v = x @ w["K"], x @ w["V"]
-    logits, q, a, mixed, h = class_logits(w, cur, k, v, first)
-    real = target >= 0
-    n = max(1, int(real.sum()))
-    p = np.exp(np.minimum(logits, 60))
-    p /= p.sum(axis=2, keepdims=True)
-    i, j = np.nonzero(real)
-    loss = -float(np.log(p[i, j, target[real]] + 1e-30).sum()) / n
-    p[i, j, target[real]] -= 1
-    p[~real] = 0
-    p /= n
-    two = lambda z: z.reshape(-1, z.shape[-1])
-    g = {"U": two(h).T @ two(p), "b": two(p).sum(axis=0)}
-    dh = p @ w["U"].T
-    g["W"], g["c"] = np.zeros_like(w["W"]), np.zeros_like(w["c"])
-    if ids is not None:
-        states, wanted = h[i, j], ids[i, j]
-        for c, at in lexicon.choices(wanted):
-            own = slice(lexicon.begin[c], lexicon.end[c])
-            state = states[at]
-            e = np.exp(np.minimum(state @ w["W"][own].T + w["c"][own], 60))
-            e /= e.sum(axis=1, keepdims=True) + e.dtype.type(lexicon.unseen[c])
-            place = lexicon.rank[wanted[at]] - own.start
-            there = np.flatnonzero(place < e.shape[1])
-            loss -= float(np.log(e[there, place[there]] + 1e-30).sum()) / n
-            e[there, place[there]] -= 1
-            e /= n
-            g["W"][own] += e.T @ state
-            g["c"][own] += e.sum(axis=0)
-            dh[i[at], j[at]] += e @ w["W"][own]
-    g["O"] = two(mixed).T @ two(dh)
-    dm = dh @ w["O"].T
-    da = dm @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["D"] = np.bincount(far.ravel(), ds.sum(axis=0).ravel(), len(w["D"])).astype(np.float32)
-    ds *= np.float32(width**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["Q"], g["K"], g["V"] = two(cur).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, stride:] += dh + dq @ w["Q"].T
-    order = np.argsort(window.ravel(), kind="stable")
-    unit = window.ravel()[order]
-    edge = np.flatnonzero(np.diff(unit, prepend=-1))
-    g["E"] = np.zeros_like(w["E"])
-    g["E"][unit[edge]] = np.add.reduceat(two(dx)[order], edge, axis=0)
-    return loss, g
-
-
-class Adam:
+    table = tabled(w) if table is None else table
+    both = np.zeros((n + 1, STRIDE, 2 * WIDTH), table.dtype)
+    np.take(table, blocks.inputs, axis=0, out=both[1:], mode="clip")
+    h, a = np.empty((n, STRIDE, WIDTH), table.dtype), np.empty((min(n, PART), STRIDE, 2 * STRIDE), table.dtype)
+    x, q, windows, bias = both[1:, :, :WIDTH], both[1:, :, WIDTH:], _windows(both[:, :, :WIDTH]), _bias(w)
+    for c in range(0, n, PART):
+        e = min(n, c + PART)
+        h[c:e], _, _ = attended(w, x[c:e], windows[c:e], q[c:e], blocks.first[c:e], bias, a[: e - c])
+    target = blocks.targets.ravel()
+    at = np.flatnonzero(target >= 0)
+    loss, _, _ = choices(w, lexicon, h.reshape(-1, WIDTH), at, target[at])
+    return np.bincount(blocks.owner[at // STRIDE], loss, n_texts)
+
+
+def gradients(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon) -> tuple[float, dict[str, tuple[np.ndarray | slice, np.ndarray, np.ndarray]]]:
+    """Mean loss over the targets, and its gradients: for each weight the rows concerned, how often they were met, and the slopes."""
+    n = len(blocks.inputs)
+    target = blocks.targets.ravel()
+    at = np.flatnonzero(target >= 0)
+    if not len(at):
+        return 0.0, {}
+    kind = w["E"].dtype
+    x = np.zeros((n + 1, STRIDE, WIDTH), kind)
+    np.take(w["E"], blocks.inputs, axis=0, out=x[1:], mode="clip")
+    here = x[1:].reshape(-1, WIDTH)
+    q = (here @ w["Q"]).reshape(n, STRIDE, WIDTH)
+    h, mixed, share = np.empty_like(q), np.empty_like(q), np.empty((n, STRIDE, 1), kind)
+    # The weights and their slopes lie one below the other, so that both reach the window in one product.
+    parts = [(c, min(n, c + PART)) for c in range(0, n, PART)]
+    two = [np.empty((e - c, 2 * STRIDE, 2 * STRIDE), kind) for c, e in parts]
+    windows, bias = _windows(x), _bias(w)
+    for (c, e), both in zip(parts, two):
+        h[c:e], mixed[c:e], share[c:e] = attended(w, x[c + 1 : e + 1], windows[c:e], q[c:e], blocks.first[c:e], bias, both[:, :STRIDE])
+    loss, dh, found = choices(w, lexicon, h.reshape(-1, WIDTH), at, target[at], 1 / len(at))
+    dv = mixed.reshape(-1, WIDTH).T @ dh
+    dm = (dh @ w["V"].T).reshape(n, STRIDE, WIDTH)
+    # By the softmax, a * (da - mean) is what goes on; the mean's part is taken out of the narrow arrays.
+    mean = np.einsum("bsd,bsd->bs", dm, mixed)[:, :, None]
+    mixed *= mean
+    mean *= share
+    dm *= share
+    by = np.concatenate([dm - mean * q, q], axis=1)
+    dq, dx, slope = np.empty_like(q), np.zeros_like(x), np.zeros((STRIDE, 2 * STRIDE), kind)
+    for (c, e), both in zip(parts, two):
+        window, a, da = windows[c:e], both[:, :STRIDE], both[:, STRIDE:]
+        np.matmul(dm[c:e], window.transpose(0, 2, 1), out=da)
+        da *= a
+        slope += da.sum(axis=0)
+        slope -= np.matmul(mean[c:e].transpose(1, 2, 0), a.transpose(1, 0, 2))[:, 0]
+        np.matmul(da, window, out=dq[c:e])
+        dw = both.transpose(0, 2, 1) @ by[c:e]
+        dx[c:e] += dw[:, :STRIDE]
+        dx[c + 1 : e + 1] += dw[:, STRIDE:]
+    dq -= mixed
+    dx, dq = dx[1:].reshape(-1, WIDTH), dq.reshape(-1, WIDTH)
+    dx += dh
+    dx += dq @ w["Q"].T
+    every, often = slice(None), np.array(float(len(at)))
+    g = {"Q": (every, often, here.T @ dq), "V": (every, often, dv), "D": (every, often, np.bincount(FAR.ravel(), slope.ravel(), 2 * STRIDE).astype(kind))}
+    unit = blocks.inputs.ravel()
+    times = np.bincount(unit, minlength=len(x))
+    units = np.flatnonzero(times)
+    place = np.empty(len(times), np.int64)
+    place[units] = np.arange(len(units))
+    number, times = place.take(unit), times[units]
+    g["E"] = units, times, np.stack([np.bincount(number, dx[:, k], len(units)) for k in range(WIDTH)], axis=1).astype(kind)
+    nodes, items, by_w, by_c = (np.concatenate(part) for part in zip(*found))
+    g["W"], g["c"] = (nodes, items, by_w), (nodes, items, by_c)
+    return float(loss.sum(dtype=np.float64)) / len(at), g
+
+
+class Trainer:
+    """Steps that get shorter the more a weight was moved before; weights that a batch doesn't meet stay as they are."""
+
     def __init__(self, w: dict[str, np.ndarray], rate: float):
-        self.w, self.rate, self.t = w, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-
-    def step(self, g: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        rate = self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
-        for k, x in self.w.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            x -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
-
-
-def _flat_ids(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Pieces of a batch of about PASS_IDS ids or one text: first row, end, ids and counts."""
-    column = batch.column(batch.schema.get_field_index("token_ids"))
-    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = held = 0
-    for i, n in enumerate([*counts.tolist(), None]):
-        if n is None or (i > start and held + n > PASS_IDS):
-            if i > start:
-                yield start, i, column.slice(start, i - start).flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts[start:i]
-            start, held = i, 0
-        held += n or 0
+        self.w, self.rate = w, rate
+        self.moved = {k: np.zeros_like(x) for k, x in w.items()}
+        self.met = {k: np.zeros(len(x) if k in "EWc" else ()) for k, x in w.items()}
+
+    def step(self, g: dict[str, tuple[np.ndarray | slice, np.ndarray, np.ndarray]], ids: int = STEP_IDS) -> None:
+        """A step by the mean over so many ids; the fewer, the shorter."""
+        rate = self.rate * min(1.0, ids / STEP_IDS) ** 0.5
+        for k, (rows, often, slope) in g.items():
+            moved = self.moved[k][rows] + slope * slope
+            self.moved[k][rows] = moved
+            by = np.sqrt(moved)
+            by += 1e-10
+            np.divide(slope, by, out=by)
+            by *= rate
+            self.w[k][rows] -= by
+            if k in "EWc":
+                self.met[k][rows] += often
+            else:
+                self.met[k] += often
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of the weights that were met: place, how often, and numbers."""
+        often = np.concatenate([np.repeat(np.broadcast_to(self.met[k], len(x) if k in "EWc" else 1), x.size // WIDTH // (len(x) if k in "EWc" else 1)) for k, x in self.w.items()])
+        at = np.flatnonzero(often)
+        return at, often[at], flat(self.w)[at]
+
+
+def id_bytes(ids: np.ndarray, counts: np.ndarray, null: np.ndarray, kind: str) -> pa.Array:
+    """A binary Arrow column of the ids of each text; null where null is set."""
+    offsets = np.append(0, np.cumsum(counts * np.dtype(kind).itemsize)).astype(np.int32)
+    valid = pa.array(~null).buffers()[1] if len(null) else None
+    return pa.Array.from_buffers(pa.binary(), len(counts), [valid, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
+
+
+def encoded(df: DataFrame, id_col: str, text_col: str, vocabulary_path: str) -> DataFrame:
+    """The texts as ids in binary, column ids, which are cheaper to move than arrays. In slabs, so that no column outgrows its offsets."""
+    lines = df.sparkSession.sparkContext.broadcast(bpe.vocabulary_lines(vocabulary_path))
+
+    def make():
+        vocab = bpe.vocabulary(lines.value)
+        coder, kind = bpe.Coder(vocab), id_type(len(vocab.tokens))
+
+        def apply(texts: list[str | None]) -> list:
+            ids, counts = coder.encode([t or "" for t in texts])
+            return [id_bytes(ids, counts, np.array([t is None for t in texts], bool), kind)]
+
+        return apply
+
+    return map_texts(df, text_col, [("ids", T.BinaryType(), pa.binary())], make, [id_col])
+
+
+def _unpacked(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch and where each row's begin, with the end."""
+    column = batch.column(batch.schema.get_field_index("ids"))
+    if column.null_count:
+        column = pc.fill_null(column, b"")
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    size = np.dtype(kind).itemsize
+    offsets = np.frombuffer(offsets, wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64) if offsets else np.zeros(len(column) + 1, np.int64)
+    ids = np.frombuffer(data, kind, int(offsets[-1] - offsets[0]) // size, int(offsets[0])) if data and offsets[-1] > offsets[0] else np.zeros(0, kind)
+    return ids, (offsets - offsets[0]) // size
+
+
+def pieces(ids: np.ndarray, starts: np.ndarray, size: int, turn: int = 0, every: int = 1) -> Iterator[tuple[np.ndarray, Blocks]]:
+    """Blocks of about `size` ids, with the rows of their owners. A longer text is cut into stretches of that size, each with
+    the block before it. Of `every` turns each text or stretch is in one, by a checksum: whatever it lies beside."""
+    rows, parts, begin, lead, held = [], [], [], [], 0
+
+    def made() -> tuple[np.ndarray, Blocks]:
+        counts = np.array([len(p) for p in parts], np.int64)
+        return np.array(rows), Blocks(np.concatenate(parts), counts, np.array(begin), np.array(lead))
+
+    for row, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        mark = zlib.crc32(ids[a:b].tobytes()) if every > 1 else 0
+        for k, s in enumerate(range(a, b, size)):
+            if (mark + k + turn) % every:
+                continue
+            e, ahead = min(b, s + size), STRIDE if k else 0
+            if held + e - s > size and rows:
+                yield made()
+                rows, parts, begin, lead, held = [], [], [], [], 0
+            rows.append(row)
+            parts.append(ids[s - ahead : e])
+            begin.append(int(ids[s - ahead - 1]) + 2 if s - ahead > a else BOS)
+            lead.append(bool(k))
+            held += e - s
+    if rows:
+        yield made()
 
 
 def id_counts(ids: DataFrame, size: int) -> np.ndarray:
     """How often each id stands in the whole table; the driver gets as many rows as the vocabulary has ids at most."""
+    kind = id_type(size)
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            flat_ids = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(flat_ids, minlength=size)
+            total += np.bincount(_unpacked(batch, kind)[0], minlength=size)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["id", "n"])
 
-    found = ids.select("token_ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
 
 
-def train_on(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], lexicon: Lexicon, turn: int, every: int, rate: float) -> int:
-    """Train on one of `every` windows of each text, the next one each turn, so that `every` turns take all; returns the ids trained on."""
-    adam, seen = Adam(w, rate), 0
-    rng = np.random.default_rng([5, turn])
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def spend(least: int) -> None:
-        nonlocal seen
-        while sum(len(h[0]) for h in held) >= max(1, least):
-            window, target, first, wanted = (np.concatenate([h[k] for h in held]) for k in range(4))
-            held[:] = [(window[BATCH:], target[BATCH:], first[BATCH:], wanted[BATCH:])]
-            adam.step(gradients(w, window[:BATCH], target[:BATCH], first[:BATCH], wanted[:BATCH], lexicon)[1])
-            seen += int((target[:BATCH] >= 0).sum())
-
+def train_on(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], lexicon: Lexicon, turn: int, every: int, rate: float) -> Trainer:
+    """Train on the windows whose turn it is of `every` turns; together these take all."""
+    trainer, kind, rows = Trainer(w, rate), id_type(lexicon.size), FIRST_ROWS
     for batch in batches:
-        for _, _, ids, counts in _flat_ids(batch):
-            blocks = Blocks(ids, counts, lexicon)
-            starts = np.flatnonzero(blocks.first)
-            rows = np.diff(np.append(starts, len(blocks.first)))
-            taken = -(-rows // every)
-            which = bpe.spread(np.zeros(len(rows), np.int64), taken) * every + turn % every
-            chosen = np.repeat(starts, taken) + which % np.repeat(rows, taken)
-            chosen = rng.permutation(chosen)
-            first = blocks.first[chosen]
-            window = np.concatenate([blocks.inputs[np.maximum(chosen - 1, 0)], blocks.inputs[chosen]], axis=1)
-            window[first, :STRIDE] = PAD
-            target = blocks.targets[chosen]
-            held.append((window, np.where(target >= 0, lexicon.kind[target], -1), first, target))
-            spend(BATCH)
-    spend(1)
-    return seen
-
-
-def trained(ids: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, every: int = EVERY, rate: float = RATE) -> dict[str, np.ndarray]:
-    """Weights after some rounds of training in all tasks and averaging; a sum goes over two shuffles, so that no task
-    holds more than a part of the tasks' numbers for a stretch of the weights."""
-    w = first_weights(lexicon)
+        for _, blocks in pieces(*_unpacked(batch, kind), STEP_IDS, turn, every):
+            at = 0
+            while at < len(blocks.inputs):
+                end = len(blocks.inputs) if at + rows * 3 // 2 >= len(blocks.inputs) else at + rows
+                some = blocks.part(at, end) if at or end < len(blocks.inputs) else blocks
+                trainer.step(gradients(w, some, lexicon)[1], some.inputs.size)
+                at, rows = end, min(STEP_IDS // STRIDE, rows * 5 // 4)
+    return trainer
+
+
+def trained(ids: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, every: int = ROUNDS, rate: float = RATE) -> dict[str, np.ndarray]:
+    """Weights after some rounds of training in all tasks and averaging, for which Spark sums each row of weights; the driver
+    gets the rows, of which there are as many as the vocabulary has ids, twice."""
+    w = flat(first_weights(lexicon))
     session = ids.sparkSession
-
-    def summed(table: pa.Table) -> tuple[float, list[float]]:
-        weight = table.column("tokens").to_numpy()
-        numbers = np.stack(table.column("numbers").combine_chunks().to_numpy(zero_copy_only=False))
-        return float(weight.sum()), (numbers * weight[:, None]).sum(axis=0) / max(weight.sum(), 1e-9)
-
-    def combine(table: pa.Table) -> pa.Table:
-        weight, numbers = summed(table)
-        return pa.table({"chunk": table.column("chunk")[:1], "task": pa.array([0]), "tokens": pa.array([weight]), "numbers": pa.array([numbers.astype(np.float32)], pa.list_(pa.float32()))})
-
     for turn in range(rounds):
-        sent = session.sparkContext.broadcast((flat(w), lexicon))
+        sent = session.sparkContext.broadcast((w, lexicon))
 
         def run(batches, sent=sent, turn=turn):
             numbers, words = sent.value
-            mine = unflat(numbers, words)
-            tokens = train_on(batches, mine, words, turn, every, rate)
-            out = flat(mine)
-            parts = [out[i : i + CHUNK] for i in range(0, len(out), CHUNK)] if tokens else []
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array([float(tokens)] * len(parts), pa.float64()), pa.array(parts, pa.list_(pa.float32()))], names=["chunk", "task", "tokens", "numbers"])
-
-        parts = ids.select("token_ids").mapInArrow(run, EXCHANGE)
-        some = parts.withColumn("part", F.pmod(F.xxhash64("task"), F.lit(64))).groupBy("chunk", "part").applyInArrow(combine, EXCHANGE)
-        rows = some.groupBy("chunk").applyInArrow(combine, EXCHANGE).select("chunk", "numbers").toPandas().sort_values("chunk")
-        if len(rows):
-            w = unflat(np.concatenate(rows["numbers"].tolist()), lexicon)
-    return w
+            at, often, rows = train_on(batches, unflat(numbers, words), words, turn, every, rate).rows()
+            for a in range(0, len(at), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 4096], pa.int32()), pa.array(often[a : a + 4096], pa.float64()), *[pa.array(rows[a : a + 4096, k]) for k in range(WIDTH)]], names=[c.split()[0] for c in ROW])
+
+        met = ids.select("ids").mapInArrow(run, ", ".join(ROW)).groupBy("at")
+        mean = met.agg(*[(F.sum(F.col(f"x{k}") * F.col("n")) / F.sum("n")).alias(f"x{k}") for k in range(WIDTH)]).toArrow()
+        at = mean.column("at").to_numpy()
+        for k in range(WIDTH):
+            w[at, k] = mean.column(f"x{k}").to_numpy()
+        sent.unpersist()
+    return unflat(w, lexicon)
 
 
 def score_ids(ids: DataFrame, w: dict[str, np.ndarray], lexicon: Lexicon, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, nll, mean_nll, perplexity) of a table of token_ids."""
+    """(id, n_tokens, nll, mean_nll, perplexity) of a table of ids in binary."""
     schema = T.StructType([ids.schema[id_col], T.StructField("n_tokens", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in ("nll", "mean_nll", "perplexity")]])
     sent = ids.sparkSession.sparkContext.broadcast((flat(w), lexicon))
 
     def run(batches):
         numbers, words = sent.value
-        mine = unflat(numbers, words)
+        mine, kind = unflat(numbers, words), id_type(words.size)
+        table = tabled(mine)
         for batch in batches:
-            null = batch.column(batch.schema.get_field_index("token_ids")).is_null().to_numpy(zero_copy_only=False)
-            for a, b, flat_ids, counts in _flat_ids(batch):
-                nll = np.zeros(len(counts))
-                # One long text is scored in stretches: its blocks need only the block before them.
-                nll += _in_stretches(mine, flat_ids, counts, words) if len(counts) == 1 else scores(mine, Blocks(flat_ids, counts, words), words, len(counts))
-                mean = nll / np.maximum(counts, 1)
-                no = counts == 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(id_col)).slice(a, b - a), pa.array(counts.astype(np.int32), mask=null[a:b]), pa.array(nll, mask=null[a:b]), pa.array(mean, mask=no), pa.array(np.exp(np.minimum(mean, 700)), mask=no)],
-                    names=schema.names,
-                )
-
-    return ids.select(id_col, "token_ids").mapInArrow(run, schema)
-
-
-def _in_stretches(w: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, lexicon: Lexicon) -> float:
-    blocks, total, rows = Blocks(ids, counts, lexicon), 0.0, PASS_IDS // STRIDE
-    for a in range(0, len(blocks.inputs), rows):
-        some = object.__new__(Blocks)
-        lead = int(a > 0)
-        cut = slice(a - lead, a + rows)
-        some.inputs, some.targets, some.first = blocks.inputs[cut], blocks.targets[cut].copy(), blocks.first[cut].copy()
-        some.owner = np.zeros(len(some.inputs), np.int64)
-        if lead:
-            some.targets[0], some.first[0] = -1, True
-        total += float(scores(w, some, lexicon, 1)[0])
-    return total
-
-
-def language_model_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = bpe.VOCABULARY, rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
+            null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            some, starts = _unpacked(batch, kind)
+            nll, counts = np.zeros(batch.num_rows), np.diff(starts)
+            for rows, blocks in pieces(some, starts, PASS_IDS):
+                np.add.at(nll, rows, scores(mine, blocks, words, len(rows), table))
+            mean, no = nll / np.maximum(counts, 1), counts == 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int32), mask=null), pa.array(nll, mask=null), pa.array(mean, mask=no), pa.array(np.exp(np.minimum(mean, 700)), mask=no)], names=schema.names)
+
+    return ids.select(F.col(f"`{id_col}`"), "ids").mapInArrow(run, schema)
+
+
+def language_model_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = bpe.VOCABULARY, rounds: int = ROUNDS, every: int = ROUNDS) -> DataFrame:
     """Train on the texts of df and score each of them: id, n_tokens, nll (nats), mean_nll and perplexity.
 
     A null text has nulls; an empty one no tokens, nll 0 and null means. Every row is scored as it stands: repeated rows
     count, train and are scored again. Texts of any length are scored whole. An empty table gives no rows; without any
-    token the model stays as it began. Other columns are ignored.
+    token the model stays as it began. Other columns are ignored. Scores depend on how the table lies in partitions, since
+    each task trains weights of its own before they are averaged; equal texts of one call have equal scores.
     """
-    encoded = bpe.encode(df.select(F.col(id_col), F.col(text_col)), text_col, [id_col], vocabulary_path, check=False)
-    ids = written(encoded.select(id_col, "token_ids"), "ids")
+    ids = written(encoded(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, vocabulary_path), "ids")
     size = len(bpe.vocabulary(bpe.vocabulary_lines(vocabulary_path)).tokens)
     lexicon = Lexicon(id_counts(ids, size))
     return score_ids(ids, trained(ids, lexicon, rounds, every), lexicon, id_col)

@@ -10,28 +10,39 @@ from lingoframe.llm import bpe
 
 
 def lexicon(seed=0, n=60):
-    return lm.Lexicon(np.random.default_rng(seed).integers(0, 50, n), 16, 8, 12)
+    return lm.Lexicon(np.random.default_rng(seed).integers(0, 50, n))
 
 
 def weights(lex, seed=1):
-    w = lm.first_weights(lex, seed)
-    w["D"] = np.random.default_rng(seed).standard_normal(w["D"].shape).astype(np.float32)
+    """Of a model that was trained, whose nodes don't all choose alike."""
+    w, rng = lm.first_weights(lex, seed), np.random.default_rng(seed)
+    w["D"] = rng.standard_normal(w["D"].shape).astype(np.float32)
+    w["W"] = (rng.standard_normal(w["W"].shape) * 0.3).astype(np.float32)
     return w
 
 
+def batch(texts, kind="<u2"):
+    return pa.RecordBatch.from_arrays([pa.array([np.array(t, kind).tobytes() for t in texts], pa.binary())], names=["ids"])
+
+
+def cut(ids, counts):
+    at = np.append(0, np.cumsum(counts))
+    return [ids[a:b] for a, b in zip(at, at[1:])]
+
+
 def slow_score(w, lex, ids):
     """Each id by itself: its context is the block it stands in and the one before."""
     total = 0.0
-    units = [lm.BOS, *lex.unit[ids[:-1]].tolist()] if len(ids) else []
+    units = [lm.BOS, *(np.array(ids[:-1]) + 2).tolist()] if len(ids) else []
     for t, target in enumerate(ids):
         begin = max(0, t // lm.STRIDE * lm.STRIDE - lm.STRIDE)
         x = w["E"][units[begin : t + 1]].astype(np.float64)
-        q, k, v = x[-1] @ w["Q"], x @ w["K"], x @ w["V"]
-        s = k @ q / math.sqrt(lm.WIDTH) + w["D"][np.arange(len(x))[::-1]]
+        s = x @ (x[-1] @ w["Q"]) + w["D"][np.arange(len(x))[::-1]]
         a = np.exp(s) / np.exp(s).sum()
-        h = x[-1] + (a @ v) @ w["O"]
-        logits = h @ w["U"] + w["b"]
-        total -= logits[lex.kind[target]] - np.log(np.exp(logits).sum()) + lex.within[target]
+        h = x[-1] + (a @ x) @ w["V"]
+        for level in range(lex.depth[target]):
+            z = h @ w["W"][lex.node[level, target]] + w["c"][lex.node[level, target]]
+            total -= z[lex.branch[level, target]] - np.log(np.exp(z).sum())
     return total
 
 
@@ -41,69 +52,91 @@ def test_each_id_is_scored_once_as_by_the_plain_sum():
     rng = np.random.default_rng(4)
     counts = np.array([0, 1, 31, 32, 33, 64, 65, 0, 200, 5])
     ids = rng.integers(0, 60, counts.sum())
-    got = lm.scores(w, lm.Blocks(ids, counts, lex), lex, len(counts))
-    at = np.append(0, np.cumsum(counts))
-    want = [slow_score(w, lex, ids[a:b]) for a, b in zip(at, at[1:])]
-    assert np.allclose(got, want, rtol=1e-4)
+    got = lm.scores(w, lm.Blocks(ids, counts), lex, len(counts))
+    assert np.allclose(got, [slow_score(w, lex, t) for t in cut(ids, counts)], rtol=1e-4)
 
 
-def test_long_texts_are_scored_in_stretches_alike(monkeypatch):
+def test_each_id_of_a_deep_tree_is_scored_as_by_the_plain_sum():
+    lex = lm.Lexicon((1e6 / np.arange(1, 3001) ** 1.5).astype(np.int64))
+    assert len(lex.node) > 2
+    w = weights(lex)
+    rng = np.random.default_rng(4)
+    counts = np.array([40, 7, 300])
+    ids = rng.integers(0, 3000, counts.sum())
+    got = lm.scores(w, lm.Blocks(ids, counts), lex, len(counts))
+    assert np.allclose(got, [slow_score(w, lex, t) for t in cut(ids, counts)], rtol=1e-4)
+
+
+def test_long_texts_are_scored_in_stretches_alike():
     lex = lexicon()
     w = weights(lex)
     ids = np.random.default_rng(2).integers(0, 60, 1000)
-    whole = lm.scores(w, lm.Blocks(ids, np.array([1000]), lex), lex, 1)[0]
-    monkeypatch.setattr(lm, "PASS_IDS", 3 * lm.STRIDE)
-    assert math.isclose(lm._in_stretches(w, ids, np.array([1000]), lex), whole, rel_tol=1e-5)
+    whole = lm.scores(w, lm.Blocks(ids, np.array([1000])), lex, 1)[0]
+    some, starts = lm._unpacked(batch([ids]), "<u2")
+    parts = list(lm.pieces(some, starts, 3 * lm.STRIDE))
+    assert len(parts) > 5 and all(rows.tolist() == [0] for rows, _ in parts)
+    assert math.isclose(sum(lm.scores(w, blocks, lex, 1)[0] for _, blocks in parts), whole, rel_tol=1e-5)
+
+
+def test_equal_texts_score_equally_wherever_they_stand():
+    lex = lexicon(n=3000)
+    w = weights(lex)
+    rng = np.random.default_rng(3)
+    same = rng.integers(0, 3000, 333)
+    found = set()
+    for seed in range(12):
+        others = [rng.integers(0, 3000, n) for n in rng.integers(0, 400, 9)]
+        texts = [*others[: seed % 9], same, *others[seed % 9 :], same]
+        counts = np.array([len(t) for t in texts])
+        got = lm.scores(w, lm.Blocks(np.concatenate(texts), counts), lex, len(counts))
+        found |= {got[seed % 9], got[-1]}
+    assert len(found) == 1
 
 
 def test_gradients():
-    lex = lexicon()
-    w = {k: v.astype(np.float64) for k, v in weights(lex).items()}
-    rng = np.random.default_rng(0)
-    window, target, first = rng.integers(0, lex.units, (5, 2 * lm.STRIDE)), rng.integers(-1, 12, (5, lm.STRIDE)), np.array([1, 0, 0, 1, 0], bool)
-    _, g = lm.gradients(w, window, target, first)
-    for k in w:
-        for _ in range(5):
-            i = (window[rng.integers(5), rng.integers(64)], rng.integers(lm.WIDTH)) if k == "E" else tuple(rng.integers(0, s) for s in w[k].shape)
-            was = w[k][i]
-            both = []
-            for e in (1e-5, -1e-5):
-                w[k][i] = was + e
-                both.append(lm.gradients(w, window, target, first)[0])
-            w[k][i] = was
-            assert abs((both[0] - both[1]) / 2e-5 - g[k][i]) < 1e-6 + 1e-2 * abs(g[k][i]), k
-
-
-def test_gradients_within_classes():
-    lex = lexicon()
-    rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) for k, v in weights(lex).items()}
-    w["W"] = rng.standard_normal(w["W"].shape)
-    held = np.flatnonzero(lex.rank < lex.outputs)
-    window, ids, first = rng.integers(0, lex.units, (5, 2 * lm.STRIDE)), rng.choice(held, (5, lm.STRIDE)), np.array([1, 0, 0, 1, 0], bool)
-    ids[rng.random(ids.shape) < 0.2] = -1
-    args = (window, np.where(ids >= 0, lex.kind[ids], -1), first, ids, lex)
-    _, g = lm.gradients(w, *args)
-    for k in w:
-        for _ in range(8):
-            i = (window[rng.integers(5), rng.integers(64)], rng.integers(lm.WIDTH)) if k == "E" else tuple(rng.integers(0, s) for s in w[k].shape)
-            was, both = w[k][i], []
-            for e in (1e-5, -1e-5):
-                w[k][i] = was + e
-                both.append(lm.gradients(w, *args)[0])
-            w[k][i] = was
-            assert abs((both[0] - both[1]) / 2e-5 - g[k][i]) < 1e-6 + 1e-2 * abs(g[k][i]), k
+    for n in (60, 3000):  # a tree of two levels and one of more
+        lex = lm.Lexicon((1e6 / np.arange(1, n + 1) ** 1.5).astype(np.int64))
+        w = {k: v.astype(np.float64) for k, v in weights(lex).items()}
+        w["c"] = np.maximum(w["c"], -20)
+        rng = np.random.default_rng(0)
+        counts = np.array([70, 5, 33])
+        blocks = lm.Blocks(rng.integers(0, n, counts.sum()), counts, lead=np.array([True, False, False]))
+        _, g = lm.gradients(w, blocks, lex)
+        for k, (rows, _, slope) in g.items():
+            whole = np.zeros_like(w[k])
+            whole[rows] = slope
+            for _ in range(12):
+                i = tuple(rng.integers(0, s) for s in w[k].shape)
+                if k in "EWc":
+                    i = (rng.choice(rows), *i[1:])
+                was, both = w[k][i], []
+                for e in (1e-5, -1e-5):
+                    w[k][i] = was + e
+                    both.append(lm.gradients(w, blocks, lex)[0])
+                w[k][i] = was
+                assert abs((both[0] - both[1]) / 2e-5 - whole[i]) < 1e-6 + 1e-2 * abs(whole[i]), (n, k)
 
 
 def test_chances_of_all_ids_add_up_to_one_in_any_state():
-    counts = np.random.default_rng(3).integers(0, 4, 500)
-    lex = lm.Lexicon(counts, 16, 8, 12)
-    w = weights(lex)
-    w["W"] = np.random.default_rng(5).standard_normal(w["W"].shape).astype(np.float32)
-    for seed in range(3):
-        h = np.repeat(np.random.default_rng(seed).standard_normal((1, lm.WIDTH)).astype(np.float32), 500, axis=0)
-        loss = lm.inner_loss(w, h, np.arange(500), lex)
-        assert np.allclose(np.bincount(lex.kind, np.exp(-loss), lex.classes), 1, rtol=1e-4)
+    for n in (1, 2, 31, 32, 33, 500, 2000):
+        lex = lm.Lexicon(np.random.default_rng(3).integers(0, 4, n))
+        w = weights(lex)
+        for seed in range(3):
+            h = np.repeat(np.random.default_rng(seed).standard_normal((1, lm.WIDTH)).astype(np.float32), -(-n // lm.STRIDE) * lm.STRIDE, axis=0)
+            loss, _, _ = lm.choices(w, lex, h, np.arange(n), np.arange(n))
+            assert math.isclose(np.exp(-loss).sum(), 1, rel_tol=1e-4)
+
+
+def test_begins_with_the_shares_of_ids():
+    counts = np.random.default_rng(3).integers(1, 1000, 500)
+    lex = lm.Lexicon(counts)
+    loss, _, _ = lm.choices(lm.first_weights(lex), lex, np.zeros((512, lm.WIDTH), np.float32), np.arange(500), np.arange(500))
+    assert np.allclose(np.exp(-loss), (counts + lm.SMOOTH) / (counts + lm.SMOOTH).sum(), rtol=1e-4)
+    lm.Lexicon(np.zeros(30, np.int64))
+
+
+def packed(spark, texts):
+    return spark.createDataFrame([(k, np.array(t, "<u2").tobytes()) for k, t in enumerate(texts)], "doc_id long, ids binary")
 
 
 def test_context_decides_between_ids_of_like_frequency(spark):
@@ -111,7 +144,7 @@ def test_context_decides_between_ids_of_like_frequency(spark):
     rng = np.random.default_rng(7)
     topics = rng.permutation(3000).reshape(20, 150)
     texts = [rng.choice(topics[k % 20], 300).tolist() for k in range(2000)]
-    ids = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, token_ids array<int>").repartition(2).cache()
+    ids = packed(spark, texts).repartition(2).cache()
     lex = lm.Lexicon(lm.id_counts(ids, 50_000))
     rows = lm.score_ids(ids, lm.trained(ids, lex), lex).collect()
     share = np.bincount(np.concatenate(texts)) / (300 * len(texts))
@@ -121,35 +154,42 @@ def test_context_decides_between_ids_of_like_frequency(spark):
     assert got < unigram - 0.5
 
 
-def test_chances_of_all_ids_add_up_to_one():
-    lex = lexicon(3, 500)
-    assert np.allclose([np.exp(lex.within[lex.kind == c]).sum() for c in np.unique(lex.kind)], 1)
-    assert lex.unit.max() < lex.units and lex.kind.max() < lex.classes
-    lm.Lexicon(np.zeros(30, np.int64), 4, 2, 8)
-
-
-def test_every_text_gives_windows():
+def test_training_as_a_whole_is_that_of_its_parts(spark):
+    """Two tasks, two rounds: the weights by Spark are those of the same steps and means taken by hand."""
+    rng = np.random.default_rng(9)
+    ids = packed(spark, [rng.integers(0, 300, n) for n in rng.integers(1, 300, 60)]).repartition(2).cache()
+    parts = [[np.frombuffer(r.ids, "<u2") for r in rows] for rows in ids.rdd.glom().collect()]
+    lex = lm.Lexicon(lm.id_counts(ids, 300))
+    got = lm.flat(lm.trained(ids, lex, rate=0.05))
+    w = lm.flat(lm.first_weights(lex))
+    for turn in range(lm.ROUNDS):
+        total, often = np.zeros(w.shape), np.zeros(len(w))
+        for texts in parts:
+            at, n, rows = lm.train_on(iter([batch(texts)]), lm.unflat(w, lex), lex, turn, lm.ROUNDS, 0.05).rows()
+            total[at] += rows * n[:, None]
+            often[at] += n
+        there = often > 0
+        w = w.copy()
+        w[there] = total[there] / often[there][:, None]
+    assert np.allclose(got, w, atol=1e-5) and not np.allclose(w, lm.flat(lm.first_weights(lex)), atol=1e-2)
+
+
+def test_every_window_is_trained_on_once(monkeypatch):
     lex = lexicon()
-    ids = np.random.default_rng(2).integers(0, 60, 500)
-    column = pa.ListArray.from_arrays(pa.array([0, 0, 10, 300, 500], pa.int32()), pa.array(ids, pa.int32()))
-    seen = lm.train_on(iter([pa.RecordBatch.from_arrays([column], names=["token_ids"])]), weights(lex), lex, 0, 4, 0.01)
-    assert seen >= 10 + 2 * 32
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 60, n) for n in (0, 5, 40, 97, 700, 3, 8)]
+    monkeypatch.setattr(lm, "STEP_IDS", 128)
+    taken, plain = [], lm.gradients
 
+    def windows(blocks):
+        both = np.concatenate([np.roll(blocks.inputs, 1, axis=0), blocks.inputs, blocks.targets], axis=1)
+        both[blocks.first, : lm.STRIDE] = lm.PAD
+        return [x.tobytes() for x, real in zip(both, (blocks.targets >= 0).any(axis=1)) if real]
 
-def test_every_window_is_trained_on(monkeypatch):
-    lex = lexicon()
-    counts = np.array([0, 5, 40, 97, 700])
-    ids = np.random.default_rng(2).integers(0, 60, counts.sum())
-    column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
-    taken = []
-    plain = lm.gradients
-    monkeypatch.setattr(lm, "gradients", lambda w, window, *rest: taken.extend(x.tobytes() for x in window) or plain(w, window, *rest))
+    monkeypatch.setattr(lm, "gradients", lambda w, blocks, lex: taken.extend(windows(blocks)) or plain(w, blocks, lex))
     for turn in range(lm.ROUNDS):
-        lm.train_on(iter([pa.RecordBatch.from_arrays([column], names=["token_ids"])]), weights(lex), lex, turn, lm.EVERY, 0.01)
-    blocks = lm.Blocks(ids, counts, lex)
-    windows = np.concatenate([np.roll(blocks.inputs, 1, axis=0), blocks.inputs], axis=1)
-    windows[blocks.first, : lm.STRIDE] = lm.PAD
-    assert {x.tobytes() for x in windows} == set(taken)
+        lm.train_on(iter([batch(texts)]), weights(lex), lex, turn, lm.ROUNDS, 0.01)
+    assert sorted(windows(lm.Blocks(np.concatenate(texts), np.array([len(t) for t in texts])))) == sorted(taken)
 
 
 def test_learns_more_than_the_shares_of_ids(spark):
