@@ -12,10 +12,10 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoframe.llm.shared import written
+from lingoframe.llm.shared import running, written
 
 SHARDS = 64
 
@@ -58,23 +58,24 @@ def assign(df: DataFrame, group_col: str, size_col: str, shards: int = SHARDS) -
 
     Groups of one size are taken in the order of their keys. Rows of a null group are each a group of their own, in the
     order of their size only (any two of one size may change places). A null or negative size counts as 0; groups of size
-    0 are dealt out in turn. An empty table gives an empty table; columns of df named group_size or shard are replaced.
+    0 are dealt out in turn. Repeated rows are placed alike if they have a group. An empty table gives an empty table;
+    columns of any names pass, but those named group_size or shard are replaced.
     """
-    rows = df.drop("group_size", "shard")
-    names = rows.columns
-    size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
-    rows = written(rows.select(F.struct(*names).alias("row"), F.col(group_col).alias("g"), size.alias("s")), "lpt-rows")
+    names = [c for c in df.columns if c.lower() not in ("group_size", "shard")]
+    size = F.greatest(F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)), F.lit(0))
+    rows = written(df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in names]).alias("row"), F.col(f"`{group_col}`").alias("g"), size.alias("s")), "lpt-rows")
     groups = rows.where("g is not null").groupBy("g").agg(F.sum("s").alias("size"))
     groups = written(groups, "lpt-groups")
     alone = rows.where("g is null")
     histogram = groups.select("size").unionAll(alone.select("s")).groupBy("size").count().toPandas().sort_values("size", ascending=False)
     plan, _ = schedule(histogram["size"].tolist(), histogram["count"].tolist(), shards)
     table = df.sparkSession.createDataFrame(pd.DataFrame(plan, columns=["size", "first", "cycle"]), "size long, first array<int>, cycle array<int>")
-    rank = F.row_number().over(Window.partitionBy("size").orderBy(F.col("g").asc_nulls_last())) - 1
     start = F.size("first")
     shard = F.when(F.col("n") < start, F.get("first", F.col("n"))).otherwise(F.get("cycle", (F.col("n") - start) % F.greatest(F.size("cycle"), F.lit(1))))
     keyed = groups.select("size", "g", F.lit(None).cast(alone.schema["row"].dataType).alias("row"))
-    both = keyed.unionAll(alone.select(F.col("s").alias("size"), "g", "row")).withColumn("n", rank).join(table, "size").withColumn("shard", shard.cast("int"))
+    # Of the groups of one size each has its rank by key, those without a key last.
+    every = keyed.unionAll(alone.select(F.col("s").alias("size"), "g", "row")).withColumn("one", F.lit(1))
+    both = running(every, "size", ["g"], "one", "n").join(table, "size").withColumn("shard", shard.cast("int"))
     both = written(both.select("g", "row", F.col("size").alias("group_size"), "shard"), "lpt-placed")
     together = rows.where("g is not null").select("row", "g").join(both.where("g is not null").drop("row"), "g")
     single = both.where("g is null").select("row", "g", "group_size", "shard")

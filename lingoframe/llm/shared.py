@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +17,12 @@ SLAB_CHARS = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, else the context's checkpoint folder, else (as in tests) one made here."""
+    """The folder all executors see: spark.checkpoint.dir, else the context's checkpoint folder, else, where driver and executors
+    are one process (as in tests), one made here. A cluster that names none is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="lingoframe-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -31,6 +35,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Add the sum of `value` over the rows before each within its group, in the order of some columns (nulls last; rows that
+    agree in all of them stand in any order). Ranges of (group, order) are summed by themselves and moved by the sums of those
+    before them, so that a group of any size is spread over tasks."""
+    by = [F.col(c).asc_nulls_last() for c in [*order, "lf_tie"]]
+    ranges = df.withColumn("lf_tie", F.monotonically_increasing_id()).repartitionByRange(F.col(group).asc_nulls_last(), *by)
+    ranges = written(ranges.withColumn("lf_part", F.spark_partition_id()), "ranges")
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy(F.col(group).alias("lf_group"), "lf_part").agg(F.sum(value).alias("lf_sum"))
+    starts = sums.select("lf_group", F.col("lf_part").alias("lf_of"), F.coalesce(F.sum("lf_sum").over(before("lf_group").orderBy("lf_part")), F.lit(0)).alias("lf_start"))
+    inside = F.coalesce(F.sum(value).over(before(group, "lf_part").orderBy(*by)), F.lit(0))
+    both = ranges.withColumn("lf_inside", inside).join(starts, F.col(group).eqNullSafe(F.col("lf_group")) & (F.col("lf_part") == F.col("lf_of")))
+    return both.withColumn(name, F.col("lf_inside") + F.col("lf_start")).select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
+
+
 def slabs(texts: list[str], limit: int = SLAB_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most `limit` code points together, or one row."""
     start, held = 0, 0

@@ -58,6 +58,20 @@ def test_zero_sizes_are_dealt_out(spark):
     assert sorted(r["count"] for r in shards.assign(df, "g", "b", 4).groupBy("shard").count().collect()) == [5] * 4
 
 
+def test_clashing_and_dotted_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, "x", "y"), (2, "a", 5, "x", "y"), (3, "b", 7, None, "z")], "n int, `g.k` string, `s.b` int, `Odd.Name` string, lf_part string")
+    out = shards.assign(df, "g.k", "s.b", 2)
+    assert out.columns == [*df.columns, "group_size", "shard"]
+    assert sorted((r.n, r["Odd.Name"], r.group_size, r.shard) for r in out.collect()) == [(1, "x", 10, 0), (2, "x", 10, 0), (3, None, 7, 1)]
+
+
+def test_many_groups_of_one_size_keep_their_order(spark):
+    df = spark.range(3000).select(F.format_string("k%05d", "id").alias("g"), F.when(F.col("id") % 3 == 0, 9).otherwise(4).alias("b")).repartition(9)
+    got = {r.g: r.shard for r in shards.assign(df, "g", "b", 7).collect()}
+    order = sorted(got, key=lambda g: (-(9 if int(g[1:]) % 3 == 0 else 4), g))
+    assert [got[g] for g in order] == slow([9 if int(g[1:]) % 3 == 0 else 4 for g in order], 7)
+
+
 def test_empty_table(spark):
     assert shards.assign(spark.createDataFrame([], "g string, b int"), "g", "b").collect() == []
     assert F is not None
