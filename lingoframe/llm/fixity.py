@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingoframe.llm.shared import written
+from lingoframe.llm.shared import running, written
 
 FANOUT = 16
 #: Bytes of a lowest range.
@@ -30,13 +30,12 @@ def warc_block(url: Column, record_id: Column, html: Column) -> Column:
 
 def warc_records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     """One row a record: file, page_id, start, length, digest. Files hold runs of page ids; within a file records follow each
-    other by page_id, then digest (so the order of repeated ids is defined). Pages of a null id form the file -1."""
+    other by page_id, then digest (so the order of repeated ids is defined). Pages of a null id form the file -1. The bytes
+    are read and hashed once; a file of any size is spread over tasks."""
     block = warc_block(F.col("url"), F.col("page_id"), F.col("html"))
     file = F.coalesce(F.floor(F.col("page_id") / F.lit(file_records)).cast("long"), F.lit(-1).cast("long"))
-    rows = pages.select(file.alias("file"), "page_id", F.octet_length(block).cast("long").alias("length"), F.sha2(block, 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest", "length")
-    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    return rows.select("file", "page_id", before.alias("start"), "length", "digest")
+    rows = written(pages.select(file.alias("file"), "page_id", F.octet_length(block).cast("long").alias("length"), F.sha2(block, 256).alias("digest")), "records")
+    return running(rows, "file", ["page_id", "digest", "length"], "length", "start").select("file", "page_id", "start", "length", "digest")
 
 
 def _folded(parts: DataFrame, keys: list[str], order: str, value: Column) -> DataFrame:
@@ -45,18 +44,18 @@ def _folded(parts: DataFrame, keys: list[str], order: str, value: Column) -> Dat
     return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["v"]), ";"), 256).alias("digest"))
 
 
-def merkle_levels(records: DataFrame, range_bytes: int, fanout: int, within: int, across: int) -> list[DataFrame]:
-    """The nodes (file, node, digest) of each level, lowest first: ranges of a file, nodes of a file, nodes over files."""
+def merkle_levels(records: DataFrame, range_bytes: int, fanout: int, within: int, across: int, by: list[str] | None = None) -> list[DataFrame]:
+    """The nodes (file, node, digest) of each level, lowest first: ranges of a file, nodes of a file, nodes over files. by: columns
+    that tell several trees apart, whose levels are then made and written together."""
+    by = by or []
     leaf = records.withColumn("node", F.floor(F.col("start") / F.lit(range_bytes)).cast("long"))
     value = F.concat_ws(":", F.col("start").cast("string"), F.col("length").cast("string"), F.col("digest"))
-    levels = [_folded(leaf, ["file", "node"], "start", value)]
+    levels = [written(_folded(leaf, [*by, "file", "node"], "start", value), "merkle")]
     child = F.concat_ws(":", F.col("child").cast("string"), F.col("digest"))
-    for _ in range(within):
-        up = levels[-1].select("file", F.col("node").alias("child"), F.floor(F.col("node") / F.lit(fanout)).cast("long").alias("node"), "digest")
-        levels.append(_folded(up, ["file", "node"], "child", child))
-    for _ in range(across):
-        up = levels[-1].select(F.col("file").alias("child"), F.floor(F.col("file") / F.lit(fanout)).cast("long").alias("file"), "node", "digest")
-        levels.append(_folded(up, ["file", "node"], "child", child))
+    for up in ["node"] * within + ["file"] * across:
+        parent = F.floor(F.col(up) / F.lit(fanout)).cast("long")
+        below = levels[-1].withColumn("child", F.col(up)).withColumn(up, parent)
+        levels.append(written(_folded(below, [*by, "file", "node"], "child", child), "merkle"))
     return levels
 
 
@@ -77,36 +76,29 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     read from there; the only figures that reach the driver are the largest file number and range.
     """
     names = ["file", "page_id", "start", "length", "digest"]
-    sides = [written(x.select(*names), "manifest") for x in (primary, replica)]
-    most = [x.agg(F.max("start"), F.max("file")).first() for x in sides]
-    ranges = max((m[0] or 0) // range_bytes + 1 for m in most)
-    files = max((m[1] or 0) + 1 for m in most)
-    trees = [merkle_levels(x, range_bytes, fanout, _height(ranges, fanout), _height(files, fanout)) for x in sides]
-    trees = [[written(level, "merkle") for level in tree] for tree in trees]
+    both = written(primary.select(*names, F.lit(False).alias("theirs")).unionAll(replica.select(*names, F.lit(True).alias("theirs"))), "manifests")
+    most = both.agg(F.max("start"), F.max("file")).first()
+    within, across = _height((most[0] or 0) // range_bytes + 1, fanout), _height(max((most[1] or 0) + 1, 1), fanout)
+    levels = merkle_levels(both, range_bytes, fanout, within, across, ["theirs"])
     suspects = None
-    for depth in reversed(range(len(trees[0]))):
-        a, b = (tree[depth].select("file", "node", F.col("digest").alias(name)) for tree, name in zip(trees, ("mine", "theirs")))
-        if suspects is not None:
-            across = depth >= _height(ranges, fanout)
-            a, b = (_under(x, suspects, fanout, across) for x in (a, b))
-        both = a.join(b, ["file", "node"], "full_outer")
-        suspects = both.where(~F.col("mine").eqNullSafe(F.col("theirs"))).select("file", "node")
-        suspects = written(suspects, "branches")
-    leaf = F.floor(F.col("start") / F.lit(range_bytes)).cast("long")
-    order = Window.partitionBy("file", "start").orderBy("length", "digest")
-    found = []
-    for side, name in zip(sides, ("expected", "found")):
-        rows = side.withColumn("node", leaf).join(suspects, ["file", "node"], "left_semi").withColumn("turn", F.row_number().over(order))
-        found.append(rows.select("file", "start", "turn", F.col("page_id").alias(f"{name}_id"), F.col("length").alias(f"{name}_length"), F.col("digest").alias(name)))
-    both = found[0].join(found[1], ["file", "start", "turn"], "full_outer").where(~F.col("expected").eqNullSafe(F.col("found")))
-    status = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("corrupt")
-    return both.select(
+    side = lambda of, c: F.max(F.when(F.col("theirs") == F.lit(of), F.col(c)))
+    for depth in reversed(range(len(levels))):
+        nodes = levels[depth] if suspects is None else _under(levels[depth], suspects, fanout, depth >= within)
+        pairs = nodes.groupBy("file", "node").agg(side(False, "digest").alias("mine"), side(True, "digest").alias("other"))
+        suspects = written(pairs.where(~F.col("mine").eqNullSafe(F.col("other"))).select("file", "node"), "branches")
+    rows = both.withColumn("node", F.floor(F.col("start") / F.lit(range_bytes)).cast("long")).join(suspects, ["file", "node"], "left_semi")
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("theirs", "file", "start").orderBy("length", "digest")))
+    rows = rows.withColumn("record", F.struct("page_id", "length", "digest"))
+    pairs = rows.groupBy("file", "start", "turn").agg(side(False, "record").alias("a"), side(True, "record").alias("b"))
+    pairs = pairs.where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
+    return pairs.select(
         "file",
         "start",
-        F.coalesce("expected_id", "found_id").alias("page_id"),
-        F.coalesce("expected_length", "found_length").alias("length"),
-        "expected",
-        "found",
+        F.when(F.col("a").isNotNull(), F.col("a.page_id")).otherwise(F.col("b.page_id")).alias("page_id"),
+        F.coalesce("a.length", "b.length").alias("length"),
+        F.col("a.digest").alias("expected"),
+        F.col("b.digest").alias("found"),
         status.alias("status"),
     )
 
@@ -121,13 +113,16 @@ def _under(nodes: DataFrame, parents: DataFrame, fanout: int, across: bool) -> D
 
 def damaged(records: DataFrame, pages: DataFrame) -> DataFrame:
     """A replica of records for a drill, with about 1 of 128 page ids lost and 1 of 128 with other bytes, chosen by the ids' hashes.
+
     The bytes of all its records are hashed anew from the pages, and nothing of the primary's digests is taken over; offsets
-    are those of the index, as in a file whose blocks went bad in place. Records of one id pair off with its pages by digest."""
+    are those of the index, as in a file whose blocks went bad in place. Records of one id pair off with its pages by digest,
+    so repeated rows stay repeated; null ids are neither lost nor harmed; no pages give no records.
+    """
     mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
     html = F.when(mark.isin("07", "70"), F.concat(F.coalesce("html", F.lit("")), F.lit("?"))).otherwise(F.col("html"))
     there = ~F.coalesce(mark.isin("0d", "d0"), F.lit(False))
-    fresh = pages.where(there).select(F.col("page_id").alias("id"), F.sha2(warc_block(F.col("url"), F.col("page_id"), html), 256).alias("now"))
-    fresh = fresh.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("now")))
-    kept = records.where(there).withColumn("turn", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "start")))
-    both = kept.join(fresh, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("turn") == F.col("at")))
+    fresh = written(pages.where(there).select(F.col("page_id").alias("id"), F.sha2(warc_block(F.col("url"), F.col("page_id"), html), 256).alias("now"), F.lit(1).alias("one")), "replica")
+    fresh = running(fresh, "id", ["now"], "one", "at")
+    kept = running(records.where(there).withColumn("one", F.lit(1)), "page_id", ["digest", "start"], "one", "turn")
+    both = kept.join(fresh.select("id", "now", "at"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("turn") == F.col("at")))
     return both.select("file", "page_id", "start", "length", F.col("now").alias("digest"))
