@@ -140,13 +140,14 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     A path is a host with a section of it. Texts that are null or blank have evidence and posterior null, aren't kept, and
     count in no share. Null hosts or sections form groups of their own; repeated rows count as often as they stand; without
     labels of both classes there is no evidence and everything is kept but blank texts; an empty table gives an empty table;
-    other columns pass, and those named as the new ones are replaced. keep: the columns that stay (all by default).
+    texts of any length are measured whole. Words count LONGEST letters at most, the log-odds stay within FARTHEST and the
+    weights of priors within WEIGHTS. Other columns, of any names, pass, and those named as the new ones are replaced. keep: the columns that stay (all by default).
     """
     stay = [c for c in docs.columns if c.lower() not in MADE and (keep is None or c in keep)]
-    text, host, section = F.col(text_col), F.col(host_col).alias("lf_host"), F.col(section_col).alias("lf_section")
+    text, host, section = F.col(f"`{text_col}`"), F.col(f"`{host_col}`").alias("lf_host"), F.col(f"`{section_col}`").alias("lf_section")
     made = [host, section, features(text).alias("lf_x"), _blank(text).alias("lf_blank")]
-    narrow = docs.select(F.col(id_col).alias("lf_id"), *made, *[F.col(c).alias(f"lf_{k}") for k, c in enumerate(stay) if keep is not None])
-    narrow = written(narrow, "features")
+    # The features are written with what passes, so that they are made once and joined to nothing.
+    narrow = written(docs.select(F.col(f"`{id_col}`").alias("lf_id"), *made, *[F.col(f"`{c}`").alias(f"lf_{k}") for k, c in enumerate(stay)]), "features")
     real = narrow.where("not lf_blank")
     model = train(real, labels, label_id, label, sample)
     chance = lambda z: 1 / (1 + F.exp(-z))
@@ -161,10 +162,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     paths = written(paths.withColumnsRenamed({"lf_host": "lf_host2", "lf_section": "lf_section2"}), "shares")
     # What passes is one column, so that no name of its columns meets one used here.
     row = lambda columns: F.struct(*[c.alias(n) for c, n in zip(columns, stay)] or [F.lit(0)]).alias("lf_row")
-    if keep is None:  # the texts pass too: their features are computed anew rather than joined
-        rows = docs.select(row([F.col(f"`{c}`") for c in stay]), *made)
-    else:
-        rows = narrow.select(row([F.col(f"lf_{k}") for k in range(len(stay))]), "lf_host", "lf_section", "lf_x", "lf_blank")
+    rows = narrow.select(row([F.col(f"lf_{k}") for k in range(len(stay))]), "lf_host", "lf_section", "lf_x", "lf_blank")
     on = [F.col("lf_host").eqNullSafe(F.col("lf_host2")), F.col("lf_section").eqNullSafe(F.col("lf_section2"))]
     if paths.count() <= SENT_PATHS:
         rows = rows.join(F.broadcast(paths), on, "left")

@@ -106,3 +106,12 @@ def test_awkward_and_empty(spark):
     none = spark.createDataFrame([], LABELS)
     assert all(r.keep == bool((r.text or "").strip()) for r in quality.judged(docs, none).collect())
     assert quality.judged(empty(spark), marked).collect() == []
+
+
+def test_kept_columns_of_any_name(spark):
+    docs, labels = corpus(spark, 60)
+    docs = docs.withColumn("Odd.Name", F.col("doc_id") * 2).withColumn("Lf_Row", F.lit("x"))
+    marked = spark.createDataFrame(labels, LABELS)
+    some = quality.judged(docs, marked, keep=["doc_id", "Odd.Name"])
+    assert some.columns[:2] == ["doc_id", "Odd.Name"] and all(r["Odd.Name"] == 2 * r.doc_id for r in some.collect())
+    assert quality.judged(docs, marked).columns[: len(docs.columns)] == docs.columns
