@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lingoframe.llm.shared import slabs
 from lingoframe.llm.textgrid import Grid
@@ -26,9 +27,6 @@ LEAST_WORDS = 13
 SHARD_WORDS = 1 << 20
 #: Bytes of test texts sent with the tasks of one pass; beyond them there are more passes.
 PASS_BYTES = 32 << 20
-#: Shortest test text, in words, that is searched for.
-SHORTEST = 5
-
 
 class Tests:
     """The test texts of a pass as flat arrays of word hashes."""
@@ -42,7 +40,7 @@ class Tests:
         self.first = np.cumsum(counts) - counts
         self.left = np.repeat(self.first + counts, counts) - np.arange(len(self.words))
         self.need = np.minimum(least, counts)[self.item] if len(items) else np.zeros(0, np.int64)
-        self.starts = np.flatnonzero((self.left >= self.need) & (counts[self.item] >= SHORTEST)) if len(items) else np.zeros(0, np.int64)
+        self.starts = np.flatnonzero(self.left >= self.need) if len(items) else np.zeros(0, np.int64)
         self.longest = int(counts.max(initial=0))
 
 
@@ -94,14 +92,18 @@ def search(words: np.ndarray, marks: np.ndarray, tests: Tests) -> tuple[np.ndarr
     there = np.minimum(np.searchsorted(alphabet, tests.words), len(alphabet) - 1)
     wanted = np.where((alphabet[there] == tests.words) & (tests.words != 0), there, -2)
     base = np.uint64(int(rank.max()) + 2)
+    # The first three words are one key; of tests of one or two words all keys that begin so.
     s = tests.starts
-    at = lambda k: wanted[np.minimum(s + k, len(wanted) - 1)]
-    known = (at(0) >= 0) & (at(1) >= 0) & (at(2) >= 0)
+    words_of = lambda k: np.where(tests.need[s] > k, wanted[np.minimum(s + k, len(wanted) - 1)], -1)
+    known = np.logical_and.reduce([(words_of(k) >= 0) | (tests.need[s] <= k) for k in range(3)])
     s = s[known]
     if not len(s):
         return none
-    key = ((wanted[s] + 1).astype(np.uint64) * base + (at(1) + 1).astype(np.uint64)) * base + (at(2) + 1).astype(np.uint64)
-    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    key, span = np.zeros(len(s), np.uint64), np.ones(len(s), np.uint64)
+    for k in range(3):
+        key = key * base + (words_of(k) + 1).astype(np.uint64)
+        span[tests.need[s] <= k] *= base
+    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key + span, "left")
     depth = 3
     padded = np.append(rank, np.full(tests.longest + 1, -1))
     need = tests.need[s]
@@ -170,11 +172,10 @@ class Shard:
         starts, ends = np.concatenate(self.starts), np.concatenate(self.ends)
         place, q, length = search(words, rows, tests)
         item = tests.item[q]
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for r, i, n, a, b, w in zip(rows[place].tolist(), item.tolist(), length.tolist(), starts[place].tolist(), ends[place + length - 1].tolist(), (q - tests.first[item]).tolist()):
-            if (r, i) not in best or (-n, a, w) < best[r, i][:3]:
-                best[r, i] = (-n, a, w, b)
-        return [(r, i, -n, a, b, w) for (r, i), (n, a, w, b) in sorted(best.items())]
+        row, begin, word = rows[place], starts[place], q - tests.first[item]
+        order = np.lexsort((word, begin, -length, item, row))
+        first = order[np.append(True, (np.diff(row[order]) != 0) | (np.diff(item[order]) != 0))[: len(order)]]
+        return list(zip(*(x[first].tolist() for x in (row, item, length, begin, ends[place + length - 1], word))))
 
 
 def _searched(batches: Iterator[pa.RecordBatch], text_col: str, tests: Tests, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
@@ -215,7 +216,7 @@ def _local(found: list[tuple], offset: int) -> list[tuple]:
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> Iterator[list[tuple[int, str]]]:
     """The test texts, in groups of a bounded size."""
-    rows = benchmark.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    rows = benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("i is not null and t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     groups = size // PASS_BYTES + 1
     for g in range(groups):
@@ -228,25 +229,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     doc_id, item_id, words, text_start, text_end (code points of the document), item_start (word of the test text).
 
     Words are compared without case and whatever stands between them. Of equally long matches the first is given. Null and
-    empty texts match nothing, test texts that are null, have a null id or fewer than five words are not searched for,
-    repeated rows and repeated items each give their rows, a null doc_id is passed on, and no documents or no tests give no
+    empty texts match nothing, test texts that are null, without a word or of a null id are not searched for, those under
+    the limit are searched for as a whole, from one word on, item_id has the type of the benchmark's, repeated rows and repeated items each give their rows, a null doc_id is passed on, and no documents or no tests give no
     rows. Documents of any length are searched whole. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("words", "text_start", "text_end", "item_start")]])
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", benchmark.schema[item_col].dataType), *[T.StructField(n, T.IntegerType()) for n in ("words", "text_start", "text_end", "item_start")]])
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for items in _passes(benchmark, item_col, item_text, least):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches):
+        def run(batches, sent=sent):
             tests = Tests(sent.value, least)
             for piece, found in _searched(batches, "text", tests, shard_words):
                 if found:
                     row, item, *rest = (list(x) for x in zip(*found))
                     ids = piece.column(piece.schema.get_field_index("doc_id")).take(pa.array(row))
                     item = [tests.ids[i] for i in item]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), *[pa.array(x, pa.int32()) for x in rest]], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_type), *[pa.array(x, pa.int32()) for x in rest]], names=schema.names)
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
@@ -254,7 +256,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of docs, all columns, without those that have a match as matches() reports it. Null and empty texts stay."""
+    """The rows of docs, all columns, without those that have a match as matches() reports it.
+
+    Null and empty texts stay; repeated rows stay or go alike; columns of any names pass, also those named like the
+    benchmark's; an empty benchmark leaves everything, an empty table is empty. Texts of any length are searched whole.
+    """
     for items in _passes(benchmark, item_col, item_text, least):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 

@@ -18,7 +18,7 @@ def slow(docs, items, least):
         w = words(text)
         for i, item in items:
             v = words(item)
-            if len(v) < suffixes.SHORTEST:
+            if not v:
                 continue
             table, best = np.zeros((len(w) + 1, len(v) + 1), int), 0
             for a in range(len(w)):
@@ -36,13 +36,13 @@ def slow(docs, items, least):
 def test_matches_are_those_of_brute_force(seed, shard_words):
     rnd = random.Random(seed)
     vocabulary = ["a", "b", "c", "the", "of"] if seed % 2 else [f"w{i}" for i in range(30)]
-    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(3, 20)))) for k in range(6)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 20)))) for k in range(6)]
     docs = []
     for _ in range(12):
         p = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 40))]
         if rnd.random() < 0.5:
             v = rnd.choice(items)[1].split()
-            p[5:5] = [x.upper() + "," for x in v[rnd.randint(0, len(v) - 1) :]]
+            p[5:5] = [x.upper() + "," for x in v[rnd.randint(0, max(0, len(v) - 1)) :]]
         docs.append(" ".join(p))
     docs += docs[:3] + [None, ""]
     tests = suffixes.Tests(items, 6)
@@ -74,9 +74,19 @@ def test_tables(spark):
     docs = documents(spark, rows).withColumn("item_id", F.lit("clash")).withColumn("a.b", F.lit(1))
     for shard_words in (1 << 20, 100):
         got = suffixes.matches(docs, bench, shard_words=shard_words).collect()
-        assert sorted(((r.doc_id, r.item_id, r.words) for r in got), key=str) == sorted([(1, 1, 16)] * 4 + [(3, 5, 7)] + [(None, 1, 30)] * 2 + [(6, 1, 30)] * 2, key=str)
+        assert sorted(((r.doc_id, r.item_id, r.words) for r in got), key=str) == sorted([(1, 1, 16)] * 4 + [(3, 5, 7), (5, 4, 4)] + [(None, 1, 30)] * 2 + [(6, 1, 30)] * 2, key=str)
         clean = suffixes.decontaminated(docs, bench, shard_words=shard_words)
-        assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 4, 5]
+        assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 4]
+
+
+def test_ids_of_any_type_and_short_items(spark):
+    bench = spark.createDataFrame([("one", "zebra"), ("two", "blue zebra"), ("three", "the blue zebra"), ("none", "...")], "`Item.Id` string, text string")
+    docs = spark.createDataFrame([("a", "A blue   ZEBRA!"), ("b", "the blue zebra"), ("c", "zebras are blue"), ("d", "")], "`Doc.Id` string, text string")
+    got = suffixes.matches(docs, bench, "Doc.Id", item_col="Item.Id")
+    assert got.schema["item_id"].dataType.simpleString() == "string" and got.schema["doc_id"].dataType.simpleString() == "string"
+    rows = {(r.doc_id, r.item_id, r.words, r.text_start, r.text_end, r.item_start) for r in got.collect()}
+    assert rows == {("a", "one", 1, 9, 14, 0), ("a", "two", 2, 2, 14, 0), ("b", "one", 1, 9, 14, 0), ("b", "two", 2, 4, 14, 0), ("b", "three", 3, 0, 14, 0)}
+    assert sorted(r[0] for r in suffixes.decontaminated(docs, bench, item_col="Item.Id").collect()) == ["c", "d"]
 
 
 def test_several_passes(spark, monkeypatch):
