@@ -12,11 +12,11 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,8 @@ def train_dictionary(docs: DataFrame, text_col: str = "text", vocabulary_path: s
     """A zstandard dictionary for the id arrays of these texts, or b'' if there is too little to train on.
 
     The sample is spread over all distinct texts by their hashes, with an expected size that does not grow with the table;
-    of a text over SAMPLE_BYTES it has a passage from a place that its hash chooses.
+    of a text over SAMPLE_BYTES it has a passage from a place that its hash chooses. Ids play no part; null and empty texts
+    are left out, of repeated ones there is one; other columns are ignored; an empty table gives b''.
     """
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     texts = texts.withColumn("h", F.xxhash64("text"))
@@ -99,25 +100,31 @@ def packed(docs: DataFrame, dictionary: bytes, id_col: str = "doc_id", text_col:
     return map_texts(source, "text", fields, make, ["doc_id"])
 
 
-def _folder(path: str) -> Path:
-    """The local name of a folder that all executors see."""
-    local = re.sub(r"^file:/+", "/", path)
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", local):
-        raise ValueError(f"a store needs a folder that is mounted everywhere, not {path}")
-    return Path(local)
+def _folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that all executors see (file, hdfs, s3, gs, ...) and the folder's name there."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+
+
+def _bytes(path: str, name: str) -> bytes:
+    system, folder = _folder(path)
+    with system.open_input_file(f"{folder}/{name}") as f:
+        return f.read()
 
 
 def write_store(frames: DataFrame, dictionary: bytes, path: str) -> None:
     """Files of frames and an index in a folder that all executors see. A task writes a file of a name of its own, and
-    only the index rows of tasks that were committed count, so that repeated or lost tasks do no harm."""
-    folder = _folder(path)
-    folder.mkdir(parents=True)
-    (folder / f"{dictionary_hash(dictionary)}.dict").write_bytes(dictionary)
+    only the index rows of tasks that were committed count, so that repeated or lost tasks do no harm. frames: packed(). Null
+    and repeated ids have their rows in the index; a null text has length 0; no rows make an index without rows."""
+    system, folder = _folder(path)
+    system.create_dir(folder, recursive=True)
+    with system.open_output_stream(f"{folder}/{dictionary_hash(dictionary)}.dict") as out:
+        out.write(dictionary)
     schema = T.StructType([frames.schema["doc_id"], T.StructField("file", T.StringType()), *[frames.schema[c] for c in ("offset", "length", "n_tokens", "dictionary")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, at = f"{uuid.uuid4().hex}.frames", 0
-        with (folder / name).open("wb") as out:
+        system, folder = _folder(path)
+        with system.open_output_stream(f"{folder}/{name}") as out:
             for batch in batches:
                 parts = [f or b"" for f in batch.column("frame").to_pylist()]
                 out.write(b"".join(parts))
@@ -140,8 +147,10 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def read_store(spark: SparkSession, path: str, ids: list[int] | None = None, vocabulary_size: int = 1 << 16) -> DataFrame:
-    """doc_id and token_ids (null where the text was) of the documents of a store, or of some, reading only their frames."""
-    folder, kind = _folder(path), id_type(vocabulary_size)
+    """doc_id and token_ids (null where the text was) of the documents of a store, or of some, reading only their frames.
+    An id that stands more than once gives each of its documents; a null id only comes when all are read; a store without
+    rows gives none."""
+    kind = id_type(vocabulary_size)
     index = spark.read.parquet(f"{path}/index")
     if ids is not None:
         index = index.where(F.col("doc_id").isin(list(ids)))
@@ -149,6 +158,7 @@ def read_store(spark: SparkSession, path: str, ids: list[int] | None = None, voc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_files, decompressors = {}, {}
+        system, folder = _folder(path)
         for batch in batches:
             out = []
             for row in batch.to_pylist():
@@ -156,10 +166,10 @@ def read_store(spark: SparkSession, path: str, ids: list[int] | None = None, voc
                     out.append(None)
                     continue
                 if (name := row["dictionary"]) not in decompressors:
-                    dictionary = (folder / f"{name}.dict").read_bytes()
+                    dictionary = _bytes(path, f"{name}.dict")
                     decompressors[name] = zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
                 if row["file"] not in open_files:
-                    open_files[row["file"]] = (folder / row["file"]).open("rb")
+                    open_files[row["file"]] = system.open_input_file(f"{folder}/{row['file']}")
                 f = open_files[row["file"]]
                 f.seek(row["offset"])
                 out.append(np.frombuffer(decompressors[name].decompress(f.read(row["length"])), kind).astype(np.int32))
