@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingoframe.llm.shared import map_texts
@@ -305,6 +306,8 @@ def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
 def decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "text", vocabulary_path: str = VOCABULARY) -> DataFrame:
     """Add the text that token ids stand for. Null ids give null, none an empty text; bytes that are no UTF-8 become U+FFFD.
+    Other columns, of any names, pass, and one named as the new one is replaced; repeated rows are decoded alike; an empty
+    table gives an empty table.
 
     An id that the vocabulary doesn't have, or a null among the ids, raises an error: it can't have come from encode().
     """
@@ -313,10 +316,13 @@ def decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "text", voc
     names = [f.name for f in stay]
     schema = T.StructType([*stay, T.StructField(out_col, T.StringType())])
 
+    # The Arrow functions take no names with dots, so columns go by number.
+    source = df.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate([*names, ids_col])])
+
     def run(batches):
         vocab = vocabulary(lines.value)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
+            column = batch.column(len(names))
             for at in range(0, len(column), 256):
                 some = column.slice(at, 256)
                 counts = some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -325,6 +331,6 @@ def decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "text", voc
                     raise ValueError("token ids outside the vocabulary")
                 texts = decode_flat(flat.to_numpy().astype(np.int64), counts, vocab)
                 made = pa.array([None if null else t.decode("utf-8", "replace") for t, null in zip(texts, some.is_null().to_pylist())], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)).slice(at, 256) for n in names] + [made], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(at, 256) for k in range(len(names))] + [made], names=[*names, out_col])
 
-    return df.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

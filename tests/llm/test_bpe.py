@@ -61,3 +61,11 @@ def test_empty_table(spark):
 def test_foreign_ids_are_refused(spark):
     with pytest.raises(Exception, match="outside the vocabulary"):
         bpe.decode(spark.createDataFrame([([60000],)], "token_ids array<int>")).collect()
+
+
+def test_decoding_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, [31373], "x"), (2, None, "y"), (3, [], None), (1, [31373], "x")], "doc_id int, `the.ids` array<int>, `Odd.Name` string")
+    out = bpe.decode(df, "the.ids", "doc_id")
+    assert out.columns == ["the.ids", "Odd.Name", "doc_id"]
+    assert sorted((r["Odd.Name"] or "", r.doc_id) for r in out.collect()) == [("", ""), ("x", "hello"), ("x", "hello"), ("y", None)]
+    assert bpe.decode(df.limit(0), "the.ids").collect() == []
