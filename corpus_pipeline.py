@@ -14,28 +14,49 @@ from lingoframe.llm.shared import kept, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose posterior of being good is under the threshold. Null and blank texts go."""
+    """Drops documents whose posterior of being good is under the threshold.
+
+    Null and blank texts go; null hosts and sections are groups of their own; repeated rows and ties of the posterior are
+    judged alike (at the threshold they stay); texts of any length are measured whole; an empty table stays empty; columns
+    named like the operator's stand aside and come back.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return kept(docs, lambda d: quality.judged(d, labels), quality.MADE)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents outside the compression bands."""
+    """Drops documents outside the compression bands.
+
+    Null and empty texts go; repeated rows are judged alike; texts of any length are compressed whole and by chunks; an empty
+    table stays empty; columns named like the operator's stand aside and come back.
+    """
     return kept(docs, compression.compression_bands, compression.MADE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, that of the smallest (doc_id, hash of the text).
+
+    Texts that are null or without a word all stay; of repeated rows of one document one stays; texts of any length count
+    whole; an empty table stays empty; columns of any names pass.
+    """
     return simhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark of 13 words or a shorter benchmark text as a whole.
+
+    Null and empty texts stay; repeated rows stay or go alike; texts of any length are searched whole; an empty table or
+    benchmark changes nothing; columns of any names pass.
+    """
     return suffixes.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token_ids, n_tokens and decoded_same."""
+    """Adds token_ids, n_tokens and decoded_same.
+
+    A null text has nulls there, an empty one no ids; repeated rows are encoded alike; texts of any length are encoded whole;
+    an empty table stays empty; columns of these three names are replaced, others pass.
+    """
     return bpe.encode(docs)
 
 

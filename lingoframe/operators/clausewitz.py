@@ -140,6 +140,11 @@ def length_reference(en: DataFrame, other: DataFrame, ratio: float = 1.6) -> Dat
     return rows.where((F.col("ratio") >= ratio) | (F.col("ratio") <= 1 / ratio)).select("key", "source_length", "length", "ratio")
 
 
+def furthest(rows: DataFrame, n: int = 30) -> DataFrame:
+    """The first n of a length report, the longest against their sources first; ties by key, from the end of the alphabet."""
+    return rows.orderBy(F.desc("ratio"), F.desc("key")).limit(n)
+
+
 def select(entries: DataFrame, file: str | None = None, namespace: str | None = None, tag: str | None = None, style: str | None = None, clean: bool = False) -> DataFrame:
     key = F.col("key")
     rows = entries

@@ -118,7 +118,10 @@ def crosslocale(source: DataFrame, target: DataFrame) -> DataFrame:
     """What translations break: findings of rules ftl.pair.*, all locales in one join."""
     both = pairs(source, target)
     live = both.where(~F.col("orphan") & ~L.is_empty(F.col("target")) & ~L.is_empty(F.col("source")))
-    live = live.withColumns({"ok": scanners.is_balanced("target"), "ts": scanners.placeables_of("target"), "ss": scanners.placeables_of("source")})
+    # Only texts with a brace are scanned; the others are balanced and have no placeable.
+    braced = lambda c: F.when(F.regexp_like(c, F.lit("[{}]")), F.col(c))
+    none = F.array().cast("array<struct<start:int,end:int,inner:string>>")
+    live = live.withColumns({"ok": F.coalesce(scanners.is_balanced(braced("target")), F.lit(True)), "ts": F.coalesce(scanners.placeables_of(braced("target")), none), "ss": F.coalesce(scanners.placeables_of(braced("source")), none)})
     free = L.attribute_role(F.col("attr")) != "variant"
     a, b = F.array_sort(F.array_distinct(L.variables(F.col("source")))), F.array_sort(F.array_distinct(L.variables(F.col("target"))))
     arrow, there = F.contains("source", F.lit("->")), F.contains("target", F.lit("->"))

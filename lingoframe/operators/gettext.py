@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingoframe.functions import gettext as G
@@ -78,23 +78,32 @@ def select(entries: DataFrame, prefix: str | None = None, contains: str | None =
     return rows if has is None else rows.where(F.regexp_like("msgid", F.lit(G.PATTERN[has])))
 
 
-def markup_findings(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """(keep, severity, rule, detail) of a text column: balance by a scan of the texts that have an angle, the rest by
-    expressions."""
-    t = F.col(text)
+PROBLEMS = "array<struct<severity:string,rule:string,detail:string>>"
+
+
+def _problem(when: Column, severity: str, rule: str, detail: Column) -> Column:
+    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.alias("detail")))
+
+
+def markup_checks(t: Column) -> Column:
+    """(severity, rule, detail) of a text: balance by a scan of the texts that have an angle, the rest by expressions; a null
+    text has none."""
     tag = G.markup_family(t) == "tag"
     opens, closes, bare = G.po4a_balance(t)
-    one = lambda when, severity, rule, detail: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.alias("detail")))
     stray, amp = F.array_join(G.stray_backslashes(t), ""), G.bare_ampersands(t)
-    checks = F.array_compact(F.array(
-        one(tag & (stray != ""), "ERROR", "po.stray_backslash", stray),
-        one(tag & (amp > 0), "WARN", "po.unescaped_amp", amp.cast("string")),
-        one(~tag & (opens != closes), "ERROR", "po.po4a_balance", F.concat(opens.cast("string"), F.lit("/"), closes.cast("string"))),
-        one(~tag & (bare > 0), "ERROR", "po.bare_angle", bare.cast("string")),
+    plain = F.array_compact(F.array(
+        _problem(tag & (stray != ""), "ERROR", "po.stray_backslash", stray),
+        _problem(tag & (amp > 0), "WARN", "po.unescaped_amp", amp.cast("string")),
+        _problem(~tag & (opens != closes), "ERROR", "po.po4a_balance", F.concat(opens.cast("string"), F.lit("/"), closes.cast("string"))),
+        _problem(~tag & (bare > 0), "ERROR", "po.bare_angle", bare.cast("string")),
     ))
-    plain = rows.select(*keep, F.inline(checks))
-    scanned = rows.where(tag & t.contains("<")).select(*keep, F.inline(scanners.tag_problems_of(text)))
-    return plain.unionByName(scanned)
+    scanned = scanners.tag_problems_of(F.when(tag & t.contains("<"), t))
+    return F.concat(F.coalesce(plain, F.array().cast(PROBLEMS)), F.coalesce(scanned, F.array().cast(PROBLEMS)))
+
+
+def markup_findings(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(keep, severity, rule, detail) of a text column, in one pass."""
+    return rows.select(*keep, F.inline(markup_checks(F.col(text))))
 
 
 def validate_markup(entries: DataFrame) -> DataFrame:
@@ -125,25 +134,26 @@ def crosslocale(source: DataFrame, target: DataFrame, facts: DataFrame | None =
         "plural": F.col("src_plural").isNotNull(),
         "names": F.array_sort(F.array_union(G.named(F.col("src_display")), F.coalesce(G.named(F.col("src_plural")), F.array().cast("array<string>")))),
     })
-    there = both.where("in_source")
+    # Each entry is a row as a whole (its form is null) and one for each of its forms, so that all rules go through one pass.
+    kind = "array<struct<form:int,text:string>>"
+    forms = F.filter(F.transform("msgstr", lambda f, i: F.struct(i.cast("int").alias("form"), f.alias("text"))), lambda x: x["text"] != "")
+    each = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("form"), F.lit(None).cast("string").alias("text"))).cast(kind), F.when(F.col("in_source"), forms.cast(kind)).otherwise(F.array().cast(kind)))
     full = F.size(F.filter("msgstr", lambda f: f != ""))
-    arity = there.where(F.col("plural") & F.col("nplurals").isNotNull() & (full < F.col("nplurals")))
-    forms = there.select("internal_id", "ord", "plural", "names", "src_display", "src_plural", F.posexplode("msgstr").alias("form", "text")).where("text <> ''")
-    mine = G.named(F.col("text"))
-    specs = G.printf(F.col("text"))
+    rows = both.select("internal_id", "ord", "plural", "names", "src_display", "src_plural", "in_source", "nplurals", full.alias("full"), F.inline(each))
+    mine, specs, whole = G.named(F.col("text")), G.printf(F.col("text")), F.col("form").isNull()
     # A multiset union takes the larger count, so what exceeds it exceeds both.
     extra = F.when(F.col("plural"), _least(surplus(specs, G.printf(F.col("src_display"))), surplus(specs, G.printf(F.col("src_plural"))))).otherwise(surplus(specs, G.printf(F.col("src_display"))))
-    forms = forms.withColumns({"invented": F.array_join(F.array_except(mine, F.col("names")), ","), "dropped": F.when(F.col("plural"), "").otherwise(F.array_join(F.array_except(F.col("names"), mine), ",")), "extra": shown(extra)})
-    markup = markup_findings(forms, "text", ["internal_id", "ord", "form"])
-    places = {"line": "ord", "form_idx": "form"}
-    return together(
-        finding(both.where("in_source is null"), "ERROR", "po.pair.orphan", "internal_id", line="ord"),
-        finding(arity, "WARN", "po.pair.plural_arity", "internal_id", full.cast("string"), line="ord"),
-        finding(forms.where("invented <> ''"), "ERROR", "po.pair.invented", "internal_id", F.col("invented"), **places),
-        finding(forms.where("dropped <> ''"), "ERROR", "po.pair.dropped", "internal_id", F.col("dropped"), **places),
-        finding(forms.where("extra <> ''"), "ERROR", "po.pair.printf_extra", "internal_id", F.col("extra"), **places),
-        finding(markup, F.col("severity"), F.concat(F.lit("po.pair."), F.regexp_replace("rule", "^po\\.", "")), "internal_id", F.col("detail"), **places),
-    )
+    rows = rows.withColumns({"invented": F.array_join(F.array_except(mine, F.col("names")), ","), "dropped": F.when(F.col("plural"), "").otherwise(F.array_join(F.array_except(F.col("names"), mine), ",")), "extra": shown(extra), "markup": markup_checks(F.col("text"))})
+    own = F.array_compact(F.array(
+        _problem(whole & F.col("in_source").isNull(), "ERROR", "po.pair.orphan", F.lit(None).cast("string")),
+        _problem(whole & F.col("in_source") & F.col("plural") & (F.col("full") < F.col("nplurals")), "WARN", "po.pair.plural_arity", F.col("full").cast("string")),
+        _problem(~whole & (F.col("invented") != ""), "ERROR", "po.pair.invented", F.col("invented")),
+        _problem(~whole & (F.col("dropped") != ""), "ERROR", "po.pair.dropped", F.col("dropped")),
+        _problem(~whole & (F.col("extra") != ""), "ERROR", "po.pair.printf_extra", F.col("extra")),
+    ))
+    markup = F.transform("markup", lambda m: F.struct(m["severity"].alias("severity"), F.concat(F.lit("po.pair."), F.regexp_replace(m["rule"], "^po\\.", "")).alias("rule"), m["detail"].alias("detail")))
+    found = rows.select("internal_id", "ord", "form", F.inline(F.concat(own, markup)))
+    return finding(found, F.col("severity"), F.col("rule"), "internal_id", F.col("detail"), line="ord", form_idx="form")
 
 
 def _least(a, b):

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lingoframe.functions import clausewitz as C
 from lingoframe.operators import clausewitz as O
-from lingoframe.operators.common import last_of
-from lingoframe.plans.bindings import view, with_
+from lingoframe.operators import findings
+from lingoframe.operators.common import duplicates, last_of
+from lingoframe.plans.bindings import BINDINGS, view, with_
 from lingoframe.sources import clausewitz as source
 
 
@@ -44,6 +45,11 @@ QUERIES = {
     "cwz_event_coverage": lambda s, d: O.event_coverage(_en(s, d)),
     "cwz_token_preservation": lambda s, d: O.token_preservation(_en(s, d), _other(s, d)),
     "cwz_length_reference": lambda s, d: O.length_reference(_en(s, d), _other(s, d)).withColumn("ratio", F.round("ratio", 6)),
+    "cwz_length_topk": lambda s, d: O.furthest(O.length_reference(_en(s, d), _other(s, d)), 30).withColumn("ratio", F.round("ratio", 6)),
+    "cwz_select": lambda s, d: O.select(_en(s, d), file="f3", tag="GER", style="underscore", clean=True).select("ord", "key", "value"),
+    "cwz_duplicate_keys": lambda s, d: duplicates(_en(s, d), "key", "ord").select("key", "n", F.array_join(F.transform("places", lambda p: p.cast("string")), ",").alias("places")),
+    "cwz_part_examples": lambda s, d: O.part_examples(_en(s, d), 6),
+    "cwz_findings": lambda s, d: findings.summary(O.validate(_en(s, d), source.warnings(source.parsed(view(s, d, "cwz_lines"))))),
     "cwz_parse_lines": lambda s, d: source.entries(source.parsed(view(s, d, "cwz_lines"))),
     "cwz_parse_warnings": lambda s, d: source.warnings(source.parsed(view(s, d, "cwz_lines"))),
     "cwz_align_pivot": lambda s, d: O.aligned(_en(s, d).unionByName(_other(s, d)), ["english", "polish"]),
@@ -63,7 +69,7 @@ _CLEAN = "{0}"
 for _p in ("\\[[^\\]]*\\]", "\\$[^$]*\\$", "£\\w+", "@[A-Z]{{3}}", "§[A-Za-z]", "§!", "\\\\n", "\\\\t"):
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', ' ', 'g')"
 _CLEAN = f"trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g'))"
-_CLASSES = [(n, p.removeprefix("(?U)")) for n, p in C.INLINE]
+_CLASSES = (("colour-open", "§[a-zA-Z]"), ("colour-close", "§!"), ("icon", "£\\w+"), ("flag", "@[A-Z]{3}"), ("variable", "\\$[^$]*\\$"), ("scope-fn", "\\[[^\\]]*\\]"), ("newline", "\\\\n"))
 _TOKENS = " UNION ALL ".join(f"SELECT ord, key, '{n}' AS cls, unnest(regexp_extract_all(value, '{p}')) AS token FROM cwz_en" for n, p in _CLASSES)
 _REFS = """, used AS (SELECT ord, key, unnest(regexp_extract_all(value, '\\$([^$|]+)(\\|[^$]*)?\\$', 1)) AS name FROM cwz_en),
 refs AS (SELECT used.*, CASE WHEN k.key IS NOT NULL THEN 'resolved' WHEN regexp_full_match(name, '[A-Z][A-Z0-9_]*') THEN 'engine' ELSE 'dangling' END AS kind FROM used LEFT JOIN (SELECT DISTINCT key FROM cwz_en) k ON k.key = name)
@@ -102,7 +108,15 @@ ORACLES = {
       SELECT key, coalesce(string_agg(token || 'x' || g, ' ' ORDER BY token) FILTER (g > 0), '') AS dropped, coalesce(string_agg(token || 'x' || (-g), ' ' ORDER BY token) FILTER (g < 0), '') AS added FROM gap WHERE g <> 0 GROUP BY key""",
     "cwz_length_reference": _W + _PAIRS + f""", l AS (SELECT key, CAST(length({_CLEAN.format("source")}) AS INTEGER) AS source_length, CAST(length({_CLEAN.format("target")}) AS INTEGER) AS length FROM pairs)
       SELECT key, source_length, length, round(CAST(length AS DOUBLE) / source_length, 6) AS ratio FROM l WHERE source_length > 0 AND (CAST(length AS DOUBLE) / source_length >= 1.6 OR CAST(length AS DOUBLE) / source_length <= 1 / CAST(1.6 AS DOUBLE))""",
-    "cwz_parse_lines": _LINES + f"SELECT regexp_extract(text, {_E}, 1) AS key, CAST(nullif(regexp_extract(text, {_E}, 2), '') AS INTEGER) AS version, regexp_extract(text, {_E}, 3) AS value, lang, file, line FROM kept WHERE is_entry",
+    "cwz_length_topk": _W + _PAIRS + f""", l AS (SELECT key, CAST(length({_CLEAN.format("source")}) AS INTEGER) AS source_length, CAST(length({_CLEAN.format("target")}) AS INTEGER) AS length FROM pairs),
+      r AS (SELECT *, CAST(length AS DOUBLE) / source_length AS q FROM l WHERE source_length > 0) SELECT key, source_length, length, round(q, 6) AS ratio FROM r WHERE q >= 1.6 OR q <= 1 / CAST(1.6 AS DOUBLE) ORDER BY q DESC, key DESC LIMIT 30""",
+    "cwz_select": _W + f"SELECT ord, key, {_CLEAN.format('value')} AS value FROM cwz_en WHERE contains(file, 'f3') AND regexp_matches(key, '^GER(_|$)') AND NOT contains(key, '.')",
+    "cwz_duplicate_keys": _W + "SELECT key, count(*) AS n, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) AS places FROM cwz_en GROUP BY key HAVING count(*) > 1",
+    "cwz_part_examples": _W + _KEYED + """SELECT part_kind, CAST(turn AS INTEGER) AS turn, part FROM (SELECT part_kind, part, row_number() OVER (PARTITION BY part_kind ORDER BY min(ord)) AS turn FROM keyed WHERE dotted GROUP BY part_kind, part) WHERE turn <= 6""",
+    "cwz_findings": f"WITH {with_('cwz_en', 'cwz_other')}" + _REFS + _LINES[_LINES.index(", heads AS"):].replace(", heads AS", ", cwz_lines AS (" + BINDINGS["cwz_lines"] + "), heads AS", 1) + """SELECT severity, rule, count(*) AS n FROM (SELECT 'INFO' AS severity, 'cwz.duplicate_key' AS rule FROM cwz_en GROUP BY key HAVING count(*) > 1
+      UNION ALL SELECT 'NOTED', 'cwz.unbalanced_colour' FROM cwz_en WHERE len(regexp_extract_all(value, '§[A-Za-z]')) <> len(regexp_extract_all(value, '§!')) UNION ALL SELECT 'NOTED', 'cwz.escaped_quote' FROM cwz_en WHERE contains(value, chr(92) || '"')
+      UNION ALL SELECT 'ERROR', 'cwz.dangling_reference' FROM refs WHERE kind = 'dangling' UNION ALL SELECT 'INFO', 'cwz.parse_warning' FROM kept WHERE NOT is_entry) GROUP BY ALL""",
+    "cwz_parse_lines": _LINES + f"SELECT regexp_extract(text, {_E}, 1) AS key, TRY_CAST(nullif(regexp_extract(text, {_E}, 2), '') AS BIGINT) AS version, regexp_extract(text, {_E}, 3) AS value, lang, file, line FROM kept WHERE is_entry",
     "cwz_parse_warnings": _LINES + """SELECT file, line, CASE WHEN len(regexp_extract_all(text, '"')) % 2 = 1 THEN 'multiline?' ELSE 'malformed' END AS kind, text[1:80] AS text FROM kept WHERE NOT is_entry""",
     "cwz_align_pivot": _W + """SELECT key, max_by(value, ord) FILTER (lang = 'english') AS english, max_by(value, ord) FILTER (lang = 'polish') AS polish FROM (SELECT key, lang, value, ord FROM cwz_en UNION ALL SELECT key, lang, value, ord FROM cwz_other) GROUP BY key""",
     "last_wins_dedup": _W + "SELECT key, max(ord) AS ord, max_by(value, ord) AS value FROM cwz_en GROUP BY key",

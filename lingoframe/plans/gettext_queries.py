@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lingoframe.bundle import bilingual
@@ -10,6 +11,7 @@ from lingoframe.functions.strings import unescaped
 from lingoframe.operators import common, findings
 from lingoframe.operators import gettext as O
 from lingoframe.plans.bindings import view, with_
+from lingoframe.sources import gettext as source
 from lingoframe.sources.gettext import finished
 
 
@@ -34,17 +36,29 @@ def _tr(s, d):
 def _flat_bundle(s, d):
     rows = bilingual.rows(_src(s, d))
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return rows.select("seq", "segment_id", "file", "textdomain", "source_en", "target_pl", "msgctxt", "source_en_display", "target_pl_display", "fuzzy", joined("placeholders"), joined("markup_flags"), "string_class", F.col("neighbours.prev").alias("prev"), F.col("neighbours.next").alias("next"), "pool", "placeholder_check", F.array_join(F.coalesce("source_ref", F.array().cast("array<string>")), ",").alias("source_ref"), F.size("plural_forms.target_forms").alias("forms"))
+    return rows.select("seq", "segment_id", "file", "textdomain", "source_en", "target_pl", "msgctxt", "source_en_display", "target_pl_display", "fuzzy", joined("placeholders"), joined("markup_flags"), "string_class", F.col("neighbours.prev").alias("prev"), F.col("neighbours.next").alias("next"), "pool", "placeholder_check", F.array_join(F.coalesce("source_ref", F.array().cast("array<string>")), ",").alias("source_ref"), F.size("plural_forms.target_forms").alias("forms"), F.array_join("plural_forms.target_forms", "|").alias("form_texts"))
 
 
 def _pairs(s, d):
-    found = O.crosslocale(_src(s, d), _tr(s, d)).where(F.col("rule").isin("po.pair.orphan", "po.pair.plural_arity", "po.pair.invented", "po.pair.dropped", "po.pair.printf_extra"))
-    return found.select(F.col("line").alias("ord"), "rule", F.coalesce("form_idx", F.lit(-1)).alias("form"), F.coalesce("detail", F.lit("")).alias("detail"))
+    found = O.crosslocale(_src(s, d), _tr(s, d))
+    return found.select(F.col("line").alias("ord"), "severity", "rule", F.coalesce("form_idx", F.lit(-1)).alias("form"), F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 def _lines(s, d):
-    found = O.markup_findings(_src(s, d), "msgid", ["ord"])
-    return found.where(F.col("rule").isin("po.stray_backslash", "po.unescaped_amp", "po.po4a_balance", "po.bare_angle"))
+    return O.markup_findings(_src(s, d), "msgid", ["ord"])
+
+
+def _read(s, d):
+    """The entries as text files, a file a domain and remainder, and read again."""
+    blocks = view(s, d, "po_files").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ord", "block"))).alias("b"))
+    head = 'msgid ""\nmsgstr ""\n"Plural-Forms: nplurals=3; plural=0;\\n"\n"PO-Revision-Date: 2024-01-01\\n"\n\n'
+    return source.parsed(blocks.select("file", F.concat(F.lit(head), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("text")))
+
+
+def _read_entries(s, d):
+    rows = source.strings(_read(s, d))
+    joined = lambda c: F.array_join(c, "|")
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("ord")).alias("turn"), "domain", "msgctxt", "msgid", "msgid_plural", joined("msgstr").alias("forms"), joined("flags").alias("flags"), joined("comments.extracted").alias("extracted"), joined("comments.refs").alias("refs"), "context_prefix", "display")
 
 
 def _angles(s, d):
@@ -53,6 +67,8 @@ def _angles(s, d):
 
 
 QUERIES = {
+    "po_read_entries": _read_entries,
+    "po_read_headers": lambda s, d: source.header_facts(_read(s, d)),
     "po_summary": lambda s, d: O.summary(_src(s, d)),
     "po_token_inventory": lambda s, d: O.token_inventory(_src(s, d)),
     "po_prefix_registry": lambda s, d: O.prefix_registry(_src(s, d)),
@@ -95,11 +111,16 @@ def _x(name: str) -> str:
   CASE WHEN regexp_matches(msgid, '[A-Z]<') AND NOT regexp_matches(msgid, '</[A-Za-z]\\w*\\s*>') THEN 'po4a' ELSE 'tag' END AS markup FROM {name}"""
 
 
-_W = f"WITH {with_('po_src', 'po_tr')}, x AS ({_x('po_src')}), y AS ({_x('po_tr')})"
-_TOKENS = " UNION ALL ".join(f"SELECT ord, '{n}' AS cls, unnest(regexp_extract_all(msgid, '{p.removeprefix('(?U)').replace(chr(39), chr(39) * 2)}')) AS token FROM x" for n, p in G.TOKENS)
-_KNOWN = "(" + ", ".join(f"'{t}'" for t in G.KNOWN) + ")"
-_PANGO = "(" + ", ".join(f"'{t}'" for t in G.PANGO) + ")"
-_DOCBOOK = "(" + ", ".join(f"'{t}'" for t in G.DOCBOOK) + ")"
+_W = f"WITH RECURSIVE {with_('po_src', 'po_tr')}, x AS ({_x('po_src')}), y AS ({_x('po_tr')})"
+_CLASSES = {
+    "wml_var": r"\$[_a-zA-Z]\w*(?:\.[_a-zA-Z]\w*)*(?:\[\d+\])?\|?", "markup_tag": r"</?[a-zA-Z]\w*(?:\s[^>]*|/)?>", "text_attr": r"text=''[^'']*''", "entity": r"&(?:amp|lt|gt|quot|apos|#[0-9]+|#0?x[a-fA-F0-9]+);",
+    "escape": r'\\[\\nrt"]', "printf": r"%[-#.0-9]*\$?[diouxXeEfgGcsp%]", "brace_var": r"\{[a-zA-Z_][a-zA-Z_0-9]*\}",
+}
+_TOKENS = " UNION ALL ".join(f"SELECT ord, '{n}' AS cls, unnest(regexp_extract_all(msgid, '{p}')) AS token FROM x" for n, p in _CLASSES.items())
+_PANGO = "('b', 'big', 'bold', 'character', 'format', 'h', 'header', 'i', 'img', 'italic', 'jump', 'ref', 's', 'small', 'span', 'sub', 'sup', 'tt', 'u', 'underline')"
+_DOCBOOK = """('citetitle', 'emphasis', 'guibutton', 'guiicon', 'guilabel', 'guimenu', 'guimenuitem', 'imagedata', 'imageobject', 'inlinemediaobject', 'keycap', 'keycombo', 'link', 'listitem', 'literal', 'mediaobject', 'menuchoice', 'phrase',
+  'placeholder', 'quote', 'screenshot', 'simpara', 'subscript', 'superscript', 'ulink', 'varlistentry')"""
+_KNOWN = _PANGO[:-1] + ", " + _DOCBOOK[1:]
 _TAGS = f"list_transform(regexp_extract_all(msgid, '{_ANGLE}'), lambda t: lower(regexp_extract(t, '{_ANGLE}', 2)))"
 _ENTITY = "&(?:amp|apos|gt|lt|quot|#[0-9]+|#0?x[0-9a-fA-F]+);"
 _BUNDLE = f""", derived AS (SELECT *, nullif(forms[1], '') AS target, coalesce(flag = 'fuzzy', false) AS fuzzy, {_HOLD.format("msgid")} AS hold, list_filter(forms, lambda f: f <> '') AS live FROM x),
@@ -116,10 +137,37 @@ j AS (SELECT y.*, s.sd, s.i IS NOT NULL AS in_source, msgid_plural IS NOT NULL A
 n AS (SELECT *, list_sort(list_distinct(list_concat({_NAMED.format("sd")}, CASE WHEN is_plural THEN {_NAMED.format("msgid_plural")} ELSE [] END))) AS names FROM j WHERE in_source),
 f AS (SELECT ord, is_plural, names, sd, msgid_plural, CAST(k - 1 AS INTEGER) AS form, forms[k] AS text FROM (SELECT *, unnest(range(1, len(forms) + 1)) AS k FROM n) WHERE forms[k] <> ''),
 c AS (SELECT ord, form, is_plural, sd, msgid_plural, text, token, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, unnest({_PRINTF.format("text")}) AS token FROM f) GROUP BY ALL),
+lines_ AS (SELECT ord, form, text FROM f),
 e AS (SELECT ord, form, token, n - greatest(len(list_filter({_PRINTF.format("sd")}, lambda t: t = token)), CASE WHEN is_plural THEN len(list_filter({_PRINTF.format("msgid_plural")}, lambda t: t = token)) ELSE 0 END) AS g FROM c)
 """
 
+# Tags that open and close are taken one by one from the left, with those still open as a list.
+_MARKUP = f""", fam AS (SELECT *, CASE WHEN regexp_matches(text, '[A-Z]<') AND NOT regexp_matches(text, '</[A-Za-z]\\w*\\s*>') THEN 'po4a' ELSE 'tag' END AS markup FROM lines_),
+seen AS (SELECT DISTINCT text FROM fam WHERE markup = 'tag' AND contains(text, '<')),
+tags AS (SELECT text, list_filter(list_transform(regexp_extract_all(text, '{_ANGLE}'), lambda t: {{'raw': t, 'name': lower(regexp_extract(t, '{_ANGLE}', 2)), 'close': regexp_extract(t, '{_ANGLE}', 1) = '/', 'alone': regexp_extract(t, '{_ANGLE}', 3) = '/'}}),
+  lambda t: t.name IN {_KNOWN} AND t.name NOT IN ('imagedata', 'xref', 'anchor', 'inlinegraphic', 'colspec') AND (t.close OR NOT t.alone)) AS ts FROM seen),
+step AS (SELECT text, ts, 0 AS k, CAST([] AS VARCHAR[]) AS open_, CAST([] AS VARCHAR[]) AS wrong FROM tags UNION ALL
+  SELECT text, ts, k + 1, CASE WHEN NOT ts[k + 1].close THEN list_append(open_, ts[k + 1].name) WHEN open_[-1] = ts[k + 1].name THEN open_[1:-2] ELSE open_ END,
+    CASE WHEN ts[k + 1].close AND open_[-1] IS DISTINCT FROM ts[k + 1].name THEN list_append(wrong, ts[k + 1].raw) ELSE wrong END FROM step WHERE k < len(ts)),
+ended AS (SELECT * FROM step WHERE k = len(ts)),
+unfit AS (SELECT text, 'po.markup.unbalanced' AS rule, unnest(wrong) AS detail FROM ended UNION ALL SELECT text, 'po.markup.unclosed', array_to_string(open_, ',') FROM ended WHERE len(open_) > 0),
+marked AS (SELECT ord, form, severity, rule, detail FROM (SELECT ord, form, 'ERROR' AS severity, 'po.stray_backslash' AS rule, array_to_string(list_filter(regexp_extract_all(text, '\\\\(.)', 1), lambda c: NOT contains('ntr"' || chr(92), c)), '') AS detail FROM fam WHERE markup = 'tag' UNION ALL
+  SELECT ord, form, 'WARN', 'po.unescaped_amp', CASE WHEN (regexp_matches(text, '{_ENTITY}') OR list_has_any({_TAGS.replace("msgid", "text")}, {_KNOWN.replace("(", "[").replace(")", "]")})) AND len(regexp_extract_all(text, '&')) > len(regexp_extract_all(text, '{_ENTITY}')) THEN CAST(len(regexp_extract_all(text, '&')) - len(regexp_extract_all(text, '{_ENTITY}')) AS VARCHAR) ELSE '' END FROM fam WHERE markup = 'tag' UNION ALL
+  SELECT ord, form, 'ERROR', 'po.po4a_balance', CASE WHEN len(regexp_extract_all(text, '[A-Z]<')) <> len(regexp_extract_all(text, '>')) THEN len(regexp_extract_all(text, '[A-Z]<')) || '/' || len(regexp_extract_all(text, '>')) ELSE '' END FROM fam WHERE markup = 'po4a' UNION ALL
+  SELECT ord, form, 'ERROR', 'po.bare_angle', CASE WHEN len(regexp_extract_all(text, '<')) > len(regexp_extract_all(text, '[A-Z]<')) THEN CAST(len(regexp_extract_all(text, '<')) - len(regexp_extract_all(text, '[A-Z]<')) AS VARCHAR) ELSE '' END FROM fam WHERE markup = 'po4a') WHERE detail <> ''
+  UNION ALL SELECT ord, form, 'ERROR', rule, detail FROM fam JOIN unfit USING (text) WHERE markup = 'tag')
+"""
+_BROKEN = f"""SELECT ord, severity, rule, form, detail FROM (SELECT ord, 'ERROR' AS severity, 'po.pair.orphan' AS rule, -1 AS form, '' AS detail FROM j WHERE NOT in_source UNION ALL
+      SELECT ord, 'WARN', 'po.pair.plural_arity', -1, CAST(len(list_filter(forms, lambda z: z <> '')) AS VARCHAR) FROM n WHERE is_plural AND len(list_filter(forms, lambda z: z <> '')) < nplurals UNION ALL
+      SELECT ord, 'ERROR', 'po.pair.invented', form, array_to_string(list_filter(list_sort({_NAMED.format("text")}), lambda z: NOT list_contains(names, z)), ',') FROM f UNION ALL
+      SELECT ord, 'ERROR', 'po.pair.dropped', form, array_to_string(list_filter(names, lambda z: NOT list_contains({_NAMED.format("text")}, z)), ',') FROM f WHERE NOT is_plural UNION ALL
+      SELECT ord, 'ERROR', 'po.pair.printf_extra', form, string_agg(token || 'x' || g, ' ' ORDER BY token) FROM e WHERE g > 0 GROUP BY ord, form UNION ALL
+      SELECT ord, severity, 'po.pair.' || rule[4:], form, detail FROM marked) WHERE detail <> '' OR rule = 'po.pair.orphan'"""
+
 ORACLES = {
+    "po_read_entries": _W + """SELECT domain || '/' || CAST(ord % 53 AS VARCHAR) || '.po' AS file, CAST(row_number() OVER (PARTITION BY domain, ord % 53 ORDER BY ord) AS INTEGER) AS turn, CAST(ord % 53 AS VARCHAR) AS domain, msgctxt, msgid, msgid_plural,
+      array_to_string(forms, '|') AS forms, coalesce(flag, '') AS flags, coalesce(extracted, '') AS extracted, coalesce(ref, '') AS refs, prefix AS context_prefix, display FROM x""",
+    "po_read_headers": _W + "SELECT DISTINCT CAST(ord % 53 AS VARCHAR) AS domain, 3 AS nplurals, '2024-01-01' AS revision_date FROM x",
     "po_summary": _W + """SELECT count(*) AS strings, count(DISTINCT internal_id) AS unique_ids, count(prefix) AS with_prefix, count(msgid_plural) AS plural, count(ref) AS with_refs, count(extracted) AS with_extracted FROM x""",
     "po_token_inventory": _W + f"SELECT cls, count(*) AS occurrences, count(DISTINCT token) AS distinct_tokens, count(DISTINCT ord) AS entries FROM ({_TOKENS}) GROUP BY cls",
     "po_prefix_registry": _W + f"SELECT *, {_FAM} AS family FROM (SELECT prefix, count(*) AS n, array_to_string(list_sort(list(DISTINCT domain)), ',') AS domains, min(ord) AS first_ord FROM x WHERE prefix IS NOT NULL GROUP BY prefix)",
@@ -132,19 +180,14 @@ ORACLES = {
     "po_select": _W + f"SELECT ord, msgid FROM x WHERE prefix = 'female' AND contains(lower(display), 'order') AND len({_PRINTF.format('msgid')}) > 0",
     "po_ids": _W + "SELECT ord, internal_id, segment_id FROM x",
     "po_unescape": _W + f"SELECT ord, {_UNESCAPE.format('msgid')} AS shown FROM x",
-    "po_markup_rules": _W + f"""SELECT ord, severity, rule, detail FROM (SELECT ord, 'ERROR' AS severity, 'po.stray_backslash' AS rule, array_to_string(list_filter(regexp_extract_all(msgid, '\\\\(.)', 1), lambda c: NOT contains('ntr"' || chr(92), c)), '') AS detail FROM x WHERE markup = 'tag' UNION ALL
-      SELECT ord, 'WARN', 'po.unescaped_amp', CASE WHEN (regexp_matches(msgid, '{_ENTITY}') OR list_has_any({_TAGS}, {_KNOWN.replace("(", "[").replace(")", "]")})) AND len(regexp_extract_all(msgid, '&')) > len(regexp_extract_all(msgid, '{_ENTITY}')) THEN CAST(len(regexp_extract_all(msgid, '&')) - len(regexp_extract_all(msgid, '{_ENTITY}')) AS VARCHAR) ELSE '' END FROM x WHERE markup = 'tag' UNION ALL
-      SELECT ord, 'ERROR', 'po.po4a_balance', CASE WHEN len(regexp_extract_all(msgid, '[A-Z]<')) <> len(regexp_extract_all(msgid, '>')) THEN len(regexp_extract_all(msgid, '[A-Z]<')) || '/' || len(regexp_extract_all(msgid, '>')) ELSE '' END FROM x WHERE markup = 'po4a' UNION ALL
-      SELECT ord, 'ERROR', 'po.bare_angle', CASE WHEN len(regexp_extract_all(msgid, '<')) > len(regexp_extract_all(msgid, '[A-Z]<')) THEN CAST(len(regexp_extract_all(msgid, '<')) - len(regexp_extract_all(msgid, '[A-Z]<')) AS VARCHAR) ELSE '' END FROM x WHERE markup = 'po4a') WHERE detail <> ''""",
-    "po_crosslocale": _W + _CROSS + """SELECT ord, rule, form, detail FROM (SELECT ord, 'po.pair.orphan' AS rule, -1 AS form, '' AS detail FROM j WHERE NOT in_source UNION ALL
-      SELECT ord, 'po.pair.plural_arity', -1, CAST(len(list_filter(forms, lambda z: z <> '')) AS VARCHAR) FROM n WHERE is_plural AND len(list_filter(forms, lambda z: z <> '')) < nplurals UNION ALL
-      SELECT ord, 'po.pair.invented', form, array_to_string(list_filter(list_sort(""" + _NAMED.format("text") + """), lambda z: NOT list_contains(names, z)), ',') FROM f UNION ALL
-      SELECT ord, 'po.pair.dropped', form, array_to_string(list_filter(names, lambda z: NOT list_contains(""" + _NAMED.format("text") + """, z)), ',') FROM f WHERE NOT is_plural UNION ALL
-      SELECT ord, 'po.pair.printf_extra', form, string_agg(token || 'x' || g, ' ' ORDER BY token) FROM e WHERE g > 0 GROUP BY ord, form) WHERE detail <> '' OR rule = 'po.pair.orphan'""",
+    "po_markup_rules": _W + ", lines_ AS (SELECT ord, 0 AS form, msgid AS text FROM x)" + _MARKUP + "SELECT ord, severity, rule, detail FROM marked",
+    "po_markup_balance": _W + ", lines_ AS (SELECT ord, 0 AS form, msgid AS text FROM x)" + _MARKUP + "SELECT severity, rule, detail, count(*) AS n FROM marked GROUP BY ALL",
+    "po_crosslocale": _W + _CROSS + _MARKUP + _BROKEN,
+    "po_crosslocale_summary": _W + _CROSS + _MARKUP + f"SELECT severity, rule, count(*) AS n FROM ({_BROKEN}) GROUP BY ALL",
     "po_self_check": _W + "SELECT count(internal_id) - count(DISTINCT internal_id) AS collisions, CAST(count_if(msgid = '' AND msgctxt IS NULL) AS BIGINT) AS empty_msgids FROM x",
     "po_bundle_rows": _W + _BUNDLE + f"""SELECT segment_id, row_number() OVER (ORDER BY domain, ord) - 1 AS seq, domain AS textdomain, domain || '/pl.po' AS file, coalesce(msgctxt, prefix) AS msgctxt, msgid AS source_en, {_UNESCAPE.format("msgid")} AS source_en_display, target AS target_pl, {_UNESCAPE.format("target")} AS target_pl_display, fuzzy,
       array_to_string(hold, ',') AS placeholders, array_to_string(flags, ',') AS markup_flags, coalesce(cls, 'unknown') AS string_class, lag(segment_id) OVER (PARTITION BY domain ORDER BY ord) AS prev, lead(segment_id) OVER (PARTITION BY domain ORDER BY ord) AS next, pool, placeholder_check, coalesce(ref, '') AS source_ref,
-      CASE WHEN msgid_plural IS NOT NULL THEN CAST(len(forms) AS INTEGER) END AS forms FROM made""",
+      CASE WHEN msgid_plural IS NOT NULL THEN CAST(len(forms) AS INTEGER) END AS forms, CASE WHEN msgid_plural IS NOT NULL THEN array_to_string(forms, '|') END AS form_texts FROM made""",
     "po_bundle_census": _W + _BUNDLE + """SELECT what, name, count(*) AS n FROM (SELECT 'string_class' AS what, coalesce(cls, 'unknown') AS name FROM made UNION ALL SELECT 'placeholder_check', placeholder_check FROM made UNION ALL SELECT 'pool', pool FROM made UNION ALL SELECT 'markup_flag', unnest(flags) FROM made) GROUP BY ALL""",
     "po_bundle_verify": _W + "SELECT segment_id, 'duplicate_id' AS problem FROM x GROUP BY segment_id HAVING count(*) > 1",
     "delivery_diff": _W + """SELECT ord, CASE WHEN x.msgid IS NULL THEN 'added' WHEN y.msgid IS NULL THEN 'removed' ELSE 'changed' END AS change, x.msgid AS old, y.msgid AS new FROM x FULL JOIN y USING (ord) WHERE x.msgid IS DISTINCT FROM y.msgid""",

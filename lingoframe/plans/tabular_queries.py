@@ -10,6 +10,7 @@ from lingoframe.functions import tabular as T
 from lingoframe.operators import findings
 from lingoframe.operators import tabular as O
 from lingoframe.plans.bindings import view, with_
+from lingoframe.sources import table
 
 LOCALES = ("en", "pl", "de", "uk")
 
@@ -23,7 +24,16 @@ def _listed(found: DataFrame, column: str) -> DataFrame:
     return found.withColumn(column, F.array_join(F.transform(column, lambda x: x.cast("string")), ","))
 
 
+def _read(spark, sf_dir: str) -> DataFrame:
+    """The rows as CSV files with line breaks inside cells, and read again."""
+    blocks = view(spark, sf_dir, "csv_files").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("row_no", "block"))).alias("b"))
+    text = F.concat(F.lit("key,description,en,pl,de,uk\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n"), F.lit("\n"))
+    rows = table.parsed(blocks.select("file", text.alias("text")), empty_mark="[EMPTY]")
+    return rows.select("file", "row", "key", "description", *[F.col("values")[c].alias(c) for c in LOCALES])
+
+
 QUERIES = {
+    "csv_read_rows": _read,
     "csv_census": lambda s, d: O.census(wide(s, d)),
     "csv_namespace_sizes": lambda s, d: O.namespace_sizes(wide(s, d)),
     "csv_value_shapes": lambda s, d: O.shapes(O.long(wide(s, d))),
@@ -59,11 +69,15 @@ parity AS (SELECT * FROM slots WHERE invented <> '' OR dropped <> ''),
 arrays AS (SELECT * FROM (SELECT row_no AS row, key, locale, CAST(json_array_length(source) AS INTEGER) AS source_length, CASE WHEN shape = 'array' THEN CAST(json_array_length(value) AS INTEGER) END AS length
   FROM lng WHERE locale <> 'en' AND source_shape = 'array' AND trim(value) <> '' AND NOT deprecated) WHERE length IS NULL OR length <> source_length)
 """
-_PROBES = [(n, p.replace("'", "''")) for n, p in T.PROBES]
+_PROBES = (
+    ("angle-tag", "<[^>]+>"), ("html-entity", "&[a-zA-Z0-9#]+;"), ("bbcode", "\\[/?[a-zA-Z][a-zA-Z0-9 _.=-]*\\]"), ("curly-nonnum", "\\{[^}0-9][^}]*\\}"), ("dollar-var", "\\$\\{?[a-zA-Z_]"), ("percent-spec", "%[0-9]*[a-zA-Z]"),
+    ("at-var", "@[A-Za-z_]"), ("other-escape", "\\\\[a-mo-zA-Z]"),
+)
 _TAGS = "SELECT tag, count(*) AS n, min(row_no) AS first_row FROM (SELECT row_no, unnest(tags) AS tag FROM base) GROUP BY tag"
 _KNOWN = "('EMPTY', 'DEPRECATED', 'noun', 'verb')"
 
 ORACLES = {
+    "csv_read_rows": f"WITH {with_('csv_files')} SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY row_no) + 1 AS INTEGER) AS row, key, CASE WHEN description = '[EMPTY]' THEN '' ELSE description END AS description, en, pl, de || chr(10) || 'x' AS de, uk FROM csv_files",
     "csv_census": _LONG + """SELECT count(*) AS records, count(DISTINCT key) AS unique_keys, count(DISTINCT namespace) AS namespaces, CAST(count_if(list_contains(tags, 'DEPRECATED')) AS BIGINT) AS deprecated,
       CAST(count_if(list_contains(tags, 'EMPTY')) AS BIGINT) AS marked_empty, count(*) - count(DISTINCT key) AS surplus_rows FROM base""",
     "csv_namespace_sizes": _LONG + "SELECT namespace, count(*) AS n FROM base GROUP BY namespace",

@@ -43,9 +43,8 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted((ROOT / "lingoframe").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TMPDIR", "/tmp")
-    target = Path(folder.removeprefix("file://")) / f"lingoframe-{uuid.uuid4().hex}.zip"
-    target.parent.mkdir(parents=True, exist_ok=True)
+    # The driver serves the file to the executors from Spark's own folder there.
+    target = Path(context._temp_dir) / f"lingoframe-{uuid.uuid4().hex}.zip"
     target.write_bytes(packed.getvalue())
     context.addPyFile(str(target))
 

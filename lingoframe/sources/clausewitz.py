@@ -13,7 +13,8 @@ HEADER = r"\A\s*l_([_a-z]+):\s*(#.*)?\z"
 
 def parsed(lines: DataFrame) -> DataFrame:
     """(file, line, text) to the same with lang, is_entry, key, version, value and warning ('multiline?', 'malformed' or null);
-    blank lines, comments and headers are dropped. A header holds until the next one of its file, '?' before the first.
+    blank lines, comments and headers are dropped. A header holds until the next one of its file, '?' before the first; a
+    version of more digits than a bigint has is null.
 
     The quotes that count are the first and the last of a line, so a comment with a quote in it is swallowed.
     """
@@ -27,7 +28,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     odd = F.regexp_count(text, F.lit('"')) % 2 == 1
     rows = rows.withColumn("is_entry", entry)
     return rows.select(
-        "file", "line", "text", "lang", "is_entry", take(1).alias("key"), F.nullif(take(2), F.lit("")).cast("int").alias("version"), take(3).alias("value"),
+        "file", "line", "text", "lang", "is_entry", take(1).alias("key"), F.nullif(take(2), F.lit("")).try_cast("bigint").alias("version"), take(3).alias("value"),
         F.when(~F.col("is_entry"), F.when(odd, "multiline?").otherwise("malformed")).alias("warning"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -80,6 +81,26 @@ class CsvSource(DataSource):
         return _Files(self.options["path"], ".csv", lambda text, p: [(r["file"], r["row"], r["key"], r["description"], r["values"]) for r in table.parse(text, p.name, delimiter)])
 
 
+class ClausewitzSource(DataSource):
+    """(file, line, text) of Clausewitz files, for sources.clausewitz.parsed()."""
+
+    @classmethod
+    def name(cls):
+        return "clausewitz"
+
+    def schema(self):
+        return "file string, line int, text string"
+
+    def reader(self, schema):
+        return _Files(self.options["path"], ".yml", lambda text, p: [(p.name, k, line) for k, line in enumerate(_lines(text), 1)])
+
+
+def _lines(text: str) -> list[str]:
+    """As sources.files.lines has them: what follows the last line break is a line unless it is empty."""
+    rows = re.split(r"\r\n|\r|\n", text)
+    return rows[:-1] if rows[-1] == "" else rows
+
+
 def register(spark: SparkSession) -> None:
-    for source in (PoSource, FtlSource, CsvSource):
+    for source in (PoSource, FtlSource, CsvSource, ClausewitzSource):
         spark.dataSource.register(source)

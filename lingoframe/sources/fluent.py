@@ -72,8 +72,8 @@ def parse(text: str, sections: bool = True) -> list[dict]:
     return out
 
 
-def read(spark: SparkSession, path: str, sections: bool = True) -> DataFrame:
-    """Entries of the *.ftl under a path. A file is one task's work."""
+def parsed(texts: DataFrame, sections: bool = True) -> DataFrame:
+    """Entries of whole Fluent files (file, text). A file is one task's work."""
 
     def run(batches):
         for batch in batches:
@@ -82,7 +82,12 @@ def read(spark: SparkSession, path: str, sections: bool = True) -> DataFrame:
                 made = {c: [r[c] for r in rows] for c in "line kind id value attributes comment section".split()}
                 yield type(batch)({"file": [name] * len(rows), "ord": list(range(len(rows))), **made})
 
-    return files.whole(spark, path, "*.ftl", True).mapInPandas(run, SCHEMA)
+    return texts.select("file", "text").mapInPandas(run, SCHEMA)
+
+
+def read(spark: SparkSession, path: str, sections: bool = True) -> DataFrame:
+    """Entries of the *.ftl under a path."""
+    return parsed(files.whole(spark, path, "*.ftl", True), sections)
 
 
 def by_locale(entries: DataFrame, source: str = "en") -> DataFrame:

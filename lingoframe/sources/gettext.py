@@ -84,8 +84,8 @@ def finished(raw: DataFrame, mark: str | None = "^") -> DataFrame:
     return out.withColumn("internal_id", F.when(~F.col("is_header"), G.internal_id(F.col("domain"), F.col("msgctxt"), msgid, F.col("msgid_plural"))))
 
 
-def read(spark: SparkSession, path: str, glob: str = "*.po*", domain: str | None = None, mark: str | None = "^", recursive: bool = True) -> DataFrame:
-    """Entries of catalogues; the domain is the file's stem unless given. A file is one task's work."""
+def parsed(texts: DataFrame, domain: str | None = None, mark: str | None = "^") -> DataFrame:
+    """Entries of whole catalogues (file, text); the domain is the file's stem unless given. A file is one task's work."""
 
     def run(batches):
         for batch in batches:
@@ -95,7 +95,12 @@ def read(spark: SparkSession, path: str, glob: str = "*.po*", domain: str | None
                 made = {c: [r[c] for r in rows] for c in ("lineno", "msgctxt", "msgid", "msgid_plural", "msgstr", "comments", "flags", "is_header")}
                 yield type(batch)({"file": [name] * len(rows), "ord": list(range(len(rows))), "domain": [stem] * len(rows), **made})
 
-    return finished(files.whole(spark, path, glob, recursive).mapInPandas(run, RAW), mark)
+    return finished(texts.select("file", "text").mapInPandas(run, RAW), mark)
+
+
+def read(spark: SparkSession, path: str, glob: str = "*.po*", domain: str | None = None, mark: str | None = "^", recursive: bool = True) -> DataFrame:
+    """Entries of the catalogues under a path."""
+    return parsed(files.whole(spark, path, glob, recursive), domain, mark)
 
 
 def strings(entries: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def header_facts(entries: DataFrame) -> DataFrame:
     """(domain, nplurals, revision_date) from the first header of each domain that has a msgstr; nplurals null and the date
     '' where the header lacks them."""
     heads = entries.where(F.col("is_header") & (F.size("msgstr") > 0)).groupBy("domain").agg(F.min_by(F.get("msgstr", F.lit(0)), "lineno").alias("h"))
-    number = F.nullif(F.regexp_extract("h", r"nplurals *= *(\d+)", 1), F.lit("")).cast("int")
+    number = F.nullif(F.regexp_extract("h", r"nplurals *= *(\d+)", 1), F.lit("")).try_cast("int")
     return heads.select("domain", number.alias("nplurals"), F.trim(F.regexp_extract("h", r"PO-Revision-Date: *([^\\]*)", 1)).alias("revision_date"))
 
 

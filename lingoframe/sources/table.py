@@ -13,8 +13,9 @@ from lingoframe.sources import files
 SCHEMA = "file string, row int, key string, description string, values map<string,string>"
 
 
-def parse(text: str, file: str = "", delimiter: str = ",", key: str = "key", context: str | None = "description") -> list[dict]:
-    """Rows of one file, numbered as records (the header is row 1). An empty file, a header without key or context, or a row
+def parse(text: str, file: str = "", delimiter: str = ",", key: str = "key", context: str | None = "description", empty_mark: str | None = None) -> list[dict]:
+    """Rows of one file, numbered as records (the header is row 1). empty_mark: a cell that says it is empty on purpose, and is
+    read as ''. An empty file, a header without key or context, or a row
     of another width raises ValueError."""
     reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
     header = next(reader, None)
@@ -27,21 +28,27 @@ def parse(text: str, file: str = "", delimiter: str = ",", key: str = "key", con
     for number, cells in enumerate(reader, 2):
         if len(cells) != len(header):
             raise ValueError(f"{file}: record {number} has {len(cells)} cells, not {len(header)}")
-        named = dict(zip(header, cells))
+        named = dict(zip(header, ["" if empty_mark is not None and c == empty_mark else c for c in cells]))
         out.append({"file": file, "row": number, "key": named[key], "description": named.get(context, "") if context else "", "values": {c: v for c, v in named.items() if c not in (key, context)}})
     return out
 
 
-def read(spark: SparkSession, path: str, delimiter: str = ",", key: str = "key", context: str | None = "description") -> DataFrame:
-    """(file, row, key, description, values) of CSV files. A file is one task's work, since a quoted cell may hold line breaks."""
+def parsed(texts: DataFrame, delimiter: str = ",", key: str = "key", context: str | None = "description", empty_mark: str | None = None) -> DataFrame:
+    """(file, row, key, description, values) of whole CSV files (file, text). A file is one task's work, since a quoted cell may
+    hold line breaks."""
 
     def run(batches):
         for batch in batches:
             for name, text in zip(batch["file"], batch["text"]):
-                rows = parse(text, name, delimiter, key, context)
+                rows = parse(text, name, delimiter, key, context, empty_mark)
                 yield type(batch)({c: [r[c] for r in rows] for c in ("file", "row", "key", "description", "values")})
 
-    return files.whole(spark, path, "*.csv").mapInPandas(run, SCHEMA)
+    return texts.select("file", "text").mapInPandas(run, SCHEMA)
+
+
+def read(spark: SparkSession, path: str, delimiter: str = ",", key: str = "key", context: str | None = "description", empty_mark: str | None = None) -> DataFrame:
+    """The rows of the CSV files of a path."""
+    return parsed(files.whole(spark, path, "*.csv"), delimiter, key, context, empty_mark)
 
 
 def header(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:

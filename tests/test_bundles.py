@@ -127,17 +127,69 @@ def test_mono(spark, tmp_path):
     units = fluent.units(fluent.read(spark, str(tmp_path)), True)
     made = mono.rows(units)
     rows = made.orderBy("seq").collect()
-    assert [(r.seq, r.id, r.attr) for r in rows] == [(1, "hi", None), (2, "hi", "desc"), (3, "void", None)] and rows[0].context == "Part"
-    assert [(p.token, p.kind, p.origin) for p in rows[1].placeholders] == [("{ $n ->", "selector", "format"), ("[one]", "selector", "format"), ("*[lots]", "selector", "unknown"), ("{ -brand }", "term-ref", "format"), ("}", "selector", "format")]
+    assert [(r.seq, r.native_ref.id, r.native_ref.attr) for r in rows] == [(1, "hi", None), (2, "hi", "desc"), (3, "void", None)] and rows[0].context.section == "Part" and rows[0].context.comment is None
+    assert [(p.token, p.kind, p.origin) for p in rows[1].placeholders] == [("{ $n ->", "selector", "spec"), ("[one]", "selector", "spec"), ("*[lots]", "selector", "unknown"), ("{ -brand }", "term-ref", "spec"), ("}", "selector", "spec")]
+    assert (rows[2].empty, rows[2].empty_reason) == (True, mono.BLANK) and rows[0].empty is None and rows[0].empty_reason is None
     index = mono.files_index(made, spark.createDataFrame([("a.ftl",), ("b.ftl",)], "file string"))
-    assert sorted(tuple(r) for r in index.collect()) == [("a.ftl", 0), ("b.ftl", 3)]
+    assert sorted(tuple(r) for r in index.collect()) == [("a.ftl", 0, "utf-8"), ("b.ftl", 3, "utf-8")]
     assert mono.verify(made, index).collect() == []
-    broken = made.withColumn("placeholders", F.transform("placeholders", lambda p: p.withField("end", p["end"] + 1)))
-    assert {"slice", "bounds"} <= {r.problem for r in mono.verify(broken).collect()}
     moved = fluent.units(fluent.read(spark, str(tmp_path)).withColumn("line", F.col("line") + 9), True)
     assert {r.line_id for r in mono.rows(moved).collect()} == {r.line_id for r in rows}
 
 
+def test_mono_leaves_absent_values_out(spark, tmp_path):
+    (tmp_path / "a.ftl").write_text("### All\n# about the box\nbox =\n    .desc = words { TAIL($x) } { FOO() }\n    .none =\n# more\nlid = { \"\" }\nplain = text\n")
+    units = fluent.units(fluent.read(spark, str(tmp_path)), True)
+    made = mono.rows(units)
+    rows = made.orderBy("seq").collect()
+    assert [(r.seq, r.key, r.native_ref.attr, r.source_text) for r in rows] == [(1, "box", "desc", "words { TAIL($x) } { FOO() }"), (2, "lid", None, '{ "" }'), (3, "plain", None, "text")]
+    assert [(p.kind, p.origin, p.detail) for p in rows[0].placeholders] == [("function", "project", "TAIL"), ("function", "unknown", "FOO")]
+    assert rows[0].context.asDict() == {"comment": "about the box", "section": "All"} and rows[2].context.asDict() == {"comment": None, "section": "All"}
+    stats = {(r.what, r.name): r.n for r in mono.statistics(made, units).collect()}
+    want = {"rows": 3, "placeholders": 3, "empty": 1, "with_context": 3, "with_section": 3, "with_comment": 2, "skipped_absent_value": 1, "skipped_absent_attr": 1, "fully_masked_empty": 1, "role_other": None, "fully_masked_nonempty": None}
+    assert {k: stats.get(("unit", k)) for k in want} == want and stats["origin", "unknown"] == 1
+
+
+def test_mono_problems(spark, tmp_path):
+    (tmp_path / "b.ftl").write_text(FTL)
+    made = mono.rows(fluent.units(fluent.read(spark, str(tmp_path)), True))
+    found = lambda df, index=None: {r.problem for r in mono.verify(df, index).collect()}
+    each = lambda **change: made.withColumn("placeholders", F.transform("placeholders", lambda p: p.withField(*next(iter(change.items())))))
+    assert {"slice", "bounds"} <= found(made.withColumn("placeholders", F.transform("placeholders", lambda p: p.withField("end", p["end"] + 1))))
+    assert "origin" in found(each(origin=F.lit("format"))) and "kind" in found(each(kind=F.lit("thing"))) and "span" in found(each(detail=F.lit(""))) and "shape" in found(each(token=F.lit("x")))
+    assert found(made.withColumn("placeholders", F.slice("placeholders", 1, 0))) == {"leak"}
+    assert found(made.withColumn("empty", F.lit(None).cast("boolean"))) == {"empty_reason"} and found(made.withColumn("line_no", F.lit(0))) == {"line_no"}
+    assert found(made.withColumn("file", F.lit(None).cast("string"))) == {"no file"} and found(made.withColumn("structural_role", F.lit(""))) == {"structural_role"}
+    assert found(made.unionByName(made)) == {"duplicate_id", "seq"} and found(made.withColumn("line_id", F.reverse("line_id"))) == {"line_id"}
+    index = spark.createDataFrame([("a.ftl", 0, "utf-8"), ("b.ftl", 9, "utf-8")], "path string, line_count long, encoding string")
+    assert found(made, index) == {"count of b.ftl"} and found(made, index.where("path = 'a.ftl'")) == {"not in files: b.ftl"}
+    assert mono.verify(made.limit(0), index.limit(0)).collect() == []
+
+
+def test_mono_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.ftl").write_text(FTL)
+    units = fluent.units(fluent.read(spark, str(tmp_path / "in")), True)
+    made = mono.rows(units)
+    index, stats = mono.files_index(made, units), mono.statistics(made, units)
+    make = lambda digest, n: mono.manifest("demo-1", "Demo (en)", "en", "tests", index, stats, digest, n)
+    a = artifact.export(made, tmp_path / "a", mono.verify(made, index), make, bare=mono.bare)
+    artifact.export(made.repartition(5), tmp_path / "b", mono.verify(made, index), make, bare=mono.bare)
+    data = (tmp_path / "a" / artifact.LINES).read_bytes()
+    assert data == (tmp_path / "b" / artifact.LINES).read_bytes() and (tmp_path / "a" / "manifest.json").read_bytes() == (tmp_path / "b" / "manifest.json").read_bytes()
+    assert mono.check(tmp_path / "a", made) == [] and a["files"] == [{"path": "b.ftl", "line_count": 3, "encoding": "utf-8"}] and "produced_at" not in a
+    rows, bad = artifact.read_lines(data)
+    assert not bad and list(rows[0]) == "line_id seq native_ref file line_no key source_text placeholders structural_role context".split()
+    assert rows[0]["native_ref"] == {"kind": "message", "id": "hi", "attr": None} and rows[0]["context"] == {"section": "Part"} and "detail" not in rows[1]["placeholders"][-1] and rows[2]["empty"] is True
+    digest = hashlib.sha256(data).hexdigest()
+    for change, problem in (({"bundle_version": "0.2.0"}, "wrong bundle_version"), ({"source_id": "Demo"}, "wrong source_id"), ({"line_count": 2}, "wrong line_count"), ({"files": []}, "wrong files"), ({"content_hash": {}}, "wrong content_hash.value")):
+        assert problem in mono.manifest_problems(a | change, 3, digest)
+    assert mono.manifest_problems({k: v for k, v in a.items() if k != "files"}, 3, digest) == ["lacks files", "wrong files"]
+    assert mono.key_problems(rows[0] | {"more": 1}) == ["has more"] and "lacks seq" in mono.key_problems({k: v for k, v in rows[0].items() if k != "seq"}) and mono.key_problems(rows[0] | {"context": "Part"}) == ["wrong context"]
+    (tmp_path / "a" / artifact.LINES).write_bytes(data.replace(b"Hello", b"Hallo"))
+    assert {"built anew it differs from line 1 on", "wrong content_hash.value"} <= set(mono.check(tmp_path / "a", made))
+
+
 def test_pairs(spark, tmp_path):
     src = HEAD + "".join(f'msgid "{m}"\n{p}msgstr ""\n\n' for m, p in (("Go $x", ""), ("Keep {n}", ""), ("%d a", 'msgid_plural "%d as"\n'), ("Tag", "")))
     tgt = HEAD + 'msgid "Go $x"\nmsgstr "Idz $y"\n\nmsgid "Keep {n}"\nmsgstr "Zostaw %s"\n\nmsgid "%d a"\nmsgid_plural "%d as"\nmsgstr[0] "jeden"\nmsgstr[1] "%d"\n\nmsgid "Tag"\nmsgstr "<b>x"\n\nmsgid "Old"\nmsgstr "Stary"\n'
