@@ -141,17 +141,47 @@ def brute_pairs(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
-def list_pairs(words: np.ndarray, distance: int, recall: float, rng: np.random.Generator, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a list: brute force if it is small, else filters over one more strip, often enough, and their lists."""
+def _apart(words: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words ^ other).sum(axis=-1, dtype=np.uint16)
+
+
+def linking_pairs(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the distance, of any number of fingerprints, that link the same ones as all such pairs do.
+
+    Those around a pivot are linked to it, and so to each other; what lies beyond twice the distance from it can't be within
+    the distance of any of them; what lies between is compared with them until it is linked once. A list that is full of near
+    duplicates thus takes a pass for each of its groups, not one for each of its members."""
+    left, right, rest = [], [], np.arange(len(words))
+    while len(rest):
+        far = _apart(words[rest], words[rest[0]])
+        ball, near = rest[far <= distance], rest[(far > distance) & (far <= 2 * distance)]
+        left.append(np.full(len(ball) - 1, ball[0]))
+        right.append(ball[1:])
+        for a in range(0, len(near), 4096):
+            open_ = near[a : a + 4096]
+            for member in np.array_split(ball, -(-len(ball) // 64)):
+                i, j = np.nonzero(_apart(words[member][:, None], words[open_][None]) <= distance)
+                linked, first = np.unique(j, return_index=True)
+                left.append(member[i[first]])
+                right.append(open_[linked])
+                open_ = np.delete(open_, linked)
+        rest = rest[far > distance]
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
+
+
+def list_pairs(words: np.ndarray, distance: int, recall: float, rng: np.random.Generator, depth: int = 0, every: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a list: brute force if it is small, else filters over one more strip, often enough, and their lists. A list
+    that stays large is compared as a whole, or, unless every pair is wanted, by pivots."""
     if len(words) <= LEAF or depth == DEEPEST:
-        yield brute_pairs(words, distance)
+        yield brute_pairs(words, distance) if every or len(words) <= LEAF else linking_pairs(words, distance)
         return
     for _ in range(repetitions(1, distance, 1 - (1 - recall) / 2)):
         key = strip_filters(words, 1, rng)
         order = np.argsort(key, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(some) > 1:
-                for i, j in list_pairs(words[some], distance, recall, rng, depth + 1):
+                for i, j in list_pairs(words[some], distance, recall, rng, depth + 1, every):
                     yield some[i], some[j]
 
 
@@ -191,7 +221,7 @@ def near_edges(fps: DataFrame, distance: int = DISTANCE, recall: float = RECALL,
     def search(key, table):
         words = np.stack([table.column(p).to_numpy() for p in PARTS], axis=1).view(np.uint64)
         rng = np.random.default_rng([seed, 1, key[0].as_py()])
-        found = list(list_pairs(words, distance, recall, rng))
+        found = list(list_pairs(words, distance, recall, rng, every=pairs))
         left, right = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         if not pairs:
             label = forest(len(words), left, right)

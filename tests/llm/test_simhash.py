@@ -32,6 +32,26 @@ def clustered(n, seed, flips):
     return np.concatenate([base, copies])
 
 
+def test_pivots_link_what_all_pairs_link():
+    rng = np.random.default_rng(5)
+
+    def near(words, flips):
+        bits = np.zeros(simhash.BITS, np.uint8)
+        bits[rng.permutation(simhash.BITS)[:flips]] = 1
+        return words ^ np.packbits(bits, bitorder="little").view(np.uint64)
+
+    for far in (8, 30, 45, 60):
+        words = [rng.integers(0, 1 << 63, 4).astype(np.uint64) for _ in range(12)]
+        for k in range(500):  # groups around twelve, and chains that reach from one to the next
+            words.append(near(words[rng.integers(12 if k % 3 else len(words))], int(rng.integers(1, far))))
+        words = np.stack(words)[rng.permutation(512)]
+        left, right = simhash.linking_pairs(words, simhash.DISTANCE)
+        assert all(sum((int(a) ^ int(b)).bit_count() for a, b in zip(words[i], words[j])) <= simhash.DISTANCE for i, j in zip(left, right))
+        same = simhash.forest(512, *simhash.brute_pairs(words, simhash.DISTANCE))
+        assert (simhash.forest(512, left, right) == same).all() and len(set(same.tolist())) < 512
+    assert [len(x) for x in simhash.linking_pairs(words[:0], 5)] == [0, 0] and [len(x) for x in simhash.linking_pairs(words[:1], 5)] == [0, 0]
+
+
 def test_recall_is_that_aimed_at_and_nothing_else_is_found(spark):
     words = clustered(1200, 1, simhash.DISTANCE)
     want = brute(words, simhash.DISTANCE)
