@@ -20,7 +20,7 @@ from lingoframe.llm.shared import written
 BLOCK = (r"(?i)^([a-z][a-z0-9+.-]*:)?//([^/?#]*[.@])?(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)\.?(:[0-9]*)?([/?#]|$)",)
 ALLOW = (r"(?i)^https?://blog\.[a-z]+\.example\.(com|net|org)(:[0-9]*)?([/?#]|$)",)
 CANONICAL = (r"(?is)<link[^>]*rel=.?canonical[^>]*href=[\"']([^\"'>]+)", r"(?is)<link[^>]*href=[\"']([^\"'>]+)[\"'][^>]*rel=.?canonical")
-REFRESH = r"(?is)<meta[^>]*http-equiv=.?refresh[^>]*url=([^\"'>\s]+)"
+REFRESH = r"(?is)<meta[^>]*http-equiv=.?refresh[^>]*url=[\"']?([^\"'>\s]+)"
 #: (pattern, replacement), in order; the first four take scheme, host prefix, fragment and tracking parameters.
 CUSTOMARY = (("^[hH][tT][tT][pP][sS]?://", "https://"), (r"^https://(www|m)\.", "https://"), ("#.*$", ""), (r"([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*", "$1"), ("&&+", "&"), (r"[?]&+", "?"), (r"[?&]+$", ""), (r"/index\.html?$", "/"), (r"\.html?$", ""), ("/+$", ""))
 
@@ -32,6 +32,23 @@ def customary(url: Column) -> Column:
     return url
 
 
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as seen from the page it stands on: relative ones with scheme, site and folder of its URL, dots taken out."""
+    link = F.regexp_replace(F.trim(target), "&amp;", "&")
+    bare = F.regexp_replace(base, r"[?#].*$", "")
+    site = F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    path, rest = F.regexp_extract(link, "^[^?#]*", 0), F.regexp_extract(link, r"[?#].*$", 0)
+    folder = F.regexp_extract(F.substr(bare, F.length(site) + 1), "^.*/", 0)
+    whole = F.when(link.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    step = lambda done, part: F.when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).when(part == ".", done).otherwise(F.concat(done, F.lit("/"), part))
+    parts = F.split(F.regexp_replace(F.regexp_replace(whole, "^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    short = F.aggregate(parts, F.lit(""), step)
+    return (
+        F.when((link == "") | F.regexp_like(link, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")) | (site == ""), link).when(link.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), link))
+        .when(link.startswith("?"), F.concat(bare, link)).when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link)).otherwise(F.concat(site, short, rest))
+    )
+
+
 def _any(url: Column, rules) -> Column:
     found = F.lit(False)
     for rule in rules:
@@ -40,12 +57,13 @@ def _any(url: Column, rules) -> Column:
 
 
 def alias_edges(pages: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """(src, dst, kind) of pages (url, html) and of a log (src, dst) of redirects; empty targets are left out."""
+    """(src, dst, kind) of pages (url, html) and of a log (src, dst) of redirects; relative targets are resolved, empty ones are
+    left out."""
     link = F.coalesce(F.nullif(F.regexp_extract("html", CANONICAL[0], 1), F.lit("")), F.regexp_extract("html", CANONICAL[1], 1))
     made = F.array(
         F.struct(customary(F.col("url")).alias("dst"), F.lit("customary").alias("kind")),
-        F.struct(link.alias("dst"), F.lit("canonical").alias("kind")),
-        F.struct(F.regexp_extract("html", REFRESH, 1).alias("dst"), F.lit("refresh").alias("kind")),
+        F.struct(resolved(link, F.col("url")).alias("dst"), F.lit("canonical").alias("kind")),
+        F.struct(resolved(F.regexp_extract("html", REFRESH, 1), F.col("url")).alias("dst"), F.lit("refresh").alias("kind")),
     )
     edges = pages.where("url is not null").select(F.col("url").alias("src"), F.inline(made))
     if log is not None:

@@ -114,10 +114,23 @@ def _link_sql(pattern: str) -> str:
     return f"regexp_extract(html, '{pattern.replace(chr(39), chr(39) * 2)}', 1)"
 
 
+def _resolved_sql(link: str) -> str:
+    scheme = "[A-Za-z][-+.A-Za-z0-9]*:"
+    site = f"regexp_extract(url, '^{scheme}//[^/?#]*')"
+    bare = "regexp_replace(url, '[?#].*$', '')"
+    folder = f"coalesce(nullif(regexp_extract({bare}[length({site}) + 1:], '^.*/'), ''), '/')"
+    path = f"CASE WHEN starts_with({link}, '/') THEN regexp_extract({link}, '^[^?#]*') ELSE {folder} || regexp_extract({link}, '^[^?#]*') END"
+    parts = f"list_prepend('', string_split(regexp_replace(regexp_replace({path}, '^/', ''), '(^|/)([.][.]?)$', '\\1\\2/'), '/'))"
+    short = f"list_reduce({parts}, lambda a, b: CASE b WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || b END)"
+    return f"""CASE WHEN {link} = '' OR regexp_matches({link}, '^{scheme}') OR {site} = '' THEN {link} WHEN starts_with({link}, '//') THEN regexp_extract(url, '^[^:]*:') || {link}
+    WHEN starts_with({link}, '?') THEN {bare} || {link} WHEN starts_with({link}, '#') THEN regexp_replace(url, '#.*$', '') || {link} ELSE {site} || {short} || regexp_extract({link}, '[?#].*$') END"""
+
+
 OP9_SQL = f"""
-WITH RECURSIVE targets AS (
-  SELECT url, {_customary_sql("url")} AS usual, coalesce(nullif({_link_sql(aliases.CANONICAL[0])}, ''), {_link_sql(aliases.CANONICAL[1])}) AS canon,
-         {_link_sql(aliases.REFRESH)} AS refresh FROM pages WHERE url IS NOT NULL),
+WITH RECURSIVE written_ AS (
+  SELECT url, replace(trim(coalesce(nullif({_link_sql(aliases.CANONICAL[0])}, ''), {_link_sql(aliases.CANONICAL[1])})), '&amp;', '&') AS canon, replace(trim({_link_sql(aliases.REFRESH)}), '&amp;', '&') AS refresh FROM pages WHERE url IS NOT NULL),
+targets AS (
+  SELECT url, {_customary_sql("url")} AS usual, {_resolved_sql("canon")} AS canon, {_resolved_sql("refresh")} AS refresh FROM written_),
 edges AS (
   SELECT url AS src, usual AS dst FROM targets UNION SELECT url, canon FROM targets UNION SELECT url, refresh FROM targets
   UNION SELECT canon, {_customary_sql("canon")} FROM targets UNION SELECT refresh, {_customary_sql("refresh")} FROM targets),
