@@ -170,10 +170,31 @@ def drift(units: DataFrame) -> DataFrame:
     return together(attrs, calls, odd, keys).select("category", "name", "n")
 
 
-def all_locales_report(found_: DataFrame) -> str:
-    """Counts by locale, worst first, as Markdown: a row a locale and rule reaches the driver."""
-    rows = found_.groupBy("locale").agg(F.count_if(F.col("severity") == "ERROR").alias("e"), F.count_if(F.col("severity") == "WARN").alias("w")).orderBy(F.desc("e"), F.desc("w"), "locale").collect()
-    return "\n".join(["| locale | errors | warnings |", "|---|---|---|", *[f"| {r.locale} | {r.e} | {r.w} |" for r in rows]]) + "\n"
+def category(rule: Column) -> Column:
+    """The short name of a rule: its last part, with hyphens."""
+    return F.replace(F.substring_index(rule, ".", -1), F.lit("_"), F.lit("-"))
+
+
+def all_locales_report(found_: DataFrame, counts: DataFrame | None = None) -> str:
+    """A sweep as Markdown: totals by kind of defect, every error in the order of locale, id and attribute, and a row a locale,
+    worst first, with its three commonest kinds. counts: pair_counts(), for the translated units. Counts and errors reach the
+    driver, warnings don't."""
+    rows = found_.withColumn("kind", category(F.col("rule")))
+    kinds = rows.groupBy("kind", "severity").agg(F.count("*").alias("n")).orderBy("severity", F.desc("n"), "kind").collect()
+    per = rows.groupBy("locale", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "ERROR").alias("e"), F.count_if(F.col("severity") == "WARN").alias("w"))
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "kind"))), 1, 3)
+    places = per.groupBy("locale").agg(F.sum("e").alias("e"), F.sum("w").alias("w"), F.array_join(F.transform(top, lambda t: F.concat(t["kind"], F.lit("×"), (-t["n"]).cast("string"))), ", ").alias("top"))
+    if counts is not None:
+        places = places.join(counts.select("locale", "translated"), "locale", "full_outer")
+    places = places.orderBy(F.desc_nulls_last("e"), F.desc_nulls_last("w"), "locale").collect()
+    errors = rows.where("severity = 'ERROR'").orderBy("locale", "unit_id", F.coalesce("attr", F.lit("")), "kind", "detail")
+    total = {s: sum(r.n for r in kinds if r.severity == s) for s in ("ERROR", "WARN")}
+    out = [f"# Technical defects of {len(places)} locales: {total['ERROR']} errors, {total['WARN']} warnings", "", "| defect | severity | count |", "|---|---|---|", *[f"| {r.kind} | {r.severity} | {r.n} |" for r in kinds], "", "## Errors", ""]
+    listed = [f"| {r.locale} | `{r.unit_id}{'.' + r.attr if r.attr else ''}` | {r.kind} | {r.detail or ''} |" for r in errors.toLocalIterator()]
+    out += ["| locale | unit | defect | detail |", "|---|---|---|---|", *listed] if listed else ["none"]
+    out += ["", "## Locales", "", "| locale | translated | errors | warnings | commonest |", "|---|---|---|---|---|"]
+    out += [f"| {r.locale} | {r['translated'] or 0 if counts is not None else ''} | {r.e or 0} | {r.w or 0} | {r.top or ''} |" for r in places]
+    return "\n".join(out) + "\n"
 
 
 def morphology(units: DataFrame) -> DataFrame:

@@ -80,6 +80,25 @@ def corpus(tmp_path_factory):
     return root
 
 
+def test_numbers_too_long_are_null(spark):
+    lines = spark.createDataFrame([("f", 1, "l_english:"), ("f", 2, ' a:99999999999 "x"'), ("f", 3, " b:" + "9" * 30 + ' "y"'), ("f", 4, ' c: "z"')], "file string, line int, text string")
+    assert [(r.key, r.version) for r in clausewitz.entries(clausewitz.parsed(lines)).orderBy("line").collect()] == [("a", 99999999999), ("b", None), ("c", None)]
+    text = 'msgid ""\nmsgstr ""\n"Plural-Forms: nplurals=99999999999;\\n"\n'
+    assert [r.nplurals for r in gettext.header_facts(gettext.parsed(spark.createDataFrame([("d.po", text)], "file string, text string"))).collect()] == [None]
+
+
+def test_marks_of_empty_cells(spark):
+    rows = table.parsed(spark.createDataFrame([("f.csv", 'key,description,en\nk,[EMPTY],"[EMPTY]"\n')], "file string, text string"), empty_mark="[EMPTY]").collect()
+    assert rows[0].description == "" and rows[0]["values"] == {"en": ""}
+
+
+def test_clausewitz_lines_as_a_source(spark, tmp_path):
+    (tmp_path / "a_l_english.yml").write_bytes('\ufeffl_english:\r\n a:0 "x"\n'.encode())
+    datasource.register(spark)
+    rows = spark.read.format("clausewitz").load(str(tmp_path))
+    assert [(r.key, r.value, r.lang) for r in clausewitz.entries(clausewitz.parsed(rows)).collect()] == [("a", "x", "english")]
+
+
 def test_po(spark, corpus):
     rows = gettext.read(spark, str(corpus / "po"), "pl.po").orderBy("lineno").collect()
     assert [r.is_header for r in rows] == [True, True, False, False, True]

@@ -53,8 +53,11 @@ def test_fluent_pairs(spark):
     tgt = spark.createDataFrame([("pl", "a", None, "Cz { $x } { $user_gender } { -nowy }", 1), ("pl", "b", "a0", "{ $z }", 2), ("pl", "c", None, "bez", 3), ("pl", "z", None, "sierota", 4), ("pl", "e", None, "{ x", 5)], "locale string, id string, attr string, text string, ord int")
     got = sorted((r.rule, r.unit_id, r.detail or "") for r in fluent.crosslocale(src, tgt).collect())
     assert got == [("ftl.pair.dropped_selector", "c", ""), ("ftl.pair.dropped_var", "a", "y"), ("ftl.pair.invented_term", "a", "-nowy"), ("ftl.pair.missing_gender", "a", "fem"), ("ftl.pair.orphan", "z", ""), ("ftl.pair.unbalanced", "e", "")]
-    report = fluent.all_locales_report(fluent.crosslocale(src, tgt))
-    assert "| pl | 2 | 4 |" in report
+    report = fluent.all_locales_report(fluent.crosslocale(src, tgt), fluent.pair_counts(src, tgt))
+    assert report.startswith("# Technical defects of 1 locales: 2 errors, 4 warnings\n")
+    assert "| pl | 4 | 2 | 4 | dropped-selector×1, dropped-var×1, invented-term×1 |" in report
+    assert "| locale | unit | defect | detail |\n|---|---|---|---|\n| pl | `a` | dropped-var | y |\n| pl | `e` | unbalanced |  |\n" in report and "| orphan | WARN | 1 |" in report
+    assert "| pl |  | 2 | 4 |" in fluent.all_locales_report(fluent.crosslocale(src, tgt)) and "none" in fluent.all_locales_report(fluent.crosslocale(src, tgt.limit(0)))
 
 
 def test_labels(spark):
