@@ -187,13 +187,19 @@ def attended(w: dict[str, np.ndarray], x: np.ndarray, window: np.ndarray, q: np.
     return h, mixed, share
 
 
-def _summed(parts: np.ndarray, first: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Sums of runs of parts, by a pass over the second ones, the third ones, and so on."""
-    out = parts.take(first, axis=0)
-    for k in range(1, int(number.max(initial=0))):
-        more = np.flatnonzero(number > k)
-        out[more] += parts.take(first[more] + k, axis=0)
-    return out
+def _summed(state: np.ndarray, e: np.ndarray, first: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the tiles of each node give for its weights: nodes of one tile all at once, the others by a product each."""
+    by_w, by_c = np.empty((len(first), WIDTH, FAN), e.dtype), np.empty((len(first), FAN), e.dtype)
+    one = np.flatnonzero(tiles == 1)
+    alone = e.take(first[one], axis=0)
+    by_w[one] = state.take(first[one], axis=0).transpose(0, 2, 1) @ alone
+    by_c[one] = (np.ones((1, TILE), e.dtype) @ alone)[:, 0]
+    flat_state, flat_e = state.reshape(-1, WIDTH), e.reshape(-1, FAN)
+    for k in np.flatnonzero(tiles > 1).tolist():
+        rows = slice(first[k] * TILE, (first[k] + tiles[k]) * TILE)
+        np.matmul(flat_state[rows].T, flat_e[rows], out=by_w[k])
+        np.add.reduce(flat_e[rows], axis=0, out=by_c[k])
+    return by_w, by_c
 
 
 def _grouped(w: dict[str, np.ndarray], node: np.ndarray, branch: np.ndarray, rows: np.ndarray, h: np.ndarray, share: float):
@@ -201,8 +207,8 @@ def _grouped(w: dict[str, np.ndarray], node: np.ndarray, branch: np.ndarray, row
     share what comes back for each state, and the gradients by nodes."""
     order = np.argsort(node.astype(np.uint16) if len(w["W"]) < 1 << 16 else node, kind="stable")
     run = node.take(order)
-    edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    items = np.diff(edge, append=len(run))
+    edge = np.append(0, np.flatnonzero(run[1:] != run[:-1]) + 1)
+    items = np.append(edge[1:], len(run)) - edge
     tiles = -(-items // TILE)
     first, nodes = np.cumsum(tiles) - tiles, run.take(edge)
     place = bpe.spread(first * TILE, items)
@@ -218,10 +224,9 @@ def _grouped(w: dict[str, np.ndarray], node: np.ndarray, branch: np.ndarray, row
     loss[order] = lost
     if not share:
         return loss, None, None
-    by_w, by_c = state.transpose(0, 2, 1) @ e, (np.ones((1, TILE), e.dtype) @ e)[:, 0]
     back = np.empty((len(node), WIDTH), h.dtype)
     back[order] = (e @ own.transpose(0, 2, 1)).reshape(-1, WIDTH).take(place, axis=0)
-    return loss, back, (nodes, items, _summed(by_w, first, tiles), _summed(by_c, first, tiles))
+    return loss, back, (nodes, items, *_summed(state, e, first, tiles))
 
 
 def _lost(z: np.ndarray, place: np.ndarray, branch: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +332,10 @@ def gradients(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon) -> tup
     mixed *= mean
     mean *= share
     dm *= share
-    by = np.concatenate([dm - mean * q, q], axis=1)
+    by = np.empty((n, 2 * STRIDE, WIDTH), kind)
+    by[:, STRIDE:] = q
+    np.multiply(mean, q, out=by[:, :STRIDE])
+    np.subtract(dm, by[:, :STRIDE], out=by[:, :STRIDE])
     dq, dx, slope = np.empty_like(q), np.zeros_like(x), np.zeros((STRIDE, 2 * STRIDE), kind)
     for (c, e), both in zip(parts, two):
         window, a, da = windows[c:e], both[:, :STRIDE], both[:, STRIDE:]
@@ -346,11 +354,13 @@ def gradients(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon) -> tup
     every, often = slice(None), np.array(float(len(at)))
     g = {"Q": (every, often, here.T @ dq), "V": (every, often, dv), "D": (every, often, np.bincount(FAR.ravel(), slope.ravel(), 2 * STRIDE).astype(kind))}
     unit = blocks.inputs.ravel()
-    times = np.bincount(unit, minlength=len(x))
-    units = np.flatnonzero(times)
-    place = np.empty(len(times), np.int64)
-    place[units] = np.arange(len(units))
-    number, times = place.take(unit), times[units]
+    order = np.argsort(unit.astype(np.uint16) if len(w["E"]) <= 1 << 16 else unit, kind="stable")
+    run = unit.take(order)
+    fresh = run[1:] != run[:-1]
+    edge = np.append(0, np.flatnonzero(fresh) + 1)
+    units, times = run[edge], np.append(edge[1:], len(run)) - edge
+    number = np.empty(len(unit), np.int64)
+    number[order] = np.append(0, np.cumsum(fresh))
     g["E"] = units, times, np.stack([np.bincount(number, dx[:, k], len(units)) for k in range(WIDTH)], axis=1).astype(kind)
     nodes, items, by_w, by_c = (np.concatenate(part) for part in zip(*found))
     g["W"], g["c"] = (nodes, items, by_w), (nodes, items, by_c)
