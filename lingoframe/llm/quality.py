@@ -129,7 +129,11 @@ def _blank(text: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label_id: str, label: str, sample: int = SAMPLE) -> Model:
     """docs: (lf_id, lf_x). Labels that are null or of no document are left out; of several labels of an id the lowest holds."""
     one = labels.where(F.col(label_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label_id).alias("lf_id")).agg(F.min(label).cast("double").alias("y"))
-    rows = docs.join(one, "lf_id").select(F.col("lf_x").alias("x"), "y", "lf_id").orderBy(F.xxhash64("lf_id"), "lf_id", "x").limit(sample).toPandas()
+    rows = written(docs.join(one, "lf_id").select(F.col("lf_x").alias("x"), "y", "lf_id", F.xxhash64("lf_id").alias("h")), "labelled")
+    # Each task sends the driver its first rows: those below a hash that twice the sample lies under, so that they are few together.
+    share = min(1.0, 2 * sample / max(rows.count(), 1))
+    low = rows.where(F.col("h") <= min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))
+    rows = (low if low.count() >= sample else rows).orderBy("h", "lf_id", "x").limit(sample).toPandas()
     y = rows["y"].to_numpy()
     return Model(fit(np.array(rows["x"].tolist()).reshape(-1, N_FEATURES), y), y)
 

@@ -115,3 +115,20 @@ def test_kept_columns_of_any_name(spark):
     some = quality.judged(docs, marked, keep=["doc_id", "Odd.Name"])
     assert some.columns[:2] == ["doc_id", "Odd.Name"] and all(r["Odd.Name"] == 2 * r.doc_id for r in some.collect())
     assert quality.judged(docs, marked).columns[: len(docs.columns)] == docs.columns
+
+
+def test_sample_is_the_first_by_hash(spark, monkeypatch):
+    docs, labels = corpus(spark, 300)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)) or np.zeros(1 + quality.N_FEATURES * (quality.N_FEATURES + 3) // 2))
+    narrow = docs.select(F.col("doc_id").alias("lf_id"), quality.features(F.col("text")).alias("lf_x"))
+    marked = spark.createDataFrame(labels, LABELS)
+    x = {r.lf_id: list(r.lf_x) for r in narrow.collect()}
+    order = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    for n in (40, 150, 300, 1000):
+        quality.train(narrow, marked, "doc_id", "quality", n)
+        got, y = seen.pop()
+        assert np.array_equal(got, np.array([x[i] for i in order[:n]])) and y.tolist() == [labels[i][1] for i in order[:n]]
+    hot = narrow.withColumn("lf_id", F.when(F.col("lf_id") % 3 == 0, F.lit(7)).otherwise(F.col("lf_id")))
+    quality.train(hot, marked, "doc_id", "quality", 60)
+    assert len(seen.pop()[1]) == 60
