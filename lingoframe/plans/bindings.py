@@ -72,17 +72,17 @@ SELECT event_id AS ord, 'f' || {_text("m % 5")} || '.ftl' AS file, CAST(m + 1 AS
          "t = 6", "'{ FOO() } {?} { \"lit}\" }'", "t = 7", "'{ $n ->' || chr(10) || ' [few] a' || chr(10) || ' [lots] b' || chr(10) || '}'", "t = 8", "'plain words'", "t = 9", "'{ $USER } says ' || event_type", "t = 10", "'{ $user_gender ->' || chr(10) || ' [male] he' || chr(10) || ' *[female] she' || chr(10) || '} left'")} AS text
 FROM (SELECT *, event_id % 6 AS a, (event_id - event_id % 6) / 6 AS m0, CAST((event_id - event_id % 6) / 6 AS BIGINT) AS m, (CAST((event_id - event_id % 6) / 6 AS BIGINT) + event_id % 6) % 12 AS t FROM events) AS e""",
     "po_files": f"""
-SELECT domain || '/' || {_text("ord % 53")} || '.po' AS file, ord,
+SELECT domain || '/' || {_text("CAST((ord - ord % 997) / 997 AS BIGINT)")} || '.po' AS file, ord,
   CASE WHEN extracted IS NULL THEN '' ELSE '#. ' || extracted || chr(10) END || CASE WHEN ref IS NULL THEN '' ELSE '#: ' || ref || chr(10) END || CASE WHEN flag IS NULL THEN '' ELSE '#, ' || flag || chr(10) END
     || CASE WHEN msgctxt IS NULL THEN '' ELSE 'msgctxt "' || msgctxt || '"' || chr(10) END || 'msgid ' || CASE WHEN ord % 3 = 0 THEN '""' || chr(10) ELSE '' END || '"' || msgid || '"' || chr(10)
     || CASE WHEN msgid_plural IS NULL THEN 'msgstr "' || msgstr_0 || '"' ELSE 'msgid_plural "' || msgid_plural || '"' || chr(10) || 'msgstr[0] "' || msgstr_0 || '"' || coalesce(chr(10) || 'msgstr[1] "' || msgstr_1 || '"', '')
       || coalesce(chr(10) || 'msgstr[2] "' || msgstr_2 || '"', '') END AS block
 FROM po_src""",
     "ftl_files": f"""
-SELECT file, ord, line, pos, id, attr, text, CASE WHEN attr IS NULL THEN CASE WHEN line % 3 = 0 THEN '## Part ' || {_text("line")} || chr(10) WHEN line % 3 = 1 THEN '# on ' || id || chr(10) ELSE '' END || id || ' = ' || text ELSE '    .' || attr || ' = ' || text END AS block
+SELECT file || '-' || {_text("CAST((line - line % 499) / 499 AS BIGINT)")} AS file, ord, line, pos, id, attr, text, CASE WHEN attr IS NULL THEN CASE WHEN line % 3 = 0 THEN '## Part ' || {_text("line")} || chr(10) WHEN line % 3 = 1 THEN '# on ' || id || chr(10) ELSE '' END || id || ' = ' || text ELSE '    .' || attr || ' = ' || text END AS block
 FROM (SELECT file, ord, line, pos, id, attr, replace(text, 'Broken {{ $x', 'Broken $x') AS text FROM ftl_src) AS u""",
     "csv_files": f"""
-SELECT 'part' || {_text("row_no % 41")} || '.csv' AS file, row_no, key, description, en, pl, de, uk,
+SELECT 'part' || {_text("CAST((row_no - row_no % 499) / 499 AS BIGINT)")} || '.csv' AS file, row_no, key, description, en, pl, de, uk,
   '"' || replace(key, '"', '""') || '","' || replace(description, '"', '""') || '","' || replace(en, '"', '""') || '",' || CASE WHEN pl LIKE '%"%' OR pl LIKE '%,%' OR pl = '' THEN '"' || replace(pl, '"', '""') || '"' ELSE pl END || ',"' || replace(de, '"', '""') || chr(10) || 'x","' || uk || '"' AS block
 FROM csv_wide""",
     "ftl_tr": """

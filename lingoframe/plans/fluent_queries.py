@@ -28,7 +28,7 @@ def _counts(found):
 
 
 def _read(s, d):
-    """The units as Fluent files, and read again."""
+    """The units as Fluent files of a bounded size, and read again."""
     blocks = view(s, d, "ftl_files").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "pos", "ord", "block"))).alias("b"))
     return source.parsed(blocks.select("file", F.concat(F.array_join(F.transform("b", lambda x: x["block"]), "\n"), F.lit("\n")).alias("text")))
 

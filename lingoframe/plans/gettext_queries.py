@@ -49,7 +49,7 @@ def _lines(s, d):
 
 
 def _read(s, d):
-    """The entries as text files, a file a domain and remainder, and read again."""
+    """The entries as text files of a bounded size, and read again."""
     blocks = view(s, d, "po_files").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ord", "block"))).alias("b"))
     head = 'msgid ""\nmsgstr ""\n"Plural-Forms: nplurals=3; plural=0;\\n"\n"PO-Revision-Date: 2024-01-01\\n"\n\n'
     return source.parsed(blocks.select("file", F.concat(F.lit(head), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("text")))
@@ -165,9 +165,9 @@ _BROKEN = f"""SELECT ord, severity, rule, form, detail FROM (SELECT ord, 'ERROR'
       SELECT ord, severity, 'po.pair.' || rule[4:], form, detail FROM marked) WHERE detail <> '' OR rule = 'po.pair.orphan'"""
 
 ORACLES = {
-    "po_read_entries": _W + """SELECT domain || '/' || CAST(ord % 53 AS VARCHAR) || '.po' AS file, CAST(row_number() OVER (PARTITION BY domain, ord % 53 ORDER BY ord) AS INTEGER) AS turn, CAST(ord % 53 AS VARCHAR) AS domain, msgctxt, msgid, msgid_plural,
+    "po_read_entries": _W + """SELECT domain || '/' || (ord // 997) || '.po' AS file, CAST(row_number() OVER (PARTITION BY domain, ord // 997 ORDER BY ord) AS INTEGER) AS turn, CAST(ord // 997 AS VARCHAR) AS domain, msgctxt, msgid, msgid_plural,
       array_to_string(forms, '|') AS forms, coalesce(flag, '') AS flags, coalesce(extracted, '') AS extracted, coalesce(ref, '') AS refs, prefix AS context_prefix, display FROM x""",
-    "po_read_headers": _W + "SELECT DISTINCT CAST(ord % 53 AS VARCHAR) AS domain, 3 AS nplurals, '2024-01-01' AS revision_date FROM x",
+    "po_read_headers": _W + "SELECT DISTINCT CAST(ord // 997 AS VARCHAR) AS domain, 3 AS nplurals, '2024-01-01' AS revision_date FROM x",
     "po_summary": _W + """SELECT count(*) AS strings, count(DISTINCT internal_id) AS unique_ids, count(prefix) AS with_prefix, count(msgid_plural) AS plural, count(ref) AS with_refs, count(extracted) AS with_extracted FROM x""",
     "po_token_inventory": _W + f"SELECT cls, count(*) AS occurrences, count(DISTINCT token) AS distinct_tokens, count(DISTINCT ord) AS entries FROM ({_TOKENS}) GROUP BY cls",
     "po_prefix_registry": _W + f"SELECT *, {_FAM} AS family FROM (SELECT prefix, count(*) AS n, array_to_string(list_sort(list(DISTINCT domain)), ',') AS domains, min(ord) AS first_ord FROM x WHERE prefix IS NOT NULL GROUP BY prefix)",

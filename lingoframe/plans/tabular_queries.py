@@ -25,7 +25,7 @@ def _listed(found: DataFrame, column: str) -> DataFrame:
 
 
 def _read(spark, sf_dir: str) -> DataFrame:
-    """The rows as CSV files with line breaks inside cells, and read again."""
+    """The rows as CSV files of a bounded size, with line breaks inside cells, and read again."""
     blocks = view(spark, sf_dir, "csv_files").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("row_no", "block"))).alias("b"))
     text = F.concat(F.lit("key,description,en,pl,de,uk\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n"), F.lit("\n"))
     rows = table.parsed(blocks.select("file", text.alias("text")), empty_mark="[EMPTY]")
