@@ -13,7 +13,7 @@ distance limit, the hardest there is, passes every filter: the recall aimed at i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +34,10 @@ RECALL = 0.95
 LIST, LEAF = 8192, 2048
 #: Recursions inside a list; a list that is still large then is full of near duplicates.
 DEEPEST = 3
+#: Pairs of a list that are held before its groups are united.
+HELD = 1 << 18
+#: Pivots in a row with less than a 64th of a list around them, after which it has hardly a large group.
+MISSES = 8
 PARTS = ["f0", "f1", "f2", "f3"]
 #: Bits of the filter of keys that deduplicated() sends to all tasks: 8 MB whatever the number of keys.
 FILTER_BITS = 1 << 26
@@ -126,9 +130,8 @@ def strip_filters(words: np.ndarray, levels: int, rng: np.random.Generator) -> n
     return key
 
 
-def brute_pairs(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j within the distance."""
-    left, right = [], []
+def brute_blocks(words: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j within the distance, by blocks of 256 of the first ones."""
     columns = [np.ascontiguousarray(words[:, k]) for k in range(4)]
     for a in range(0, len(words), 256):
         far = np.zeros((min(256, len(words) - a), len(words) - a), np.uint16)
@@ -136,45 +139,69 @@ def brute_pairs(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarra
             far += np.bitwise_count(c[a : a + 256, None] ^ c[None, a:])
         i, j = np.nonzero(far <= distance)
         some = j > i
-        left.append(i[some] + a)
-        right.append(j[some] + a)
-    return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
+        yield i[some] + a, j[some] + a
+
+
+def _joined(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    left, right = zip(*found, (np.zeros(0, np.int64),) * 2)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def brute_pairs(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j within the distance."""
+    return _joined(brute_blocks(words, distance))
 
 
 def _apart(words: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words ^ other).sum(axis=-1, dtype=np.uint16)
 
 
-def linking_pairs(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the distance, of any number of fingerprints, that link the same ones as all such pairs do.
+def _pivot(words: np.ndarray, rest: np.ndarray, pivot: int, distance: int) -> Generator[tuple[np.ndarray, np.ndarray], None, np.ndarray]:
+    """Pairs that link what is around a pivot to it, and what lies beside it; returns who has yet to be compared.
 
     Those around a pivot are linked to it, and so to each other; what lies beyond twice the distance from it can't be within
-    the distance of any of them; what lies between is compared with them until it is linked once. A list that is full of near
-    duplicates thus takes a pass for each of its groups, not one for each of its members."""
-    left, right, rest = [], [], np.arange(len(words))
+    the distance of any of them; what lies between is compared with them until it is linked once."""
+    far = _apart(words[rest], words[pivot])
+    ball, near = rest[far <= distance], rest[(far > distance) & (far <= 2 * distance)]
+    yield np.full(len(ball), pivot), ball
+    for a in range(0, len(near), 4096):
+        open_ = near[a : a + 4096]
+        for member in np.array_split(ball, -(-len(ball) // 64)):
+            i, j = np.nonzero(_apart(words[member][:, None], words[open_][None]) <= distance)
+            linked, first = np.unique(j, return_index=True)
+            yield member[i[first]], open_[linked]
+            open_ = np.delete(open_, linked)
+    return rest[far > distance]
+
+
+def linking_blocks(words: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the distance, of any number of fingerprints, that link the same ones as all such pairs do. A list that is
+    full of near duplicates takes a pass for each of its groups, not one for each of its members."""
+    rest = np.arange(len(words))
     while len(rest):
-        far = _apart(words[rest], words[rest[0]])
-        ball, near = rest[far <= distance], rest[(far > distance) & (far <= 2 * distance)]
-        left.append(np.full(len(ball) - 1, ball[0]))
-        right.append(ball[1:])
-        for a in range(0, len(near), 4096):
-            open_ = near[a : a + 4096]
-            for member in np.array_split(ball, -(-len(ball) // 64)):
-                i, j = np.nonzero(_apart(words[member][:, None], words[open_][None]) <= distance)
-                linked, first = np.unique(j, return_index=True)
-                left.append(member[i[first]])
-                right.append(open_[linked])
-                open_ = np.delete(open_, linked)
-        rest = rest[far > distance]
-    none = np.zeros(0, np.int64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
+        rest = yield from _pivot(words, rest, rest[0], distance)
+
+
+def linking_pairs(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """What linking_blocks() gives, at once, without the pivots themselves."""
+    left, right = _joined(linking_blocks(words, distance))
+    return left[left != right], right[left != right]
 
 
 def list_pairs(words: np.ndarray, distance: int, recall: float, rng: np.random.Generator, depth: int = 0, every: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a list: brute force if it is small, else filters over one more strip, often enough, and their lists. A list
-    that stays large is compared as a whole, or, unless every pair is wanted, by pivots."""
+    """Pairs of a list, some at a time: brute force if it is small, else filters over one more strip, often enough, and their
+    lists; pairs that pass several of them come again. Unless every pair is wanted, large groups of a large list are first
+    linked by pivots and taken out, so that no filter has them again. A list that stays large is compared as a whole, or by
+    pivots alone."""
+    rest, misses = np.arange(len(words)), 0
+    while not every and len(rest) > LEAF and misses < MISSES:
+        before = len(rest)
+        rest = yield from _pivot(words, rest, rng.choice(rest), distance)
+        misses = 0 if before - len(rest) > before // 64 else misses + 1
+    words = words[rest]
     if len(words) <= LEAF or depth == DEEPEST:
-        yield brute_pairs(words, distance) if every or len(words) <= LEAF else linking_pairs(words, distance)
+        for i, j in (brute_blocks if every or len(words) <= LEAF else linking_blocks)(words, distance):
+            yield rest[i], rest[j]
         return
     for _ in range(repetitions(1, distance, 1 - (1 - recall) / 2)):
         key = strip_filters(words, 1, rng)
@@ -182,7 +209,7 @@ def list_pairs(words: np.ndarray, distance: int, recall: float, rng: np.random.G
         for some in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(some) > 1:
                 for i, j in list_pairs(words[some], distance, recall, rng, depth + 1, every):
-                    yield some[i], some[j]
+                    yield rest[some[i]], rest[some[j]]
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -198,6 +225,27 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return label
 
 
+def linked(n: int, found: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest member of each one's component, by pairs that come some at a time. What is linked already is let go, and
+    HELD pairs and what one step brings are held at most: a list full of near duplicates has many millions of pairs."""
+    label, left, right, held = np.arange(n), [], [], 0
+
+    def merged() -> np.ndarray:
+        return forest(n, np.concatenate([label, *left]), np.concatenate([np.arange(n), *right]))
+
+    for i, j in found:
+        i, j = label[i], label[j]
+        new = i != j
+        if not new.any():
+            continue
+        left.append(i[new])
+        right.append(j[new])
+        held += len(left[-1])
+        if held > HELD:
+            label, left, right, held = merged(), [], [], 0
+    return merged()
+
+
 def near_edges(fps: DataFrame, distance: int = DISTANCE, recall: float = RECALL, seed: int = 7, pairs: bool = False) -> DataFrame:
     """Edges (a, b) between the nodes of distinct fingerprints (node, f0..f3): all pairs found, repeated, or, by default, a
     forest for each list that links the same nodes."""
@@ -221,10 +269,11 @@ def near_edges(fps: DataFrame, distance: int = DISTANCE, recall: float = RECALL,
     def search(key, table):
         words = np.stack([table.column(p).to_numpy() for p in PARTS], axis=1).view(np.uint64)
         rng = np.random.default_rng([seed, 1, key[0].as_py()])
-        found = list(list_pairs(words, distance, recall, rng, every=pairs))
-        left, right = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        if not pairs:
-            label = forest(len(words), left, right)
+        found = list_pairs(words, distance, recall, rng, every=pairs)
+        if pairs:
+            left, right = _joined(found)
+        else:
+            label = linked(len(words), found)
             left = np.flatnonzero(label != np.arange(len(words)))
             right = label[left]
         nodes = table.column("node")

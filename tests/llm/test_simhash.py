@@ -80,6 +80,31 @@ def test_recursion_inside_lists(spark, monkeypatch):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_a_list_full_of_near_duplicates_is_linked_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, (3, 4), dtype=np.uint64)
+    words = base[rng.integers(3, size=6000)] ^ np.packbits(rng.random((6000, 256)) < 0.03, axis=1, bitorder="little").view(np.uint64)
+    words = np.concatenate([words, rng.integers(0, 1 << 64, (3000, 4), dtype=np.uint64)])[rng.permutation(9000)]
+    want = simhash.forest(9000, *simhash.linking_pairs(words, simhash.DISTANCE))
+    tracemalloc.start()
+    got = simhash.linked(9000, simhash.list_pairs(words, simhash.DISTANCE, 0.95, np.random.default_rng(1), every=False))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and len(set(got.tolist())) == 3003
+    assert most < 60e6  # its pairs alone, six million of them, are 96 MB for each filter that all of them pass
+
+
+def test_pairs_held_are_united_now_and_then(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 5)
+    rng = np.random.default_rng(8)
+    pairs = rng.integers(0, 400, (2, 300))
+    got = simhash.linked(400, ((pairs[0, k : k + 3], pairs[1, k : k + 3]) for k in range(0, 300, 3)))
+    assert (got == simhash.forest(400, *pairs)).all() and len(set(got.tolist())) > 50
+    assert simhash.linked(3, []).tolist() == [0, 1, 2]
+
+
 def test_chance_of_passing_is_as_computed():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 64, (40_000, 4), dtype=np.uint64)
