@@ -1,9 +1,11 @@
 import base64
 import math
 import re
+import resource
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
@@ -157,3 +159,16 @@ def test_every_operator_has_its_query():
     found = [n.split("_")[0] for n in queries.QUERIES]
     assert sorted(found) == sorted(f"op{k}" for k in range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_a_large_group_of_near_duplicates_leaves_the_workers_small(spark):
+    def held(batches):  # a worker is used again for later tasks, so that it has been through the stage
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024])], names=["mb"])
+
+    words = prose(3, 200).split()
+    rows = [(k, " ".join([*words[: k % 200], f"edit{k}", *words[k % 200 :]]), "en", "a") for k in range(4000)]
+    stay = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
+    assert [r.doc_id for r in stay] == [0]
+    assert spark.range(8, numPartitions=8).mapInArrow(held, "mb double").agg(F.max("mb")).first()[0] < 500
