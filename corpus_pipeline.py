@@ -3,6 +3,7 @@
 Quality classifier and compression bands reject documents, of each group of near duplicates one stays, documents that hold
 benchmark texts go, and what is left is encoded. Each stage works on all that the one before it kept. Columns and rows
 that a stage keeps are those it got; what is done with nulls, empty texts and repeated rows is what its operator says.
+Stages that send texts to Python have the session make Arrow batches of a few megabytes, unless it was told a size.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lingoframe.llm import bpe, compression, quality, simhash, suffixes
-from lingoframe.llm.shared import kept, written
+from lingoframe.llm.shared import kept, small_batches, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +31,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go; repeated rows are judged alike; texts of any length are compressed whole and by chunks; an empty
     table stays empty; columns named like the operator's stand aside and come back.
     """
+    small_batches(spark)
     return kept(docs, compression.compression_bands, compression.MADE)
 
 
@@ -39,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts that are null or without a word all stay; of repeated rows of one document one stays; texts of any length count
     whole; an empty table stays empty; columns of any names pass.
     """
+    small_batches(spark)
     return simhash.deduplicated(docs)
 
 
@@ -48,6 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts stay; repeated rows stay or go alike; texts of any length are searched whole; an empty table or
     benchmark changes nothing; columns of any names pass.
     """
+    small_batches(spark)
     return suffixes.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -57,6 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has nulls there, an empty one no ids; repeated rows are encoded alike; texts of any length are encoded whole;
     an empty table stays empty; columns of these three names are replaced, others pass.
     """
+    small_batches(spark)
     return bpe.encode(docs)
 
 

@@ -8,12 +8,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Code points that one numpy pass holds at a time (a longer text is a pass of its own).
 SLAB_CHARS = 1 << 20
+#: The same where a code point takes many bytes on the way; its arrays fit the processor's cache.
+NARROW_CHARS = 1 << 18
+#: Bytes of rows that Spark's JVM puts into one Arrow batch, and its setting for that.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,19 +55,27 @@ def running(df: DataFrame, group: str, order: list[str], value: str, name: str)
     return both.withColumn(name, F.col("lf_inside") + F.col("lf_start")).select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
 
 
-def slabs(texts: list[str], limit: int = SLAB_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most `limit` code points together, or one row."""
+def slabs(column: pa.Array, limit: int = SLAB_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows of at most `limit` code points together, or one row, with their texts: no more than these are Python's at a time."""
+    lengths = pc.utf8_length(column.cast(pa.string()) if pa.types.is_null(column.type) else column)
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text) > limit:
-            yield start, i
+    for i, n in enumerate(pc.fill_null(lengths, 0).to_pylist()):
+        if i > start and held + n > limit:
+            yield start, i, column.slice(start, i - start).to_pylist()
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held += n
+    if start < len(column):
+        yield start, len(column), column.slice(start).to_pylist()
 
 
-def map_texts(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable[[], Callable[[list[str | None]], list]], keep: list[str] | None = None) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Have the session make Arrow batches of BATCH_BYTES, unless it was told a size: by rows alone, a batch of long texts takes
+    tens of megabytes in each task, in the JVM (outside its heap) and in Python."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def map_texts(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable[[], Callable[[list[str | None]], list]], keep: list[str] | None = None, limit: int = SLAB_CHARS) -> DataFrame:
     """Add columns computed by slabs of texts. make() gives, once per task, a function from texts to one sequence for each field.
 
     keep: the columns that stay (all by default). A column of df that has the name of a new one is replaced by it.
@@ -78,9 +91,8 @@ def map_texts(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType,
         apply = make()
         for batch in batches:
             *kept, last = batch.columns
-            texts = last.to_pylist()
-            for a, b in slabs([t or "" for t in texts]):
-                made = apply(texts[a:b])
+            for a, b, texts in slabs(last, limit):
+                made = apply(texts)
                 columns = [c.slice(a, b - a) for c in kept] + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, (_, _, kind) in zip(made, fields)]
                 yield pa.RecordBatch.from_arrays(columns, names=names + [n for n, _, _ in fields])
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingoframe.llm.graph import connected_components
-from lingoframe.llm.shared import map_texts, written
+from lingoframe.llm.shared import NARROW_CHARS, map_texts, written
 from lingoframe.llm.textgrid import Grid, mixed
 
 BITS, STRIP = 256, 7
@@ -88,7 +88,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", keep: list[str] | None =
 
         return apply
 
-    return map_texts(df, text_col, [(p, T.LongType(), pa.int64()) for p in PARTS], make, keep)
+    return map_texts(df, text_col, [(p, T.LongType(), pa.int64()) for p in PARTS], make, keep, NARROW_CHARS)
 
 
 @lru_cache(maxsize=1)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lingoframe.llm.shared import slabs
+from lingoframe.llm.shared import NARROW_CHARS, slabs
 from lingoframe.llm.textgrid import Grid
 
 #: Words of a verbatim match that make a document contaminated; a shorter test text must be there as a whole.
@@ -48,15 +48,21 @@ def suffix_array(rank: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of an array of small numbers, sorted by their first `depth` ones (at least three), and the sorted keys of the first three."""
     n = len(rank)
     base = np.uint64(int(rank.max(initial=0)) + 2)
-    padded = np.append(rank + 1, [0, 0]).astype(np.uint64)
-    key = (padded[:n] * base + padded[1 : n + 1]) * base + padded[2:]
+    padded = np.zeros(n + 2, np.uint64)
+    np.add(rank, 1, out=padded[:n], casting="unsafe")
+    key = padded[:n] * base
+    key += padded[1 : n + 1]
+    key *= base
+    key += padded[2:]
+    del padded
     order = np.argsort(key)
     sorted_key = key[order]
+    del key
     head = np.empty(n, bool)
     head[:1] = True
     np.not_equal(sorted_key[1:], sorted_key[:-1], out=head[1:])
-    place = np.empty(n + 1, np.int64)
-    place[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    place = np.empty(n + 1, np.int32 if n < 1 << 31 else np.int64)
+    place[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=place.dtype), 0))
     place[n] = -1
     known = 3
     while known < depth:
@@ -88,6 +94,7 @@ def search(words: np.ndarray, marks: np.ndarray, tests: Tests) -> tuple[np.ndarr
     if not len(words) or not len(tests.starts):
         return none
     alphabet, rank = np.unique(words, return_inverse=True)
+    rank = rank.astype(np.int32)
     order, keys = suffix_array(rank, tests.longest)
     there = np.minimum(np.searchsorted(alphabet, tests.words), len(alphabet) - 1)
     wanted = np.where((alphabet[there] == tests.words) & (tests.words != 0), there, -2)
@@ -156,11 +163,11 @@ class Shard:
         self.words, self.rows, self.starts, self.ends, self.size = [], [], [], [], 0
 
     def add(self, row: int, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        nought = np.zeros(1, np.int64)
+        nought = np.zeros(1, np.int32)
         self.words += [words, np.zeros(1, np.uint64)]
-        self.rows.append(np.full(len(words) + 1, row))
-        self.starts += [starts, nought]
-        self.ends += [ends, nought]
+        self.rows.append(np.full(len(words) + 1, row, np.int32))
+        self.starts += [starts.astype(np.int32), nought]
+        self.ends += [ends.astype(np.int32), nought]
         self.size += len(words) + 1
 
     def matches(self, tests: Tests) -> list[tuple[int, int, int, int, int, int]]:
@@ -168,8 +175,11 @@ class Shard:
         the first one if several are."""
         if not self.size:
             return []
-        words, rows = np.concatenate(self.words), np.concatenate(self.rows)
-        starts, ends = np.concatenate(self.starts), np.concatenate(self.ends)
+        joined = []
+        for parts in (self.words, self.rows, self.starts, self.ends):
+            joined.append(np.concatenate(parts))
+            parts.clear()
+        words, rows, starts, ends = joined
         place, q, length = search(words, rows, tests)
         item = tests.item[q]
         row, begin, word = rows[place], starts[place], q - tests.first[item]
@@ -181,10 +191,9 @@ class Shard:
 def _searched(batches: Iterator[pa.RecordBatch], text_col: str, tests: Tests, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
     """Pieces of the batches with their matches; rows count within a piece."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
         shard, found, done = Shard(), [], 0
-        for a, b in slabs(texts):
-            grid = Grid(texts[a:b])
+        for a, b, texts in slabs(batch.column(batch.schema.get_field_index(text_col)), NARROW_CHARS):
+            grid = Grid([t or "" for t in texts])
             starts, ends, counts = grid.words()
             words = grid.hashes(starts, ends, fold=True)
             words[words == 0] = 1

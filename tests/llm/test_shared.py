@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,29 @@ def test_running_sums_are_those_of_a_plain_loop(spark):
             total += r[2]
     assert {g: sorted(x) for g, x in found.items()} == {g: sorted(x) for g, x in want.items()}
     assert shared.running(df.limit(0), "g", ["o"], "v", "upto").collect() == []
+
+
+def test_slabs_are_whole_rows_in_order():
+    texts = ["ab", None, "", "\U0001f600" * 3, "x" * 20, "yz", None]
+    got = list(shared.slabs(pa.array(texts), 5))
+    assert [(a, b) for a, b, _ in got] == [(0, 4), (4, 5), (5, 7)]
+    assert [t for _, _, some in got for t in some] == texts
+    assert [x for x in shared.slabs(pa.nulls(3))] == [(0, 3, [None] * 3)] and not list(shared.slabs(pa.array([], pa.string())))
+
+
+def test_arrow_batches_are_small_unless_the_session_was_told_a_size(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    docs = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    told = spark.conf.get(shared.BATCH_SETTING, None)
+    try:
+        spark.conf.unset(shared.BATCH_SETTING)
+        shared.small_batches(spark)
+        assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 2 * shared.BATCH_BYTES
+        spark.conf.set(shared.BATCH_SETTING, "16m")
+        shared.small_batches(spark)
+        assert spark.conf.get(shared.BATCH_SETTING) == "16m"
+    finally:
+        spark.conf.set(shared.BATCH_SETTING, told) if told else spark.conf.unset(shared.BATCH_SETTING)

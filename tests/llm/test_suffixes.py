@@ -106,3 +106,20 @@ def test_awkward_and_empty(spark):
     none = bench.limit(0)
     assert suffixes.matches(docs, none).collect() == [] and suffixes.decontaminated(docs, none).count() == docs.count()
     assert suffixes.matches(empty(spark), bench).collect() == [] and suffixes.decontaminated(empty(spark), bench).collect() == []
+
+
+def test_a_batch_of_many_texts_is_searched_in_bounded_memory():
+    import tracemalloc
+
+    rng, some = np.random.default_rng(5), np.array([f"w{k:05}" for k in range(30_000)])
+    texts = [" ".join(some[rng.integers(30_000, size=600)]) for _ in range(4000)]
+    item = " ".join(texts[7].split()[40:60])
+    texts[3000] += " " + item
+    tests, batch = suffixes.Tests([(0, item)], 13), pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    list(suffixes._searched([batch.slice(0, 2)], "text", tests, suffixes.SHARD_WORDS))  # tables that are made once
+    tracemalloc.start()
+    found = [r for _, some in suffixes._searched([batch], "text", tests, suffixes.SHARD_WORDS) for r in some]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[0] for r in found] == [7, 3000] and all(r[2] == 20 for r in found)
+    assert most < 100e6
