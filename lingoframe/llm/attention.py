@@ -34,11 +34,11 @@ STRIDE, WIDTH, FAN = 32, 16, 32
 #: Rounds of training, each over its share of all windows, and the rate of its steps.
 ROUNDS, RATE = 2, 0.2
 #: Ids that a step of training takes and that one numpy pass scores. Longer texts are cut, with a block of context.
-STEP_IDS, PASS_IDS = 1 << 12, 1 << 12
+STEP_IDS, PASS_IDS = 1 << 12, 1 << 13
 #: Blocks of a task's first step; those that follow take more, so that small tables have enough steps too.
 FIRST_ROWS = 8
 #: Blocks whose attention is held in the cache at once.
-PART = 16
+PART = 32
 #: States of one node that are multiplied at once. In larger products the rounding of a row depends on where it stands.
 TILE = 8
 #: What every id counts besides its occurrences, and the bias of a branch without an id.
@@ -166,117 +166,152 @@ def _windows(x: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(x, (len(x) - 1, 2 * STRIDE, WIDTH), (s[0], s[1], s[2]))
 
 
+def _columns(x: np.ndarray) -> np.ndarray:
+    """The same windows with places along rows, and a row of ones below: as the right side of a product these are read in
+    order, which takes half the time of the transposed ones."""
+    flat = np.empty((WIDTH + 1, len(x) * STRIDE), x.dtype)
+    flat[:WIDTH], flat[WIDTH] = x.reshape(-1, WIDTH).T, 1
+    s = flat.strides
+    return np.lib.stride_tricks.as_strided(flat, (len(x) - 1, WIDTH + 1, 2 * STRIDE), (STRIDE * s[1], s[0], s[1]))
+
+
 def _bias(w: dict[str, np.ndarray]) -> np.ndarray:
     bias = w["D"][FAR]
     bias[AHEAD] = NEVER
     return bias
 
 
-def attended(w: dict[str, np.ndarray], x: np.ndarray, window: np.ndarray, q: np.ndarray, first: np.ndarray, bias: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """States of all places of the blocks x, by their windows and queries. Fills a with the weights before they are divided by
-    their sums; also gives those sums' inverses and the mixed inputs."""
-    np.matmul(q, window.transpose(0, 2, 1), out=a)
+def attended(w: dict[str, np.ndarray], x: np.ndarray, q: np.ndarray, window: np.ndarray, columns: np.ndarray, first: np.ndarray, bias: np.ndarray, a: np.ndarray, mixed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Fills h with the states of all places of the blocks x, by their windows and queries, a with the weights before they are
+    divided by their sums, and mixed with the mixed inputs; gives those sums' inverses."""
+    np.matmul(q, columns[:, :WIDTH], out=a)
     a += bias
     np.exp(_bounded(a), out=a)
     a[first, :, :STRIDE] = 0
     share = 1 / (a @ np.ones((2 * STRIDE, 1), a.dtype))
-    mixed = a @ window
+    np.matmul(a, window, out=mixed)
     mixed *= share
-    h = mixed @ w["V"]
-    h += x
-    return h, mixed, share
-
-
-def _summed(state: np.ndarray, e: np.ndarray, first: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the tiles of each node give for its weights: nodes of one tile all at once, the others by a product each."""
-    by_w, by_c = np.empty((len(first), WIDTH, FAN), e.dtype), np.empty((len(first), FAN), e.dtype)
-    one = np.flatnonzero(tiles == 1)
-    alone = e.take(first[one], axis=0)
-    by_w[one] = state.take(first[one], axis=0).transpose(0, 2, 1) @ alone
-    by_c[one] = (np.ones((1, TILE), e.dtype) @ alone)[:, 0]
-    flat_state, flat_e = state.reshape(-1, WIDTH), e.reshape(-1, FAN)
-    for k in np.flatnonzero(tiles > 1).tolist():
-        rows = slice(first[k] * TILE, (first[k] + tiles[k]) * TILE)
-        np.matmul(flat_state[rows].T, flat_e[rows], out=by_w[k])
-        np.add.reduce(flat_e[rows], axis=0, out=by_c[k])
-    return by_w, by_c
+    np.add(mixed @ w["V"], x, out=h)
+    return share
+
+
+def _nodes(w: dict[str, np.ndarray], nodes: np.ndarray) -> np.ndarray:
+    """The weights of some nodes with their biases below, for states that end in a one."""
+    own = np.empty((len(nodes), WIDTH + 1, FAN), w["W"].dtype)
+    own[:, :WIDTH], own[:, WIDTH] = w["W"].take(nodes, axis=0), w["c"].take(nodes, axis=0)
+    return own
 
 
 def _grouped(w: dict[str, np.ndarray], node: np.ndarray, branch: np.ndarray, rows: np.ndarray, h: np.ndarray, share: float):
-    """What choices() gives for items of any nodes but the root, in tiles of items of one node: losses, and with a
-    share what comes back for each state, and the gradients by nodes."""
+    """What choices() gives for items of any nodes but the root: losses, and with a share what comes back for each state,
+    and the gradients by nodes. Nodes of one tile are multiplied all at once, the others one by one: with a share, where
+    rounding may depend on the place, without tiles."""
     order = np.argsort(node.astype(np.uint16) if len(w["W"]) < 1 << 16 else node, kind="stable")
     run = node.take(order)
     edge = np.append(0, np.flatnonzero(run[1:] != run[:-1]) + 1)
     items = np.append(edge[1:], len(run)) - edge
-    tiles = -(-items // TILE)
-    first, nodes = np.cumsum(tiles) - tiles, run.take(edge)
-    place = bpe.spread(first * TILE, items)
-    where = np.repeat(nodes, tiles)
-    whose = np.zeros(len(where) * TILE, np.int64)
+    nodes, tiles = run.take(edge), -(-items // TILE)
+    own = _nodes(w, nodes)
+    # Those of several tiles come first.
+    large, small = np.flatnonzero(tiles > 1), np.flatnonzero(tiles == 1)
+    height = items if share else tiles * TILE
+    begin = np.append(0, np.cumsum(height[large]))
+    start = np.empty_like(edge)
+    start[large], start[small] = begin[:-1], begin[-1] + np.arange(len(small)) * TILE
+    place = bpe.spread(start, items)
+    whose = np.zeros(begin[-1] + len(small) * TILE, np.int64)
     whose[place] = rows.take(order)
-    state = h.take(whose, axis=0).reshape(-1, TILE, WIDTH)
-    own = w["W"].take(where, axis=0)
-    z = state @ own
-    z += w["c"].take(where, axis=0)[:, None, :]
+    state = h.take(whose, axis=0)
+    z = np.empty((len(state), FAN), h.dtype)
+    parts = [(k, slice(a, b)) for k, a, b in zip(large.tolist(), begin[:-1].tolist(), begin[1:].tolist())]
+    for k, part in parts:
+        if share:
+            np.matmul(state[part], own[k], out=z[part])
+        else:
+            np.matmul(state[part].reshape(-1, TILE, WIDTH + 1), own[k], out=z[part].reshape(-1, TILE, FAN))
+    rest = slice(begin[-1], None)
+    tiled, few = state[rest].reshape(-1, TILE, WIDTH + 1), own.take(small, axis=0)
+    np.matmul(tiled, few, out=z[rest].reshape(-1, TILE, FAN))
     lost, e = _lost(z, place, branch.take(order), share)
     loss = np.empty_like(lost)
     loss[order] = lost
     if not share:
         return loss, None, None
-    back = np.empty((len(node), WIDTH), h.dtype)
-    back[order] = (e @ own.transpose(0, 2, 1)).reshape(-1, WIDTH).take(place, axis=0)
-    return loss, back, (nodes, items, *_summed(state, e, first, tiles))
+    by, sent = np.empty_like(own), np.empty((len(state), WIDTH), h.dtype)
+    for k, part in parts:
+        np.matmul(state[part].T, e[part], out=by[k])
+        np.matmul(e[part], own[k, :WIDTH].T, out=sent[part])
+    by[small] = tiled.transpose(0, 2, 1) @ e[rest].reshape(-1, TILE, FAN)
+    np.matmul(e[rest].reshape(-1, TILE, FAN), few[:, :WIDTH].transpose(0, 2, 1), out=sent[rest].reshape(-1, TILE, WIDTH))
+    found = np.empty_like(place)
+    found[order] = place
+    return loss, sent.take(found, axis=0), (nodes, items, by)
 
 
 def _lost(z: np.ndarray, place: np.ndarray, branch: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Negative log-likelihood of the branches taken in some places of the logits z (tiles, height, FAN), which become, with
-    a share, what has to go back: the chance of each branch, less one for the one taken; nothing in places without an item."""
+    """Negative log-likelihood of the branches taken in some places of the logits z (n, FAN), which become, with a share,
+    what has to go back: the chance of each branch, less one for the one taken; nothing in places without an item."""
     flat_z = _bounded(z).reshape(-1)
     taken = place * FAN
     taken += branch
     hit = flat_z.take(taken)
     np.exp(z, out=z)
-    mass = (z @ np.ones((FAN, 1), z.dtype)).ravel()
+    mass = z @ np.ones(FAN, z.dtype) if share else (z.reshape(-1, TILE, FAN) @ np.ones((FAN, 1), z.dtype)).ravel()
     had = mass.take(place)
     lost = np.log(had)
     lost -= hit
     if share:
         scale = np.zeros(len(mass), z.dtype)
         scale[place] = share / had
-        z *= scale.reshape(len(z), -1, 1)
+        z *= scale[:, None]
         flat_z[taken] -= share
     return lost, z
 
 
+def _root(w: dict[str, np.ndarray], h: np.ndarray, at: np.ndarray, branch: np.ndarray, share: float):
+    """What _grouped() gives, for the root. Its logits lie by branches, so that what goes by states runs along them."""
+    own = _nodes(w, np.zeros(1, np.int64))[0]
+    z = own.T @ h.T
+    flat_z = _bounded(z).reshape(-1)
+    taken = branch * len(h)
+    taken += at
+    hit = flat_z.take(taken)
+    np.exp(z, out=z)
+    had = np.add.reduce(z, axis=0).take(at)
+    lost = np.log(had)
+    lost -= hit
+    scale = np.zeros(len(h), z.dtype)
+    scale[at] = share / had
+    z *= scale
+    flat_z[taken] -= share
+    return lost, z.T @ own[:WIDTH].T, (np.zeros(1, np.int64), np.array([len(at)]), (z @ h).T[None])
+
+
 def choices(w: dict[str, np.ndarray], lexicon: Lexicon, h: np.ndarray, at: np.ndarray, ids: np.ndarray, share: float = 0.0) -> tuple[np.ndarray, np.ndarray | None, list[tuple[np.ndarray, ...]]]:
-    """Negative log-likelihood of each of the ids, by the states h[at] (h is (n, WIDTH)); with a share, that a single loss
-    has of what is to be lowered, also the gradients by h, and by nodes (node, items, by W, by c)."""
-    z = h.reshape(-1, STRIDE, WIDTH) @ w["W"][0]
-    z += w["c"][0]
-    loss, e = _lost(z, at, lexicon.branch[0].take(ids), share)
+    """Negative log-likelihood of each of the ids, by the states h[at] (h is (n, WIDTH), or one more, which is 1); with a
+    share, that a single loss has of what is to be lowered, also the gradients by h, and by nodes (node, items, by W and c)."""
+    if h.shape[1] == WIDTH:
+        h = np.append(h, np.ones((len(h), 1), h.dtype), axis=1)
     dh, found = None, []
     if share:
-        e = e.reshape(-1, FAN)
-        found.append((np.zeros(1, np.int64), np.array([len(ids)]), (h.T @ e)[None], np.ones((1, len(e)), e.dtype) @ e))
-        dh = e @ w["W"][0].T
-    depth = lexicon.depth.take(ids)
-    if len(on := np.flatnonzero(depth > 1)):
-        some, rows = ids.take(on), at.take(on)
-        lost, back, by = _grouped(w, lexicon.node[1].take(some), lexicon.branch[1].take(some), rows, h, share)
-        loss[on] += lost
+        loss, dh, by = _root(w, h, at, lexicon.branch[0].take(ids).astype(np.int64), share)
+        found.append(by)
+    else:
+        z = h.reshape(-1, STRIDE, WIDTH + 1) @ _nodes(w, np.zeros(1, np.int64))[0]
+        loss, _ = _lost(z.reshape(-1, FAN), at, lexicon.branch[0].take(ids), share)
+    # All lower levels are taken together; below the second few items are left.
+    depth, on, levels = lexicon.depth.take(ids), None, []
+    while len(on := np.flatnonzero(depth > 1) if on is None else on[depth.take(on) > len(levels) + 1]):
+        levels.append(on)
+    if levels:
+        on, starts = np.concatenate(levels), np.cumsum([0, *map(len, levels)]).tolist()
+        flat = np.concatenate([ids.take(some) + k * lexicon.size for k, some in enumerate(levels, 1)])
+        lost, back, by = _grouped(w, lexicon.node.ravel().take(flat), lexicon.branch.ravel().take(flat), at.take(on), h, share)
+        for a, b, some in zip(starts, starts[1:], levels):
+            loss[some] += lost[a:b]
+            if share:
+                dh[at.take(some)] += back[a:b]
         if share:
-            dh[rows] += back
-            found.append(by)
-    # On the lower levels, taken together, few items meet in a node.
-    levels = [np.flatnonzero(depth > k) for k in range(2, len(lexicon.node))]
-    if levels and len(levels[0]):
-        on = np.concatenate(levels)
-        node, branch = (np.concatenate([part[k].take(ids.take(some)) for k, some in enumerate(levels, 2)]) for part in (lexicon.node, lexicon.branch))
-        lost, back, by = _grouped(w, node, branch, at.take(on), h, share)
-        np.add.at(loss, on, lost)
-        if share:
-            np.add.at(dh, at.take(on), back)
             found.append(by)
     return loss, dh, found
 
@@ -292,16 +327,19 @@ def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts:
     if not n:
         return np.zeros(n_texts)
     table = tabled(w) if table is None else table
-    both = np.zeros((n + 1, STRIDE, 2 * WIDTH), table.dtype)
-    np.take(table, blocks.inputs, axis=0, out=both[1:], mode="clip")
-    h, a = np.empty((n, STRIDE, WIDTH), table.dtype), np.empty((min(n, PART), STRIDE, 2 * STRIDE), table.dtype)
-    x, q, windows, bias = both[1:, :, :WIDTH], both[1:, :, WIDTH:], _windows(both[:, :, :WIDTH]), _bias(w)
+    x = np.zeros((n + 1, STRIDE, WIDTH), table.dtype)
+    q = table.take(blocks.inputs, axis=0)
+    x[1:], q = q[:, :, :WIDTH], q[:, :, WIDTH:]
+    state, a = np.ones((n, STRIDE, WIDTH + 1), table.dtype), np.empty((min(n, PART), STRIDE, 2 * STRIDE), table.dtype)
+    h = state[:, :, :WIDTH]
+    mixed = np.empty((len(a), STRIDE, WIDTH), table.dtype)
+    windows, columns, bias = _windows(x), _columns(x), _bias(w)
     for c in range(0, n, PART):
         e = min(n, c + PART)
-        h[c:e], _, _ = attended(w, x[c:e], windows[c:e], q[c:e], blocks.first[c:e], bias, a[: e - c])
+        attended(w, x[c + 1 : e + 1], q[c:e], windows[c:e], columns[c:e], blocks.first[c:e], bias, a[: e - c], mixed[: e - c], h[c:e])
     target = blocks.targets.ravel()
     at = np.flatnonzero(target >= 0)
-    loss, _, _ = choices(w, lexicon, h.reshape(-1, WIDTH), at, target[at])
+    loss, _, _ = choices(w, lexicon, state.reshape(-1, WIDTH + 1), at, target[at])
     return np.bincount(blocks.owner[at // STRIDE], loss, n_texts)
 
 
@@ -317,38 +355,34 @@ def gradients(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon) -> tup
     np.take(w["E"], blocks.inputs, axis=0, out=x[1:], mode="clip")
     here = x[1:].reshape(-1, WIDTH)
     q = (here @ w["Q"]).reshape(n, STRIDE, WIDTH)
-    h, mixed, share = np.empty_like(q), np.empty_like(q), np.empty((n, STRIDE, 1), kind)
+    state, mixed, share = np.ones((n, STRIDE, WIDTH + 1), kind), np.empty_like(q), np.empty((n, STRIDE, 1), kind)
+    h = state[:, :, :WIDTH]
     # The weights and their slopes lie one below the other, so that both reach the window in one product.
     parts = [(c, min(n, c + PART)) for c in range(0, n, PART)]
     two = [np.empty((e - c, 2 * STRIDE, 2 * STRIDE), kind) for c, e in parts]
-    windows, bias = _windows(x), _bias(w)
+    windows, columns, bias = _windows(x), _columns(x), _bias(w)
     for (c, e), both in zip(parts, two):
-        h[c:e], mixed[c:e], share[c:e] = attended(w, x[c + 1 : e + 1], windows[c:e], q[c:e], blocks.first[c:e], bias, both[:, :STRIDE])
-    loss, dh, found = choices(w, lexicon, h.reshape(-1, WIDTH), at, target[at], 1 / len(at))
+        share[c:e] = attended(w, x[c + 1 : e + 1], q[c:e], windows[c:e], columns[c:e], blocks.first[c:e], bias, both[:, :STRIDE], mixed[c:e], h[c:e])
+    loss, dh, found = choices(w, lexicon, state.reshape(-1, WIDTH + 1), at, target[at], 1 / len(at))
     dv = mixed.reshape(-1, WIDTH).T @ dh
-    dm = (dh @ w["V"].T).reshape(n, STRIDE, WIDTH)
-    # By the softmax, a * (da - mean) is what goes on; the mean's part is taken out of the narrow arrays.
-    mean = np.einsum("bsd,bsd->bs", dm, mixed)[:, :, None]
-    mixed *= mean
-    mean *= share
+    # By the softmax, a * (da - mean) is what goes on; the mean comes with the product, by the row of ones.
+    dm = np.empty((n, STRIDE, WIDTH + 1), kind)
+    dm[:, :, :WIDTH] = (dh @ w["V"].T).reshape(n, STRIDE, WIDTH)
+    dm[:, :, WIDTH] = -np.einsum("bsd,bsd->bs", dm[:, :, :WIDTH], mixed)
     dm *= share
     by = np.empty((n, 2 * STRIDE, WIDTH), kind)
-    by[:, STRIDE:] = q
-    np.multiply(mean, q, out=by[:, :STRIDE])
-    np.subtract(dm, by[:, :STRIDE], out=by[:, :STRIDE])
-    dq, dx, slope = np.empty_like(q), np.zeros_like(x), np.zeros((STRIDE, 2 * STRIDE), kind)
+    by[:, :STRIDE], by[:, STRIDE:] = dm[:, :, :WIDTH], q
+    dq, dw, slope = np.empty_like(q), np.empty_like(by), np.zeros((STRIDE, 2 * STRIDE), kind)
     for (c, e), both in zip(parts, two):
-        window, a, da = windows[c:e], both[:, :STRIDE], both[:, STRIDE:]
-        np.matmul(dm[c:e], window.transpose(0, 2, 1), out=da)
-        da *= a
+        da = both[:, STRIDE:]
+        np.matmul(dm[c:e], columns[c:e], out=da)
+        da *= both[:, :STRIDE]
         slope += da.sum(axis=0)
-        slope -= np.matmul(mean[c:e].transpose(1, 2, 0), a.transpose(1, 0, 2))[:, 0]
-        np.matmul(da, window, out=dq[c:e])
-        dw = both.transpose(0, 2, 1) @ by[c:e]
-        dx[c:e] += dw[:, :STRIDE]
-        dx[c + 1 : e + 1] += dw[:, STRIDE:]
-    dq -= mixed
-    dx, dq = dx[1:].reshape(-1, WIDTH), dq.reshape(-1, WIDTH)
+        np.matmul(da, windows[c:e], out=dq[c:e])
+        np.matmul(both.transpose(0, 2, 1), by[c:e], out=dw[c:e])
+    dx = dw[:, STRIDE:].copy()
+    dx[:-1] += dw[1:, :STRIDE]
+    dx, dq = dx.reshape(-1, WIDTH), dq.reshape(-1, WIDTH)
     dx += dh
     dx += dq @ w["Q"].T
     every, often = slice(None), np.array(float(len(at)))
@@ -356,14 +390,10 @@ def gradients(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon) -> tup
     unit = blocks.inputs.ravel()
     order = np.argsort(unit.astype(np.uint16) if len(w["E"]) <= 1 << 16 else unit, kind="stable")
     run = unit.take(order)
-    fresh = run[1:] != run[:-1]
-    edge = np.append(0, np.flatnonzero(fresh) + 1)
-    units, times = run[edge], np.append(edge[1:], len(run)) - edge
-    number = np.empty(len(unit), np.int64)
-    number[order] = np.append(0, np.cumsum(fresh))
-    g["E"] = units, times, np.stack([np.bincount(number, dx[:, k], len(units)) for k in range(WIDTH)], axis=1).astype(kind)
-    nodes, items, by_w, by_c = (np.concatenate(part) for part in zip(*found))
-    g["W"], g["c"] = (nodes, items, by_w), (nodes, items, by_c)
+    edge = np.append(0, np.flatnonzero(run[1:] != run[:-1]) + 1)
+    g["E"] = run.take(edge), np.append(edge[1:], len(run)) - edge, np.add.reduceat(dx.take(order, axis=0), edge, axis=0)
+    nodes, items, by = (np.concatenate(part) for part in zip(*found))
+    g["W"], g["c"] = (nodes, items, by[:, :WIDTH]), (nodes, items, by[:, WIDTH])
     return float(loss.sum(dtype=np.float64)) / len(at), g
 
 
@@ -379,13 +409,15 @@ class Trainer:
         """A step by the mean over so many ids; the fewer, the shorter."""
         rate = self.rate * min(1.0, ids / STEP_IDS) ** 0.5
         for k, (rows, often, slope) in g.items():
-            moved = self.moved[k][rows] + slope * slope
+            every = isinstance(rows, slice)
+            moved = self.moved[k] if every else self.moved[k].take(rows, axis=0)
+            moved += slope * slope
             self.moved[k][rows] = moved
             by = np.sqrt(moved)
             by += 1e-10
             np.divide(slope, by, out=by)
             by *= rate
-            self.w[k][rows] -= by
+            self.w[k][rows] = (self.w[k] if every else self.w[k].take(rows, axis=0)) - by
             if k in "EWc":
                 self.met[k][rows] += often
             else:

@@ -117,6 +117,39 @@ def test_gradients():
                 assert abs((both[0] - both[1]) / 2e-5 - whole[i]) < 1e-6 + 1e-2 * abs(whole[i]), (n, k)
 
 
+def test_nodes_below_the_root_are_multiplied_in_one_pass_and_get_what_each_item_gives(monkeypatch):
+    """Nodes of one item, of a few and of many, on several levels; each item's part of the gradients is added by itself."""
+    lex = lm.Lexicon((1e6 / np.arange(1, 3001) ** 1.5).astype(np.int64))
+    w = weights(lex)
+    rng = np.random.default_rng(6)
+    ids = lex.node.shape[1] - 1 - (rng.pareto(0.7, 900) * 5).astype(np.int64) % 3000
+    ids[::2] = ids[::2] % 40
+    h = rng.standard_normal((928, lm.WIDTH)).astype(np.float32)
+    at = np.sort(rng.permutation(928)[:900])
+    passes, plain = [], lm._grouped
+    monkeypatch.setattr(lm, "_grouped", lambda w, node, *rest: passes.append(len(node)) or plain(w, node, *rest))
+    alone, _, _ = lm.choices(w, lex, h, at, ids)
+    loss, dh, found = lm.choices(w, lex, h, at, ids, 1.0)
+    assert passes == [int((lex.depth[ids] - 1).sum())] * 2
+    back, by, items = np.zeros(h.shape), np.zeros((lex.nodes, lm.WIDTH + 1, lm.FAN)), np.zeros(lex.nodes, np.int64)
+    lost = np.zeros(900)
+    for i, (row, word) in enumerate(zip(at, ids)):
+        for level in range(lex.depth[word]):
+            node, branch = lex.node[level, word], lex.branch[level, word]
+            z = h[row].astype(np.float64) @ w["W"][node] + w["c"][node]
+            e = np.exp(z) / np.exp(z).sum()
+            lost[i] -= np.log(e[branch])
+            e[branch] -= 1
+            back[row] += w["W"][node] @ e
+            by[node] += np.append(h[row], 1)[:, None] * e
+            items[node] += 1
+    assert {1, 2} <= set(np.minimum(items[1:], 2)) and items[1:].max() > 2 * lm.TILE
+    assert np.allclose(loss, lost, rtol=1e-4) and np.allclose(alone, lost, rtol=1e-4) and np.allclose(dh, back, atol=1e-4)
+    nodes, often, got = (np.concatenate(part) for part in zip(*found))
+    assert len(set(nodes)) == len(nodes) and np.array_equal(items[nodes], often) and items.sum() == often.sum()
+    assert np.allclose(got, by[nodes], atol=1e-3)
+
+
 def test_chances_of_all_ids_add_up_to_one_in_any_state():
     for n in (1, 2, 31, 32, 33, 500, 2000):
         lex = lm.Lexicon(np.random.default_rng(3).integers(0, 4, n))
