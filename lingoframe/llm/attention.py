@@ -38,7 +38,7 @@ STEP_IDS, PASS_IDS = 1 << 12, 1 << 13
 #: Blocks of a task's first step; those that follow take more, so that small tables have enough steps too.
 FIRST_ROWS = 8
 #: Blocks whose attention is held in the cache at once.
-PART = 32
+PART = 64
 #: States of one node that are multiplied at once. In larger products the rounding of a row depends on where it stands.
 TILE = 8
 #: What every id counts besides its occurrences, and the bias of a branch without an id.
@@ -367,13 +367,14 @@ def gradients(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon) -> tup
     dv = mixed.reshape(-1, WIDTH).T @ dh
     # By the softmax, a * (da - mean) is what goes on; the mean comes with the product, by the row of ones.
     dm = np.empty((n, STRIDE, WIDTH + 1), kind)
-    dm[:, :, :WIDTH] = (dh @ w["V"].T).reshape(n, STRIDE, WIDTH)
+    np.matmul(dh, w["V"].T, out=dm.reshape(-1, WIDTH + 1)[:, :WIDTH])
     dm[:, :, WIDTH] = -np.einsum("bsd,bsd->bs", dm[:, :, :WIDTH], mixed)
     dm *= share
     by = np.empty((n, 2 * STRIDE, WIDTH), kind)
     by[:, :STRIDE], by[:, STRIDE:] = dm[:, :, :WIDTH], q
     dq, dw, slope = np.empty_like(q), np.empty_like(by), np.zeros((STRIDE, 2 * STRIDE), kind)
-    for (c, e), both in zip(parts, two):
+    # The last part first: it is still in the cache.
+    for (c, e), both in zip(parts[::-1], two[::-1]):
         da = both[:, STRIDE:]
         np.matmul(dm[c:e], columns[c:e], out=da)
         da *= both[:, :STRIDE]
@@ -442,8 +443,8 @@ def encoded(df: DataFrame, id_col: str, text_col: str, vocabulary_path: str) ->
     lines = df.sparkSession.sparkContext.broadcast(bpe.vocabulary_lines(vocabulary_path))
 
     def make():
-        vocab = bpe.vocabulary(lines.value)
-        coder, kind = bpe.Coder(vocab), id_type(len(vocab.tokens))
+        coder = bpe.coder(lines.value)
+        kind = id_type(len(coder.vocab.tokens))
 
         def apply(texts: list[str | None]) -> list:
             ids, counts = coder.encode([t or "" for t in texts])

@@ -253,6 +253,12 @@ class Coder:
         return ids, np.diff(upto, prepend=0)
 
 
+@lru_cache(maxsize=1)
+def coder(lines: bytes) -> Coder:
+    """One for all tasks of a process, which so share the pre-tokens they met, as many as any Coder remembers."""
+    return Coder(vocabulary(lines))
+
+
 def decode_flat(ids: np.ndarray, counts: np.ndarray, vocab: Vocabulary) -> list[bytes]:
     """The bytes of each text, from the ids of all and how many each has."""
     length = vocab.length[ids]

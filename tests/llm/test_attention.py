@@ -235,6 +235,24 @@ def test_learns_more_than_the_shares_of_ids(spark):
     assert sum(r.nll for r in rows) / sum(r.n_tokens for r in rows) < 0.7 * unigram
 
 
+def test_tasks_of_a_process_share_the_pretokens_they_met(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    bpe.coder.cache_clear()
+    lines, made = bpe.vocabulary_lines(bpe.VOCABULARY), []
+    monkeypatch.setattr(lm, "map_texts", lambda df, text_col, fields, make, keep: made.append(make) or df)
+    lm.encoded(documents(spark, []), "doc_id", "text", bpe.VOCABULARY)
+    merged, plain = [], bpe.merge_words
+    monkeypatch.setattr(bpe, "merge_words", lambda words, vocab: merged.extend(words) or plain(words, vocab))
+    first, again = made[0](), made[0]()
+    assert first(["some words"]) == again(["some words"]) and sorted(merged) == [b" words", b"some"]
+    for k in range(9):  # more words than are remembered
+        texts = [f"{k} {prose(k, 200)}", None, ""]
+        (got,) = made[0]()(texts)
+        ids, counts = bpe.Coder(bpe.vocabulary(lines)).encode([t or "" for t in texts])
+        assert got.to_pylist() == [ids[: counts[0]].astype("<u2").tobytes(), None, b""]
+    bpe.coder.cache_clear()
+
+
 def test_awkward_and_empty(spark):
     docs = awkward(spark).withColumn("nll", F.lit("clash")).withColumn("token_ids", F.lit("clash"))
     rows = lm.language_model_scores(docs).collect()
