@@ -35,6 +35,8 @@ STRIDE, WIDTH, FAN = 32, 16, 32
 ROUNDS, RATE = 2, 0.2
 #: Ids that a step of training takes and that one numpy pass scores. Longer texts are cut, with a block of context.
 STEP_IDS, PASS_IDS = 1 << 12, 1 << 13
+#: Ids that are laid out at once for training, in steps: texts that don't fill a step by themselves are followed by others.
+TOGETHER = 4
 #: Blocks of a task's first step; those that follow take more, so that small tables have enough steps too.
 FIRST_ROWS = 8
 #: Blocks whose attention is held in the cache at once.
@@ -121,16 +123,16 @@ class Blocks:
     def __init__(self, ids: np.ndarray, counts: np.ndarray, before: np.ndarray | int = BOS, lead: np.ndarray | bool = False):
         rows = -(-counts // STRIDE)
         at = np.cumsum(rows) - rows
-        place = bpe.spread(at * STRIDE, counts)
-        self.inputs = np.full(int(rows.sum()) * STRIDE, PAD, np.int32)
+        self.inputs = np.full(int(rows.sum()) * STRIDE, PAD - 2, np.int32)
         self.targets = np.full(len(self.inputs), -1, np.int32)
-        self.targets[place] = ids
-        ahead = np.empty(len(ids), np.int32)
-        ahead[1:] = ids[:-1]
-        ahead += 2
+        # A piece takes a block at least, so going through them costs little.
+        for a, b, n in zip((at * STRIDE).tolist(), (np.cumsum(counts) - counts).tolist(), counts.tolist()):
+            if n:
+                self.targets[a : a + n] = ids[b : b + n]
+                self.inputs[a + 1 : a + n] = ids[b : b + n - 1]
+        self.inputs += 2
         real = counts > 0
-        ahead[(np.cumsum(counts) - counts)[real]] = np.broadcast_to(before, counts.shape)[real]
-        self.inputs[place] = ahead
+        self.inputs[at[real] * STRIDE] = np.broadcast_to(before, counts.shape)[real]
         self.inputs, self.targets = self.inputs.reshape(-1, STRIDE), self.targets.reshape(-1, STRIDE)
         self.first = np.zeros(len(self.inputs), bool)
         self.first[at[real]] = True
@@ -161,38 +163,55 @@ def _bounded(z: np.ndarray) -> np.ndarray:
 
 
 def _windows(x: np.ndarray) -> np.ndarray:
-    """Each block with the one before it, without a copy; x has one block more, at its start."""
+    """Each block with the one before it, without a copy and the ones; x has one block more, at its start."""
     s = x.strides
     return np.lib.stride_tricks.as_strided(x, (len(x) - 1, 2 * STRIDE, WIDTH), (s[0], s[1], s[2]))
 
 
 def _columns(x: np.ndarray) -> np.ndarray:
-    """The same windows with places along rows, and a row of ones below: as the right side of a product these are read in
+    """The same windows with places along rows, the ones as the row below: as the right side of a product these are read in
     order, which takes half the time of the transposed ones."""
-    flat = np.empty((WIDTH + 1, len(x) * STRIDE), x.dtype)
-    flat[:WIDTH], flat[WIDTH] = x.reshape(-1, WIDTH).T, 1
+    flat = np.ascontiguousarray(x.reshape(-1, WIDTH + 1).T)
     s = flat.strides
     return np.lib.stride_tricks.as_strided(flat, (len(x) - 1, WIDTH + 1, 2 * STRIDE), (STRIDE * s[1], s[0], s[1]))
 
 
+def _inputs(rows: np.ndarray) -> np.ndarray:
+    """The inputs (n, STRIDE, WIDTH) with a one after each, and one block more, of nothing, before them."""
+    x = np.ones((len(rows) + 1, STRIDE, WIDTH + 1), rows.dtype)
+    x[0, :, :WIDTH], x[1:, :, :WIDTH] = 0, rows
+    return x
+
+
+def _with_one(v: np.ndarray) -> np.ndarray:
+    """V with a column of zeros, so that states keep the one that their inputs end in."""
+    return np.concatenate([v, np.zeros((WIDTH, 1), v.dtype)], axis=1)
+
+
 def _bias(w: dict[str, np.ndarray]) -> np.ndarray:
     bias = w["D"][FAR]
     bias[AHEAD] = NEVER
     return bias
 
 
-def attended(w: dict[str, np.ndarray], x: np.ndarray, q: np.ndarray, window: np.ndarray, columns: np.ndarray, first: np.ndarray, bias: np.ndarray, a: np.ndarray, mixed: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Fills h with the states of all places of the blocks x, by their windows and queries, a with the weights before they are
-    divided by their sums, and mixed with the mixed inputs; gives those sums' inverses."""
+def attended(w: dict[str, np.ndarray], x: np.ndarray, q: np.ndarray, window: np.ndarray, columns: np.ndarray, first: np.ndarray, bias: np.ndarray, a: np.ndarray, mixed: np.ndarray, h: np.ndarray) -> None:
+    """Fills a with the weights of all places of the blocks x, by their windows and queries, mixed with the mixed inputs, and
+    h with the states, each with a one after it."""
     np.matmul(q, columns[:, :WIDTH], out=a)
     a += bias
     np.exp(_bounded(a), out=a)
-    a[first, :, :STRIDE] = 0
-    share = 1 / (a @ np.ones((2 * STRIDE, 1), a.dtype))
+    for k in first.nonzero()[0].tolist():
+        a[k, :, :STRIDE] = 0
+    a *= 1 / (a @ np.ones((2 * STRIDE, 1), a.dtype))
     np.matmul(a, window, out=mixed)
-    mixed *= share
-    np.add(mixed @ w["V"], x, out=h)
-    return share
+    np.matmul(mixed, _with_one(w["V"]), out=h)
+    h += x
+
+
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of the columns of a and b, both (n, STRIDE, any). Block by block, since OpenBLAS takes several times as
+    long over one product of thousands of rows as over small ones."""
+    return np.matmul(a.transpose(0, 2, 1), b).sum(axis=0)
 
 
 def _nodes(w: dict[str, np.ndarray], nodes: np.ndarray) -> np.ndarray:
@@ -203,8 +222,8 @@ def _nodes(w: dict[str, np.ndarray], nodes: np.ndarray) -> np.ndarray:
 
 
 def _grouped(w: dict[str, np.ndarray], node: np.ndarray, branch: np.ndarray, rows: np.ndarray, h: np.ndarray, share: float):
-    """What choices() gives for items of any nodes but the root: losses, and with a share what comes back for each state,
-    and the gradients by nodes. Nodes of one tile are multiplied all at once, the others one by one: with a share, where
+    """What choices() gives for items of any nodes but the root: losses, and with a share what comes back for their states, with
+    the place of each item in that, and the gradients by nodes. Nodes of one tile are multiplied all at once, the others one by one: with a share, where
     rounding may depend on the place, without tiles."""
     order = np.argsort(node.astype(np.uint16) if len(w["W"]) < 1 << 16 else node, kind="stable")
     run = node.take(order)
@@ -237,15 +256,17 @@ def _grouped(w: dict[str, np.ndarray], node: np.ndarray, branch: np.ndarray, row
     loss[order] = lost
     if not share:
         return loss, None, None
-    by, sent = np.empty_like(own), np.empty((len(state), WIDTH), h.dtype)
+    # The last row of what is sent is for states without an item.
+    by, sent, back = np.empty_like(own), np.empty((len(state) + 1, WIDTH), h.dtype), np.ascontiguousarray(own[:, :WIDTH].transpose(0, 2, 1))
+    sent[-1] = 0
     for k, part in parts:
         np.matmul(state[part].T, e[part], out=by[k])
-        np.matmul(e[part], own[k, :WIDTH].T, out=sent[part])
+        np.matmul(e[part], back[k], out=sent[part])
     by[small] = tiled.transpose(0, 2, 1) @ e[rest].reshape(-1, TILE, FAN)
-    np.matmul(e[rest].reshape(-1, TILE, FAN), few[:, :WIDTH].transpose(0, 2, 1), out=sent[rest].reshape(-1, TILE, WIDTH))
+    np.matmul(e[rest].reshape(-1, TILE, FAN), back.take(small, axis=0), out=sent[begin[-1] : -1].reshape(-1, TILE, WIDTH))
     found = np.empty_like(place)
     found[order] = place
-    return loss, sent.take(found, axis=0), (nodes, items, by)
+    return loss, (sent, found), (nodes, items, by)
 
 
 def _lost(z: np.ndarray, place: np.ndarray, branch: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +277,7 @@ def _lost(z: np.ndarray, place: np.ndarray, branch: np.ndarray, share: float) ->
     taken += branch
     hit = flat_z.take(taken)
     np.exp(z, out=z)
-    mass = z @ np.ones(FAN, z.dtype) if share else (z.reshape(-1, TILE, FAN) @ np.ones((FAN, 1), z.dtype)).ravel()
+    mass = z @ np.ones(FAN, z.dtype) if share else np.einsum("ij->i", z)
     had = mass.take(place)
     lost = np.log(had)
     lost -= hit
@@ -269,22 +290,14 @@ def _lost(z: np.ndarray, place: np.ndarray, branch: np.ndarray, share: float) ->
 
 
 def _root(w: dict[str, np.ndarray], h: np.ndarray, at: np.ndarray, branch: np.ndarray, share: float):
-    """What _grouped() gives, for the root. Its logits lie by branches, so that what goes by states runs along them."""
-    own = _nodes(w, np.zeros(1, np.int64))[0]
-    z = own.T @ h.T
-    flat_z = _bounded(z).reshape(-1)
-    taken = branch * len(h)
-    taken += at
-    hit = flat_z.take(taken)
-    np.exp(z, out=z)
-    had = np.add.reduce(z, axis=0).take(at)
-    lost = np.log(had)
-    lost -= hit
-    scale = np.zeros(len(h), z.dtype)
-    scale[at] = share / had
-    z *= scale
-    flat_z[taken] -= share
-    return lost, z.T @ own[:WIDTH].T, (np.zeros(1, np.int64), np.array([len(at)]), (z @ h).T[None])
+    """Losses of items of the root, and with a share what comes back for each state, and the gradients by the node."""
+    own, state = _nodes(w, np.zeros(1, np.int64))[0], h.reshape(-1, STRIDE, WIDTH + 1)
+    loss, e = _lost((state @ own).reshape(-1, FAN), at, branch, share)
+    if not share:
+        return loss, None, None
+    e = e.reshape(-1, STRIDE, FAN)
+    back = np.matmul(e, np.ascontiguousarray(own[:WIDTH].T)).reshape(-1, WIDTH)
+    return loss, back, (np.zeros(1, np.int64), np.array([len(at)]), _outer(state, e)[None])
 
 
 def choices(w: dict[str, np.ndarray], lexicon: Lexicon, h: np.ndarray, at: np.ndarray, ids: np.ndarray, share: float = 0.0) -> tuple[np.ndarray, np.ndarray | None, list[tuple[np.ndarray, ...]]]:
@@ -292,13 +305,8 @@ def choices(w: dict[str, np.ndarray], lexicon: Lexicon, h: np.ndarray, at: np.nd
     share, that a single loss has of what is to be lowered, also the gradients by h, and by nodes (node, items, by W and c)."""
     if h.shape[1] == WIDTH:
         h = np.append(h, np.ones((len(h), 1), h.dtype), axis=1)
-    dh, found = None, []
-    if share:
-        loss, dh, by = _root(w, h, at, lexicon.branch[0].take(ids).astype(np.int64), share)
-        found.append(by)
-    else:
-        z = h.reshape(-1, STRIDE, WIDTH + 1) @ _nodes(w, np.zeros(1, np.int64))[0]
-        loss, _ = _lost(z.reshape(-1, FAN), at, lexicon.branch[0].take(ids), share)
+    loss, dh, by = _root(w, h, at, lexicon.branch[0].take(ids), share)
+    found = [by]
     # All lower levels are taken together; below the second few items are left.
     depth, on, levels = lexicon.depth.take(ids), None, []
     while len(on := np.flatnonzero(depth > 1) if on is None else on[depth.take(on) > len(levels) + 1]):
@@ -309,10 +317,17 @@ def choices(w: dict[str, np.ndarray], lexicon: Lexicon, h: np.ndarray, at: np.nd
         lost, back, by = _grouped(w, lexicon.node.ravel().take(flat), lexicon.branch.ravel().take(flat), at.take(on), h, share)
         for a, b, some in zip(starts, starts[1:], levels):
             loss[some] += lost[a:b]
-            if share:
-                dh[at.take(some)] += back[a:b]
+        found.append(by)
         if share:
-            found.append(by)
+            sent, place = back
+            for a, b, some in zip(starts, starts[1:], levels):
+                rows = at.take(some)
+                if a:
+                    dh[rows] += sent.take(place[a:b], axis=0)
+                else:  # most states have an item here, so rows in order of the states are quicker
+                    whose = np.full(len(dh), len(sent) - 1)
+                    whose[rows] = place[a:b]
+                    dh += sent.take(whose, axis=0)
     return loss, dh, found
 
 
@@ -327,11 +342,9 @@ def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts:
     if not n:
         return np.zeros(n_texts)
     table = tabled(w) if table is None else table
-    x = np.zeros((n + 1, STRIDE, WIDTH), table.dtype)
-    q = table.take(blocks.inputs, axis=0)
-    x[1:], q = q[:, :, :WIDTH], q[:, :, WIDTH:]
-    state, a = np.ones((n, STRIDE, WIDTH + 1), table.dtype), np.empty((min(n, PART), STRIDE, 2 * STRIDE), table.dtype)
-    h = state[:, :, :WIDTH]
+    both = table.take(blocks.inputs, axis=0)
+    x, q = _inputs(both[:, :, :WIDTH]), both[:, :, WIDTH:]
+    h, a = np.empty((n, STRIDE, WIDTH + 1), table.dtype), np.empty((min(n, PART), STRIDE, 2 * STRIDE), table.dtype)
     mixed = np.empty((len(a), STRIDE, WIDTH), table.dtype)
     windows, columns, bias = _windows(x), _columns(x), _bias(w)
     for c in range(0, n, PART):
@@ -339,7 +352,7 @@ def scores(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon, n_texts:
         attended(w, x[c + 1 : e + 1], q[c:e], windows[c:e], columns[c:e], blocks.first[c:e], bias, a[: e - c], mixed[: e - c], h[c:e])
     target = blocks.targets.ravel()
     at = np.flatnonzero(target >= 0)
-    loss, _, _ = choices(w, lexicon, state.reshape(-1, WIDTH + 1), at, target[at])
+    loss, _, _ = choices(w, lexicon, h.reshape(-1, WIDTH + 1), at, target[at])
     return np.bincount(blocks.owner[at // STRIDE], loss, n_texts)
 
 
@@ -351,48 +364,48 @@ def gradients(w: dict[str, np.ndarray], blocks: Blocks, lexicon: Lexicon) -> tup
     if not len(at):
         return 0.0, {}
     kind = w["E"].dtype
-    x = np.zeros((n + 1, STRIDE, WIDTH), kind)
-    np.take(w["E"], blocks.inputs, axis=0, out=x[1:], mode="clip")
-    here = x[1:].reshape(-1, WIDTH)
-    q = (here @ w["Q"]).reshape(n, STRIDE, WIDTH)
-    state, mixed, share = np.ones((n, STRIDE, WIDTH + 1), kind), np.empty_like(q), np.empty((n, STRIDE, 1), kind)
-    h = state[:, :, :WIDTH]
-    # The weights and their slopes lie one below the other, so that both reach the window in one product.
+    here = w["E"].take(blocks.inputs, axis=0)
+    x, q = _inputs(here), np.matmul(here, w["Q"])
+    h, mixed = np.empty((n, STRIDE, WIDTH + 1), kind), np.empty_like(q)
+    # The weights of each part are an array of their own without gaps, and the slopes of all parts use one, which stays in the
+    # cache: passes over them take half the time that they take where weights and slopes of a block lie together.
     parts = [(c, min(n, c + PART)) for c in range(0, n, PART)]
-    two = [np.empty((e - c, 2 * STRIDE, 2 * STRIDE), kind) for c, e in parts]
+    weights = [np.empty((e - c, STRIDE, 2 * STRIDE), kind) for c, e in parts]
     windows, columns, bias = _windows(x), _columns(x), _bias(w)
-    for (c, e), both in zip(parts, two):
-        share[c:e] = attended(w, x[c + 1 : e + 1], q[c:e], windows[c:e], columns[c:e], blocks.first[c:e], bias, both[:, :STRIDE], mixed[c:e], h[c:e])
-    loss, dh, found = choices(w, lexicon, state.reshape(-1, WIDTH + 1), at, target[at], 1 / len(at))
-    dv = mixed.reshape(-1, WIDTH).T @ dh
+    for (c, e), a in zip(parts, weights):
+        attended(w, x[c + 1 : e + 1], q[c:e], windows[c:e], columns[c:e], blocks.first[c:e], bias, a, mixed[c:e], h[c:e])
+    loss, dh, found = choices(w, lexicon, h.reshape(-1, WIDTH + 1), at, target[at], 1 / len(at))
+    dh = dh.reshape(n, STRIDE, WIDTH)
+    dv = _outer(mixed, dh)
     # By the softmax, a * (da - mean) is what goes on; the mean comes with the product, by the row of ones.
     dm = np.empty((n, STRIDE, WIDTH + 1), kind)
-    np.matmul(dh, w["V"].T, out=dm.reshape(-1, WIDTH + 1)[:, :WIDTH])
-    dm[:, :, WIDTH] = -np.einsum("bsd,bsd->bs", dm[:, :, :WIDTH], mixed)
-    dm *= share
-    by = np.empty((n, 2 * STRIDE, WIDTH), kind)
-    by[:, :STRIDE], by[:, STRIDE:] = dm[:, :, :WIDTH], q
-    dq, dw, slope = np.empty_like(q), np.empty_like(by), np.zeros((STRIDE, 2 * STRIDE), kind)
+    np.matmul(dh, np.ascontiguousarray(w["V"].T), out=dm[:, :, :WIDTH])
+    mixed *= dm[:, :, :WIDTH]
+    np.matmul(mixed, np.full((WIDTH, 1), -1, kind), out=dm[:, :, WIDTH:])
+    dq, dw, slope, slopes = np.empty_like(q), np.empty((n, 2 * STRIDE, WIDTH), kind), np.zeros((STRIDE, 2 * STRIDE), kind), np.empty_like(weights[0])
     # The last part first: it is still in the cache.
-    for (c, e), both in zip(parts[::-1], two[::-1]):
-        da = both[:, STRIDE:]
+    for (c, e), a in zip(parts[::-1], weights[::-1]):
+        da = slopes[: e - c]
         np.matmul(dm[c:e], columns[c:e], out=da)
-        da *= both[:, :STRIDE]
+        da *= a
         slope += da.sum(axis=0)
         np.matmul(da, windows[c:e], out=dq[c:e])
-        np.matmul(both.transpose(0, 2, 1), by[c:e], out=dw[c:e])
-    dx = dw[:, STRIDE:].copy()
-    dx[:-1] += dw[1:, :STRIDE]
-    dx, dq = dx.reshape(-1, WIDTH), dq.reshape(-1, WIDTH)
+        np.matmul(a.transpose(0, 2, 1), dm[c:e, :, :WIDTH], out=dw[c:e])
+        dw[c:e] += np.matmul(da.transpose(0, 2, 1), q[c:e])
+    dx = np.matmul(dq, np.ascontiguousarray(w["Q"].T))
     dx += dh
-    dx += dq @ w["Q"].T
+    dx += dw[:, STRIDE:]
+    dx[:-1] += dw[1:, :STRIDE]
+    dx = dx.reshape(-1, WIDTH)
     every, often = slice(None), np.array(float(len(at)))
-    g = {"Q": (every, often, here.T @ dq), "V": (every, often, dv), "D": (every, often, np.bincount(FAR.ravel(), slope.ravel(), 2 * STRIDE).astype(kind))}
+    g = {"Q": (every, often, _outer(here, dq)), "V": (every, often, dv), "D": (every, often, np.bincount(FAR.ravel(), slope.ravel(), 2 * STRIDE).astype(kind))}
     unit = blocks.inputs.ravel()
     order = np.argsort(unit.astype(np.uint16) if len(w["E"]) <= 1 << 16 else unit, kind="stable")
     run = unit.take(order)
     edge = np.append(0, np.flatnonzero(run[1:] != run[:-1]) + 1)
-    g["E"] = run.take(edge), np.append(edge[1:], len(run)) - edge, np.add.reduceat(dx.take(order, axis=0), edge, axis=0)
+    # Numbers are added in pairs, as complex ones, since the time goes by columns.
+    pairs = np.add.reduceat(dx.take(order, axis=0).view(np.result_type(kind, np.complex64)), edge, axis=0)
+    g["E"] = run.take(edge), np.append(edge[1:], len(run)) - edge, pairs.view(kind)
     nodes, items, by = (np.concatenate(part) for part in zip(*found))
     g["W"], g["c"] = (nodes, items, by[:, :WIDTH]), (nodes, items, by[:, WIDTH])
     return float(loss.sum(dtype=np.float64)) / len(at), g
@@ -411,14 +424,18 @@ class Trainer:
         rate = self.rate * min(1.0, ids / STEP_IDS) ** 0.5
         for k, (rows, often, slope) in g.items():
             every = isinstance(rows, slice)
-            moved = self.moved[k] if every else self.moved[k].take(rows, axis=0)
-            moved += slope * slope
-            self.moved[k][rows] = moved
-            by = np.sqrt(moved)
+            moved, by = self.moved[k] if every else self.moved[k].take(rows, axis=0), slope * slope
+            moved += by
+            if not every:
+                self.moved[k][rows] = moved
+            np.sqrt(moved, out=by)
             by += 1e-10
             np.divide(slope, by, out=by)
             by *= rate
-            self.w[k][rows] = (self.w[k] if every else self.w[k].take(rows, axis=0)) - by
+            if every:
+                self.w[k] -= by
+            else:
+                self.w[k][rows] = np.subtract(self.w[k].take(rows, axis=0), by, out=by)
             if k in "EWc":
                 self.met[k][rows] += often
             else:
@@ -468,9 +485,9 @@ def _unpacked(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray]
     return ids, (offsets - offsets[0]) // size
 
 
-def pieces(ids: np.ndarray, starts: np.ndarray, size: int, turn: int = 0, every: int = 1) -> Iterator[tuple[np.ndarray, Blocks]]:
-    """Blocks of about `size` ids, with the rows of their owners. A longer text is cut into stretches of that size, each with
-    the block before it. Of `every` turns each text or stretch is in one, by a checksum: whatever it lies beside."""
+def pieces(ids: np.ndarray, starts: np.ndarray, size: int, turn: int = 0, every: int = 1, together: int = 1) -> Iterator[tuple[np.ndarray, Blocks]]:
+    """Blocks of about `together` times `size` ids, with the rows of their owners. A text longer than size is cut into stretches
+    of it, each with the block before it. Of `every` turns each text or stretch is in one, by a checksum: whatever it lies beside."""
     rows, parts, begin, lead, held = [], [], [], [], 0
 
     def made() -> tuple[np.ndarray, Blocks]:
@@ -483,7 +500,7 @@ def pieces(ids: np.ndarray, starts: np.ndarray, size: int, turn: int = 0, every:
             if (mark + k + turn) % every:
                 continue
             e, ahead = min(b, s + size), STRIDE if k else 0
-            if held + e - s > size and rows:
+            if held + e - s > size * together and rows:
                 yield made()
                 rows, parts, begin, lead, held = [], [], [], [], 0
             rows.append(row)
@@ -516,7 +533,7 @@ def train_on(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], lexico
     """Train on the windows whose turn it is of `every` turns; together these take all."""
     trainer, kind, rows = Trainer(w, rate), id_type(lexicon.size), FIRST_ROWS
     for batch in batches:
-        for _, blocks in pieces(*_unpacked(batch, kind), STEP_IDS, turn, every):
+        for _, blocks in pieces(*_unpacked(batch, kind), STEP_IDS, turn, every, TOGETHER):
             at = 0
             while at < len(blocks.inputs):
                 end = len(blocks.inputs) if at + rows * 3 // 2 >= len(blocks.inputs) else at + rows

@@ -225,6 +225,15 @@ def test_every_window_is_trained_on_once(monkeypatch):
     assert sorted(windows(lm.Blocks(np.concatenate(texts), np.array([len(t) for t in texts])))) == sorted(taken)
 
 
+def test_steps_are_filled_by_texts_that_would_leave_room(monkeypatch):
+    lex, texts = lexicon(), [np.random.default_rng(k).integers(0, 60, 2500) for k in range(40)]
+    sizes, plain = [], lm.gradients
+    monkeypatch.setattr(lm, "gradients", lambda w, blocks, lex: sizes.append(int((blocks.targets >= 0).sum())) or plain(w, blocks, lex))
+    lm.train_on(iter([batch(texts)]), weights(lex), lex, 0, 1, 0.01)
+    assert sum(sizes) == 40 * 2500 and max(sizes) <= 1.5 * lm.STEP_IDS
+    assert np.mean(sizes[-12:]) > 0.85 * lm.STEP_IDS
+
+
 def test_learns_more_than_the_shares_of_ids(spark):
     docs = documents(spark, [(i, " ".join(["a cat sat", "the dog ran", "one bird sang"][(i + k) % 3] for k in range(40)), "en", "a") for i in range(150)])
     rows = lm.language_model_scores(docs, rounds=6, every=1).collect()
