@@ -8,14 +8,14 @@ import json
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingoframe import registry
 from lingoframe.bundle import artifact
 from lingoframe.functions import fluent as L
 from lingoframe.functions import scanners
-from lingoframe.operators.common import numbered
+from lingoframe.operators.common import neighbours, numbered
 
 KINDS = "function literal markup msg-ref other selector term-ref var".split()
 ORIGINS = "project spec unknown".split()
@@ -218,5 +218,4 @@ def check(folder, rebuilt: DataFrame | None = None) -> list[str]:
 
 def in_order(made: DataFrame) -> DataFrame:
     """Rows with the ids before and after them within their file."""
-    line = Window.partitionBy("file").orderBy("seq")
-    return made.withColumn("prev", F.lag("line_id").over(line)).withColumn("next", F.lead("line_id").over(line))
+    return neighbours(made, "file", ["seq"], "line_id")

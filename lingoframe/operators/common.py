@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lingoframe.functions.strings import found
 
+#: Rows are numbered in so many runs of keys at most, parted by bounds from so many keys.
+RUNS, DRAWN = 512, 4096
+
 
 def last_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key. Nulls are a key of their own; one shuffle by the keys, with partial aggregation."""
@@ -44,21 +47,44 @@ def duplicates(df: DataFrame, key: str, place: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(place)).alias("places")).where("n > 1")
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str = "seq", start: int = 0) -> DataFrame:
-    """A dense number over all rows, by group and then order. Only the groups' sizes (a row a file or domain) go through
-    one partition; the rows are numbered within their groups."""
-    sizes = df.groupBy(group).count()
-    before = F.sum("count").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col(group).alias("lf_group"), F.coalesce(before, F.lit(0)).alias("lf_before"))
-    inside = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    rows = df.withColumn("lf_turn", inside).join(offsets, F.col(group).eqNullSafe(F.col("lf_group")))
-    return rows.withColumn(name, F.col("lf_before") + F.col("lf_turn") - 1 + start).drop("lf_group", "lf_before", "lf_turn")
+def _in_runs(df: DataFrame, key: Column) -> DataFrame:
+    """Add lf_run: which of at most RUNS intervals of keys, of about as many rows each, the row is in; the numbers are dense from 0. The
+    bounds are taken from the DRAWN keys of the least hashes, so that they are the same whenever they are computed."""
+    drawn = df.select(key.alias("lf_key")).orderBy(F.xxhash64("lf_key"), "lf_key").limit(DRAWN).agg(F.sort_array(F.collect_set("lf_key")).alias("lf_keys"))
+    every = F.ceil(F.size("lf_keys") / RUNS)
+    bounds = drawn.select(F.filter("lf_keys", lambda _, i: i % every == 0))
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range((RUNS - 1).bit_length()))])
+    # The last bound that the key isn't below, by bisection; keys below all go with the first.
+    place = lambda k: F.aggregate(steps, F.lit(0), lambda i, s: i + F.when(F.get("lf_bounds", i + s) <= k, s).otherwise(F.lit(0)))
+    return df.withColumn("lf_bounds", bounds.scalar()).withColumn("lf_run", F.get(F.transform(F.array(key), place), F.lit(0))).drop("lf_bounds")
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str = "seq", start: int = 0, value: str | None = None) -> DataFrame:
+    """A dense number over all rows, by group and then order. value: also add prev and next, its neighbours within the group.
+    Rows are numbered within runs of keys, however large a group is; only what a run holds and has at its ends (a row a run)
+    goes through one partition."""
+    near = [] if value is None else [value]
+    rows = _in_runs(df, F.struct(group, *order)).withColumn("lf_item", F.struct(F.col(group).alias("g"), *[F.col(c).alias("v") for c in near]))
+    line, runs = Window.partitionBy("lf_run").orderBy(group, *order, *near), Window.orderBy("lf_run")
+    ends = [f("lf_item", F.struct(group, *order, *near)).alias(n) for f, n in ((F.min_by, "lf_first"), (F.max_by, "lf_last"))] if near else []
+    around = [F.lag("lf_last").over(runs).alias("prev"), F.lead("lf_first").over(runs).alias("next")] if near else []
+    before = F.coalesce(F.sum("lf_n").over(runs.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    each = rows.groupBy("lf_run").agg(F.count("*").alias("lf_n"), *ends).select(F.struct("lf_run", before, *around).alias("lf_each"))
+    each = each.agg(F.sort_array(F.collect_list("lf_each")))
+    out = rows.withColumn("lf_turn", F.row_number().over(line))
+    for side, f in (("prev", F.lag), ("next", F.lead)) if near else ():
+        out = out.withColumn(f"lf_{side}", f("lf_item").over(line))
+    out = out.withColumn("lf_ends", F.get(each.scalar(), "lf_run"))
+    added = {name: F.col("lf_ends.before") + F.col("lf_turn") - 1 + start}
+    for side in ("prev", "next") if near else ():
+        item = F.coalesce(f"lf_{side}", f"lf_ends.{side}")
+        added[side] = F.when(item["g"].eqNullSafe(F.col(group)), item["v"])
+    return out.withColumns(added).select(*dict.fromkeys([*df.columns, *added]))
 
 
 def neighbours(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Add prev and next, null at the ends of a group."""
-    line = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("prev", F.lag(value).over(line)).withColumn("next", F.lead(value).over(line))
+    return numbered(df, group, order, "lf_seq", value=value).drop("lf_seq")
 
 
 def changed(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:

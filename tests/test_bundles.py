@@ -207,6 +207,41 @@ def test_numbers_are_dense(spark):
     assert [r.seq for r in got] == list(range(200)) and [(r.g, r.o) for r in got] == sorted((r.g, r.o) for r in got)
 
 
+def _largest(spark, df):
+    """Rows of the fullest partition, of how many; what Spark puts together afterwards doesn't count."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max(F.xxhash64(*df.columns))).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return max(sizes), sum(sizes)
+
+
+def _around(rows, group, order, value):
+    rows = sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in (group, *order)])
+    same = lambda a, b: rows[b][value] if 0 <= b < len(rows) and rows[a][group] == rows[b][group] else None
+    return [(n, r[group], r[order[0]], r[value], same(n, n - 1), same(n, n + 1)) for n, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("runs,drawn", [(512, 4096), (7, 40), (3, 3), (1, 5)])
+def test_numbers_and_neighbours_over_runs(spark, monkeypatch, runs, drawn):
+    monkeypatch.setattr(common, "RUNS", runs, raising=False)
+    monkeypatch.setattr(common, "DRAWN", drawn, raising=False)
+    rnd = random.Random(5)
+    orders = [None, *rnd.sample(range(10**12), 149), *range(50)]
+    rows = spark.createDataFrame([(rnd.choice(["a", "b", "b", "b", None]), o, rnd.choice([None, f"v{o}"])) for o in orders], "g string, o long, v string").repartition(5)
+    want = _around(rows.collect(), "g", ["o"], "v")
+    assert sorted((r.seq, r.g, r.o, r.v, r.prev, r.next) for r in common.numbered(common.neighbours(rows, "g", ["o"], "v"), "g", ["o"]).collect()) == want
+    assert common.numbered(rows.limit(0), "g", ["o"]).collect() == [] and common.neighbours(rows.limit(0), "g", ["o"], "v").columns == ["g", "o", "v", "prev", "next"]
+
+
+def test_a_large_group_is_not_one_task(spark):
+    rows = spark.range(4000).select(F.lit("a").alias("g"), F.col("id").alias("o"), F.col("id").cast("string").alias("v"))
+    for made in (common.numbered(rows, "g", ["o"]), common.neighbours(rows, "g", ["o"], "v")):
+        most, of = _largest(spark, made)
+        assert of == 4000 and most < 2000
+
+
 def test_small_tools(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, None), (4, "w")], "k int, v string")
