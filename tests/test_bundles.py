@@ -242,6 +242,38 @@ def test_a_large_group_is_not_one_task(spark):
         assert of == 4000 and most < 2000
 
 
+@pytest.fixture(scope="module")
+def long_file(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("long")
+    for name, n in (("wesnoth", 60), ("wesnoth-lib", 3)):
+        (root / f"{name}.po").write_text(HEAD + "".join(f'msgid "Text {i}"\nmsgstr "Tekst {i}"\n\n' for i in range(n)))
+    entries = gettext.read(spark, str(root), "*.po")
+    return bilingual.rows(gettext.strings(entries), gettext.header_facts(entries)).cache()
+
+
+@pytest.mark.parametrize("change,bad", [
+    ("seq", []), ("seq * 1000", []), ("-seq", range(63)), ("if(seq = 5, null, seq)", [0, 4, 5, 6]), ("if(seq in (7, 8), 15 - seq, seq)", [6, 7, 8, 9]), ("if(seq in (3, 4), 7 - seq, seq)", [2, 3, 4, 5]), ("if(seq = 59, -1, seq)", [0, 58, 59]), ("if(seq = 5, 1000, seq)", [4, 5, 6, 59]),
+])
+def test_neighbours_are_compared_over_runs(long_file, monkeypatch, change, bad):
+    monkeypatch.setattr(bilingual, "RUN", 4, raising=False)
+    changed = long_file.select("*", F.col("seq").alias("was")).withColumn("seq", F.expr(change))
+    rows = changed.collect()
+    want = []
+    for file in {r.file for r in rows}:
+        line = sorted((r for r in rows if r.file == file), key=lambda r: (r.seq is not None, r.seq, r.was))
+        ids = [None, *(r.segment_id for r in line), None]
+        want += [r.segment_id for k, r in enumerate(line) if (r.neighbours.prev, r.neighbours.next) != (ids[k], ids[k + 2])]
+    got = sorted(r.segment_id for r in bilingual.verify(changed).where("problem = 'neighbours'").collect())
+    assert got == sorted(want) == sorted(r.segment_id for r in rows if r.was in bad)
+
+
+def test_a_large_file_is_not_checked_by_one_task(spark, long_file, monkeypatch):
+    monkeypatch.setattr(bilingual, "RUN", 4, raising=False)
+    bad = long_file.withColumn("neighbours", F.expr("named_struct('prev', 'x', 'next', 'y')"))
+    most, of = _largest(spark, bilingual.verify(bad).where("problem = 'neighbours'"))
+    assert of == 63 and most < 40
+
+
 def test_small_tools(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, None), (4, "w")], "k int, v string")
